@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lavra.operators import bad_rows, layouts
+from pyspark.sql import functions as F
+
+from lavra.operators import bad_rows, layouts, profile
+from lavra.plans import data_sql
 from lavra.plans.registry import Registry, table
 
 DATA = Registry()
@@ -31,3 +34,24 @@ def p6_valid(spark, sf_dir):
     lines, files = table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "raw_files")
     failed = bad_rows.parse_failures(lines, files)
     return layouts.ingest(lines, files).join(failed, ["file_id", "line_no"], "left_anti").drop("_kinds")
+
+
+@DATA.query(data_sql.P2_FOUND)
+def p2_found(spark, sf_dir):
+    log = table(spark, sf_dir, "load_log")
+    found = None
+    for name, rules in (("itbi_units", profile.UNIT_RULES), ("market_indicators_city_year", profile.YEAR_RULES)):
+        counts = profile.value_counts(table(spark, sf_dir, name), list(rules))
+        part = profile.findings(counts, log.where(F.col("table_name") == name), rules)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@DATA.query()
+def p2_profile(spark, sf_dir):
+    """The profile of every column of both tables in each load."""
+    parts = [
+        profile.profile_from_counts(profile.value_counts(table(spark, sf_dir, name)), rules)
+        for name, rules in (("itbi_units", profile.UNIT_RULES), ("market_indicators_city_year", profile.YEAR_RULES))
+    ]
+    return parts[0].unionByName(parts[1])
