@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lavra.operators import bad_rows, layouts, profile
+from lavra.functions.text import code_digits
+from lavra.operators import bad_rows, layouts, points, profile
 from lavra.plans import data_sql
 from lavra.plans.registry import Registry, table
 
@@ -55,3 +56,32 @@ def p2_profile(spark, sf_dir):
         for name, rules in (("itbi_units", profile.UNIT_RULES), ("market_indicators_city_year", profile.YEAR_RULES))
     ]
     return parts[0].unionByName(parts[1])
+
+
+def _register_points(spark, sf_dir):
+    """Addresses with both coordinates; one that is missing, zero or no number takes no part."""
+    rows = table(spark, sf_dir, "address_register").select(
+        "cod_unico_endereco", "cod_municipio", "cod_setor", points.coordinate(F.col("latitude")).alias("lat"), points.coordinate(F.col("longitude")).alias("lon")
+    )
+    return rows.where("lat is not null and lon is not null")
+
+
+def _sectors(spark, sf_dir):
+    return points.wkt_edges(table(spark, sf_dir, "census_sectors"), "cd_setor", "geometry_wkt", "cd_mun")
+
+
+@DATA.query()
+def p4_found(spark, sf_dir):
+    rows = _register_points(spark, sf_dir)
+    near = points.near_pairs(rows, 20.0, "cod_unico_endereco", group="cod_municipio").select(F.lit("near").alias("kind"), "id_a", "id_b")
+    held = points.locate(rows, _sectors(spark, sf_dir), group="cod_municipio")
+    recorded = code_digits(F.col("cod_setor"))
+    wrong = held.where(~F.coalesce(recorded == F.col("region"), F.lit(False)))
+    return near.unionByName(wrong.select(F.lit("sector").alias("kind"), F.col("cod_unico_endereco").alias("id_a"), F.col("region").cast("long").alias("id_b")).distinct())
+
+
+@DATA.query()
+def p4_sectors(spark, sf_dir):
+    """Every address with the sector that contains it."""
+    held = points.locate(_register_points(spark, sf_dir), _sectors(spark, sf_dir), group="cod_municipio")
+    return held.select("cod_unico_endereco", "lat", "lon", F.col("region").alias("cd_setor")).distinct()
