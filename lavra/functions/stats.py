@@ -19,14 +19,19 @@ def order_bucket(value: Column, per_e_fold: int = 64) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * per_e_fold).cast("int")
 
 
-def running_sums(df: DataFrame, keys: list[str], value: str, measures: list[str], with_totals: bool = False) -> DataFrame:
-    """Adds ``cum_<m>`` for each measure: its sum over the rows of the group up to this value, in value order.
-
-    The group is split by ranges of the value: sums per range, offsets by running over the ranges (at most some
-    thousands a group), then running sums within a range. ``value`` must be a number that is not null and
-    occurs once per group. With ``with_totals`` also adds ``all_<m>``: the sum over the group.
+def running_sums(
+    df: DataFrame, keys: list[str], order: str | list[str], measures: list[str], with_totals: bool = False, bucket: Column | None = None
+) -> DataFrame:
+    """Adds ``cum_<m>`` for each measure: its sum over the rows of the group up to this one, in order.
+
+    The group is split by ranges of the order: sums per range, offsets by running over the ranges (at most some
+    thousands a group), then running sums within a range. ``bucket`` numbers the ranges and must not fall as
+    the order grows; by default it is ``order_bucket`` of the one, numeric, order column, which must not be
+    null. Rows of equal order run in no fixed order. With ``with_totals`` also adds ``all_<m>``, the sum over
+    the group.
     """
-    df = df.withColumn("_bucket", order_bucket(F.col(value)))
+    order = [order] if isinstance(order, str) else order
+    df = df.withColumn("_bucket", order_bucket(F.col(order[0])) if bucket is None else bucket)
     ranges = df.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_in_{m}") for m in measures])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select(
@@ -35,7 +40,7 @@ def running_sums(df: DataFrame, keys: list[str], value: str, measures: list[str]
         *[F.coalesce(F.sum(f"_in_{m}").over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],
         *[F.sum(f"_in_{m}").over(Window.partitionBy(*keys)).alias(f"all_{m}") for m in measures if with_totals],
     )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = df.join(offsets, [*keys, "_bucket"])
     return joined.select(
         *[c for c in df.columns if c != "_bucket"],

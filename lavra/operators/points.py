@@ -8,20 +8,23 @@ and then its edge by binary search. Slabs are rows, spread over the cluster by t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.contracts import require_columns, require_range
-from lavra.functions.numbers import safe_float
-from lavra.functions.text import null_if_token
+from lavra.functions.numbers import PLAIN_NUMBER
+from lavra.functions.text import strip
+from lavra.session import materialize
 
 EARTH_RADIUS_M = 6_371_000.0
 
 
 def coordinate(c: Column) -> Column:
     """Degrees from a text with ``,`` or ``.``; null for null tokens, zero and what is no number."""
-    value = safe_float(null_if_token(c.cast("string")))
-    return F.when(value != 0, value)
+    # A one-element array binds the value, so that its expression occurs once.
+    text = F.replace(strip(c.cast("string")), F.lit(","), F.lit("."))
+    number = F.transform(F.array(text), lambda t: F.when(t.rlike(PLAIN_NUMBER), t.try_cast("double")))
+    return F.element_at(F.transform(number, lambda v: F.when((v != 0) & (F.abs(v) < float("inf")), v)), 1)
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_RADIUS_M) -> Column:
@@ -107,7 +110,9 @@ def slab_index(edges: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
     spans`` with, for slab ``slab`` (from ``xs[slab-1]`` on), the stretches that lie inside a region, ordered
     from below: ``struct<lo, hi, region>`` of the bounding edges.
     """
-    # The tiles that each region's box touches; a region's edges go to the tiles of their columns.
+    # Edges and bounds are read several times below: written once, they keep the plan small. The tiles that
+    # each region's box touches; a region's edges go to the tiles of their columns.
+    edges = materialize(edges)
     boxes = edges.groupBy("group", "region").agg(F.min("x1").alias("x0"), F.max("x2").alias("x9"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y9"))
     index = lambda v: F.floor(F.col(v) / tile)
     rows = boxes.select("group", "region", F.explode(F.sequence(index("y0"), index("y9"))).alias("ty"))
@@ -115,7 +120,7 @@ def slab_index(edges: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
     key = ["group", "tx", "ty"]
     left, right = F.col("tx") * F.lit(tile), (F.col("tx") + 1) * F.lit(tile)
     xs = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array(F.greatest("x1", left), F.least("x2", right))))))
-    bounds = placed.groupBy(*key).agg(xs.alias("xs"))
+    bounds = materialize(placed.groupBy(*key).agg(xs.alias("xs")))
     cut = placed.join(bounds, key)
     spanned = F.filter(F.sequence(F.lit(1), F.size("xs") - 1), lambda i: (F.element_at("xs", i) >= F.col("x1")) & (F.element_at("xs", i + 1) <= F.col("x2")))
     edge = F.struct("x1", "y1", "x2", "y2")
@@ -133,7 +138,7 @@ def slab_index(edges: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
     # Stretches that do not reach into the tile's row are of no use there.
     low, high = F.col("ty") * F.lit(tile), (F.col("ty") + 1) * F.lit(tile)
     reach = (F.least("s.lo.y1", "s.lo.y2") <= high) & (F.greatest("s.hi.y1", "s.hi.y2") >= low)
-    return bounds, spans.where(reach).groupBy(*key, "slab").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    return bounds, materialize(spans.where(reach).groupBy(*key, "slab").agg(F.array_sort(F.collect_list("s")).alias("spans")))
 
 
 def _last_at_most(n: Column, reached) -> Column:

@@ -8,6 +8,7 @@ from lavra.functions.text import code_digits
 from lavra.operators import bad_rows, layouts, points, profile
 from lavra.plans import data_sql
 from lavra.plans.registry import Registry, table
+from lavra.session import materialize
 
 DATA = Registry()
 
@@ -63,7 +64,7 @@ def _register_points(spark, sf_dir):
     rows = table(spark, sf_dir, "address_register").select(
         "cod_unico_endereco", "cod_municipio", "cod_setor", points.coordinate(F.col("latitude")).alias("lat"), points.coordinate(F.col("longitude")).alias("lon")
     )
-    return rows.where("lat is not null and lon is not null")
+    return materialize(rows.where("lat is not null and lon is not null").distinct())
 
 
 def _sectors(spark, sf_dir):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,20 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package() -> None:
+    """Give the workers this package, once per application: Python functions sent to them import from it.
+
+    Needed wherever the package is not installed on the executors; harmless where it is.
+    """
+    context = SparkSession.active().sparkContext
+    if getattr(context, "_lavra_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="lavra-package-")) / "lavra.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, str(Path("lavra") / path.relative_to(root)))
+    context.addPyFile(str(target))
+    context._lavra_shipped = True
