@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lavra.llm import mixture, percentiles, tokens
+from lavra.llm import addresses, mixture, percentiles, spans, tokens
 from lavra.plans.registry import Registry, table
+from lavra.session import materialize
 
 LLM = Registry()
 
@@ -66,3 +67,21 @@ def p8_mixture(spark, sf_dir):
 @LLM.query()
 def p8_shares(spark, sf_dir):
     return mixture.reached_shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+@LLM.query()
+def p1_found(spark, sf_dir):
+    pairs = addresses.same_location_pairs(materialize(addresses.location_keys(table(spark, sf_dir, "address_records"))))
+    return pairs.select(F.col("id_a").alias("address_record_id_a"), F.col("id_b").alias("address_record_id_b"))
+
+
+@LLM.query()
+def p1_locations(spark, sf_dir):
+    """Every record with the resolved parts of its location."""
+    keys = addresses.location_keys(table(spark, sf_dir, "address_records"))
+    return keys.drop("raw").withColumnsRenamed({"id": "address_record_id", "area": "cod_municipio"})
+
+
+@LLM.query()
+def p9_found(spark, sf_dir):
+    return spans.shared_spans(table(spark, sf_dir, "documents"))
