@@ -101,11 +101,19 @@ def _groups(owners: list, texts: list, least: int) -> Iterator[tuple[list[int],
 
 
 def _chunks(codes: np.ndarray, borders: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunk borders ``p, q`` (two neighbouring cuts of one text) and the text's number."""
+    """Chunk borders ``p, q`` (two neighbouring cuts of one text) and the text's number. Chunks too near an end
+    of the text to lie in the inner part of a span are left out."""
     at = cuts(codes, borders[:-1], borders[1:], window)
     text = np.searchsorted(borders, at, "right") - 1
-    both = text[:-1] == text[1:]
-    return at[:-1][both], at[1:][both], text[:-1][both]
+    before, after = _reach(window)
+    p, q, text = at[:-1], at[1:], np.where(text[:-1] == text[1:], text[:-1], -1)
+    inner = (text >= 0) & (p - before >= borders[text]) & (q + after < borders[text + 1])
+    return p[inner], q[inner], text[inner]
+
+
+def _reach(window: int) -> tuple[int, int]:
+    """How far the text that makes ``p`` and ``q`` neighbouring cuts reaches before ``p`` and after ``q``."""
+    return GEAR_WINDOW + window - 2, window - 1
 
 
 def _lists(values: np.ndarray, text: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
@@ -114,9 +122,11 @@ def _lists(values: np.ndarray, text: np.ndarray, n: int, kind: pa.DataType) -> p
 
 
 def chunk_digests(texts: DataFrame, span: int) -> DataFrame:
-    """``owner, digests``: per text the digests of its chunks in order. A digest covers the chunk and the
-    code points that its first cut depends on. Input ``owner, text``; texts shorter than the span give no row."""
+    """``owner, digests``: per text the digests of its chunks in order. A digest covers the chunk and all code
+    points on which its two cuts depend, 134 or so, so that stock phrases do not make chunks equal. Input
+    ``owner, text``; texts shorter than the span give no row."""
     window = cut_window(span)
+    before, after = _reach(window)
     ship_package()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +135,7 @@ def chunk_digests(texts: DataFrame, span: int) -> DataFrame:
             owners = batch.column(0)
             for held, codes, borders in _groups([], batch.column(1).to_pylist(), span):
                 p, q, text = _chunks(codes, borders, window)
-                digests = hasher.of(hasher.sums(codes), p - GEAR_WINDOW + 1, q + 1)
+                digests = hasher.of(hasher.sums(codes), p - before, q + after + 1)
                 yield pa.RecordBatch.from_arrays([owners.take(pa.array(held)), _lists(digests, text, len(held), pa.int64())], ["owner", "digests"])
 
     return texts.mapInArrow(run, "owner bigint, digests array<bigint>")
@@ -151,7 +161,7 @@ def candidate_spans(texts: DataFrame, span: int) -> DataFrame:
                     known[begin[k] + np.asarray(shared[i], np.int64)] = True
                 # A chunk that is not shared rules out the spans in whose inner part it lies.
                 low = np.maximum(q - (span - window), borders[text])[~known]
-                high = np.minimum(p - (GEAR_WINDOW + window - 2), borders[text + 1] - span)[~known]
+                high = np.minimum(p - _reach(window)[0], borders[text + 1] - span)[~known]
                 some = low <= high
                 ruled = np.zeros(len(codes) + 1, np.int64)
                 np.add.at(ruled, low[some], 1)
@@ -195,15 +205,17 @@ def shared_spans(documents: DataFrame, span: int = 200, id_col: str = "doc_id",
     chunks = chunk_digests(texts, span).select("owner", F.posexplode("digests").alias("i", "digest"))
     twice = _of_several(chunks.select("owner", "digest"), ["digest"])
     shared = chunks.join(twice, "digest", "left_semi").groupBy("owner").agg(F.array_sort(F.collect_set("i")).alias("shared"))
-    shared = materialize(shared)
-    spans = candidate_spans(texts.join(shared, "owner").select("owner", "text", "shared"), span)
+    # From here on a text goes by the least id of its documents, which is shorter in a shuffle than its hash.
+    named = docs.groupBy("owner").agg(F.min("doc_id").alias("first_id"))
+    shared = materialize(shared.join(named, "owner"))
+    spans = candidate_spans(texts.join(shared, "owner").select(F.col("first_id").alias("owner"), "text", "shared"), span)
     rows = spans.select("owner", F.inline(F.arrays_zip("t", "h1", "h2")))
     again = _of_several(rows.select("owner", "h1", "h2"), ["h1", "h2"])
     held = rows.join(again, ["h1", "h2"], "left_semi").select("owner", "t").distinct()
     gap = F.lead("t").over(Window.partitionBy("owner").orderBy("t")) - F.col("t")
     covered = held.select("owner", F.least(F.coalesce(gap, F.lit(span)), F.lit(span)).alias("c")).groupBy("owner").agg(F.sum("c").alias("_covered"))
     known = docs.groupBy("owner", "doc_id").agg(F.max(F.length("text")).alias("n"))
-    copies = known.groupBy("owner").agg(F.count(F.lit(1)).alias("_copies"))
-    totals = known.join(copies, "owner").join(covered, "owner", "left")
+    copies = known.groupBy("owner").agg(F.count(F.lit(1)).alias("_copies"), F.min("doc_id").alias("first_id"))
+    totals = known.join(copies, "owner").join(covered.withColumnRenamed("owner", "first_id"), "first_id", "left")
     amount: Column = F.when(F.col("_copies") > 1, F.col("n")).otherwise(F.col("_covered")).cast("bigint")
     return totals.groupBy("doc_id").agg(F.max(amount).alias("shared_chars")).where("shared_chars is not null")
