@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lavra.functions.text import UNIT_NULL_TOKENS, null_if_token, strip
+from lavra.functions.text import UNIT_NULL_TOKENS, let, null_if_token, strip
 
 # Existing days as regular expressions: one match decides, and nothing is parsed that does not exist.
 YEAR = r"(?!0000)[0-9]{4}"
@@ -34,7 +34,7 @@ def parse_date(c: Column) -> Column:
     tokens and dates that do not exist give null. Both notations may occur in one file."""
     text = strip(null_if_token(c, UNIT_NULL_TOKENS))
     iso = F.regexp_replace(F.regexp_replace(text, LOOSE_DAY_FIRST, "$3-$2-$1"), LOOSE_YEAR_FIRST, "$1-$2-$3")
-    return F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}($|[ T])"), iso.try_cast("timestamp_ntz"))
+    return let(iso, lambda t: F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}($|[ T])"), t.try_cast("timestamp_ntz")))
 
 
 def period_of(c: Column) -> Column:

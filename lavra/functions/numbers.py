@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lavra.functions.text import UNIT_NULL_TOKENS, null_if_token, strip
+from lavra.functions.text import UNIT_NULL_TOKENS, let, null_if_token, strip
 
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # A strict amount: digits, plain or grouped in threes by one mark, a decimal part after the other mark.
@@ -16,22 +16,20 @@ STRICT_NUMBER = r"\A(?:R\$ ?)?(?:[0-9]+(?:[.,][0-9]+)?|[0-9]{1,3}(?:\.[0-9]{3})+
 
 def to_double(c: Column) -> Column:
     """Cast a plain number; null for anything else, also for ``5f``-like texts that a bare try_cast takes."""
-    return F.when(c.rlike(PLAIN_NUMBER), c.try_cast("double"))
+    return let(c, lambda t: F.when(t.rlike(PLAIN_NUMBER), t.try_cast("double")))
 
 
 def parse_number(c: Column) -> Column:
     """NUM-01: lenient amount. The last of two kinds of marks is the decimal mark, a lone comma too; a lone
     point stays decimal; whatever is then no number is null."""
-    text = F.regexp_replace(null_if_token(c, UNIT_NULL_TOKENS), r"[^0-9,.+-]", "")
-    comma, point = F.length(text) - F.instr(F.reverse(text), ","), F.length(text) - F.instr(F.reverse(text), ".")
-    both = text.contains(",") & text.contains(".")
-    brazilian = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    plain = (
-        F.when(both & (comma > point), brazilian)
-        .when(both, F.replace(text, F.lit(","), F.lit("")))
-        .otherwise(F.replace(text, F.lit(","), F.lit(".")))
-    )
-    return to_double(plain)
+
+    def plain(t: Column) -> Column:
+        comma_last = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
+        both = t.contains(",") & t.contains(".")
+        brazilian = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        return F.when(both & comma_last, brazilian).when(both, F.replace(t, F.lit(","), F.lit(""))).otherwise(F.replace(t, F.lit(","), F.lit(".")))
+
+    return to_double(let(F.regexp_replace(null_if_token(c, UNIT_NULL_TOKENS), r"[^0-9,.+-]", ""), plain))
 
 
 def is_strict_number(c: Column) -> Column:
@@ -42,20 +40,21 @@ def is_strict_number(c: Column) -> Column:
 def strict_number(c: Column) -> Column:
     """The value of a strict amount, null otherwise. ``1.234`` is read as one and a fraction: a lone mark
     is decimal, as in the lenient parser; more than one of the same mark groups."""
-    text = F.regexp_replace(strip(c), r"^R\$ ?", "")
-    grouped_point = text.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+,") | text.rlike(r"^[0-9]{1,3}(\.[0-9]{3}){2,}$")
-    grouped_comma = text.rlike(r"^[0-9]{1,3}(,[0-9]{3})+\.") | text.rlike(r"^[0-9]{1,3}(,[0-9]{3}){2,}$")
-    plain = (
-        F.when(grouped_point, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(grouped_comma, F.replace(text, F.lit(","), F.lit("")))
-        .otherwise(F.replace(text, F.lit(","), F.lit(".")))
-    )
-    return F.when(is_strict_number(c), plain.try_cast("double"))
+
+    def value(t: Column) -> Column:
+        plain = (
+            F.when(t.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+,|^[0-9]{1,3}(\.[0-9]{3}){2,}$"), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when(t.rlike(r"^[0-9]{1,3}(,[0-9]{3})+\.|^[0-9]{1,3}(,[0-9]{3}){2,}$"), F.replace(t, F.lit(","), F.lit("")))
+            .otherwise(F.replace(t, F.lit(","), F.lit(".")))
+        )
+        return plain.try_cast("double")
+
+    return let(strip(c), lambda t: F.when(t.rlike(STRICT_NUMBER), value(F.regexp_replace(t, r"^R\$ ?", ""))))
 
 
 def finite(c: Column) -> Column:
     """Null for NaN and the infinities."""
-    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    return let(c, lambda v: F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v))
 
 
 def safe_float(c: Column) -> Column:

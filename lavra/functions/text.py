@@ -37,6 +37,12 @@ def _fold_pairs() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a one-element array binds it, where a plain expression would
+    repeat it in each of its uses."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold_accents(c: Column) -> Column:
     """STR-03: drop combining marks and map accented Latin letters to ASCII, inside generated code."""
     src, dst = _fold_pairs()
@@ -54,12 +60,13 @@ def is_null_token(c: Column, tokens: tuple[str, ...] = UNIT_NULL_TOKENS) -> Colu
 
 
 def null_if_token(c: Column, tokens: tuple[str, ...] = UNIT_NULL_TOKENS) -> Column:
-    return F.when(~is_null_token(c, tokens), c)
+    return F.when(~F.lower(strip(c)).isin(*[t.lower() for t in tokens]), c)
 
 
 def normalize_text(c: Column, tokens: tuple[str, ...] = UNIT_NULL_TOKENS) -> Column:
     """STR-02: trimmed, inner white space squeezed, null tokens null."""
-    return F.when(~is_null_token(c, tokens), F.regexp_replace(strip(c), rf"{SPACE}+", " "))
+    known = [t.lower() for t in tokens]
+    return let(strip(c), lambda t: F.when(~F.lower(t).isin(*known), F.regexp_replace(t, rf"{SPACE}+", " ")))
 
 
 def text_key(c: Column) -> Column:
@@ -76,10 +83,8 @@ def street_key(c: Column) -> Column:
 
 def number_key(c: Column) -> Column:
     """STR-06: the first run of digits without leading zeros; null for "no number" notations."""
-    key = text_key(c)
-    digits = F.regexp_extract(key, r"(\d+)", 1)
-    none = key.isNull() | key.isin("SN", "S N", "SEM NUMERO") | (digits == "")
-    return F.when(~none, F.regexp_replace(digits, r"^0+(?=\d)", ""))
+    digits = let(text_key(c), lambda k: F.when(~k.isin("SN", "S N", "SEM NUMERO"), F.regexp_extract(k, r"(\d+)", 1)))
+    return F.nullif(F.regexp_replace(digits, r"^0+(?=\d)", ""), F.lit(""))
 
 
 def integerish(c: Column) -> Column:
@@ -89,14 +94,13 @@ def integerish(c: Column) -> Column:
 
 def postal_code_padded(c: Column) -> Column:
     """STR-08, unit files: digits padded to 8; any other length is null. A text without digits gives 00000000."""
-    digits = F.regexp_replace(normalize_text(c), r"\D", "")
-    return F.when(F.length(digits) <= 8, F.lpad(digits, 8, "0"))
+    return let(F.regexp_replace(normalize_text(c), r"\D", ""), lambda d: F.when(F.length(d) <= 8, F.lpad(d, 8, "0")))
 
 
 def postal_code_cut(c: Column) -> Column:
     """STR-08, address register: digits padded or cut to 8; null without digits."""
     digits = F.regexp_replace(normalize_text(c, REGISTER_NULL_TOKENS), r"\D", "")
-    return F.when(digits != "", F.when(F.length(digits) < 8, F.lpad(digits, 8, "0")).otherwise(F.substring(digits, 1, 8)))
+    return let(digits, lambda d: F.when(d != "", F.when(F.length(d) < 8, F.lpad(d, 8, "0")).otherwise(F.substring(d, 1, 8))))
 
 
 def code_digits(c: Column, length: int = 15) -> Column:

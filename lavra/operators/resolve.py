@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lavra.functions.similarity import indel_ratio
 from lavra.functions.text import code_digits, normalize_text, number_key, postal_code_cut, street_key
 from lavra.operators.points import coordinate, haversine_m
+from lavra.session import materialize
 
 # Fixed value: the sphere of the register's spread figures.
 SPREAD_RADIUS_M = 6_371_008.8
@@ -69,12 +70,19 @@ def geocode(addresses: DataFrame, index: DataFrame, area: str = "cod_municipio",
     number alone, which is the rule, not a shortcut.
     """
     key = [area, "street_key", "number_key", "cep_key"]
-    todo = addresses.select(*key).distinct()
+    # Written once: each is read by several of the steps below.
+    todo, index = materialize(addresses.select(*key).distinct()), materialize(index)
     named = todo.where("street_key is not null")
     place = [F.col(c) for c in PLACE]
 
     def step(rows: DataFrame, method: str, score: Column) -> DataFrame:
-        return rows.select(*key, F.lit(method).alias("geocode_method"), score.alias("geocode_score"), *place)
+        return materialize(rows.select(*key, F.lit(method).alias("geocode_method"), score.alias("geocode_score"), *place))
+
+    def scored(pairs: DataFrame, threshold: float, margin: float) -> DataFrame:
+        # The lengths bound the score; a candidate that can neither win nor spoil the margin is not scored.
+        a, b = F.length("street_key"), F.length("street_key_c")
+        pairs = pairs.where(F.least(a, b) * 200.0 / (a + b) >= threshold - margin)
+        return best_with_margin(pairs.withColumn("s", indel_ratio(F.col("street_key"), F.col("street_key_c"))), key, "s", threshold, margin)
 
     exact = step(named.join(index.where("number_key is not null and cep_key is not null"), key), "exact_street_number_cep", F.lit(100.0))
     rest = _without(named, exact, key)
@@ -82,15 +90,11 @@ def geocode(addresses: DataFrame, index: DataFrame, area: str = "cod_municipio",
     rest = _without(rest, by_number, key)
     candidates = index.withColumnsRenamed({"street_key": "street_key_c", "cep_key": "cep_key_c"})
     pairs = rest.where("cep_key is not null").join(candidates.withColumn("cep_key", F.col("cep_key_c")), [area, "number_key", "cep_key"])
-    pairs = pairs.withColumn("s", indel_ratio(F.col("street_key"), F.col("street_key_c")))
-    near = best_with_margin(pairs, key, "s", 78.0, 4.0)
-    near = step(near, "fuzzy_cep_number", F.round(F.least(F.lit(94.0), F.lit(75.0) + F.col("s") * 0.20), 2))
+    near = step(scored(pairs, 78.0, 4.0), "fuzzy_cep_number", F.round(F.least(F.lit(94.0), F.lit(75.0) + F.col("s") * 0.20), 2))
     rest = _without(rest, near, key)
     small = index.groupBy(area, "number_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= block_cap).drop("_n")
     wide = rest.join(candidates.join(small, [area, "number_key"], "left_semi"), [area, "number_key"])
-    wide = wide.withColumn("s", indel_ratio(F.col("street_key"), F.col("street_key_c")))
-    far = best_with_margin(wide, key, "s", 92.0, 5.0)
-    far = step(far, "fuzzy_number", F.round(F.least(F.lit(92.0), F.lit(70.0) + F.col("s") * 0.22), 2))
+    far = step(scored(wide, 92.0, 5.0), "fuzzy_number", F.round(F.least(F.lit(92.0), F.lit(70.0) + F.col("s") * 0.22), 2))
     found = exact.unionByName(by_number).unionByName(near).unionByName(far)
     if street_centroid:
         rest = _without(rest, far, key)

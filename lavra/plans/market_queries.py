@@ -8,6 +8,7 @@ from lavra.functions import numbers, similarity, text
 from lavra.functions.dates import parse_date
 from lavra.operators import census, deflate, guides, indicators, points, quality, resolve, spatialstats
 from lavra.plans.registry import Registry, table
+from lavra.streaming import monthly
 
 MARKET = Registry()
 AS_OF_YEAR = 2026
@@ -343,3 +344,141 @@ def indel_similarity(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     a, b = n.select("n_regionkey", F.col("n_nationkey").alias("ka"), F.col("n_name").alias("a")), n.select("n_regionkey", F.col("n_nationkey").alias("kb"), F.col("n_name").alias("b"))
     return a.join(b, "n_regionkey").where("ka < kb").select("a", "b", F.round(similarity.indel_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
+
+
+def _index(spark, sf_dir):
+    return resolve.build_address_index(table(spark, sf_dir, "address_register"))
+
+
+def _unit_addresses(spark, sf_dir):
+    rows = table(spark, sf_dir, "itbi_units").select("unit_row_id", "carga_em", "guide_group_id", "source_year", "cod_municipio", "logradouro", "n_endereco", "cep")
+    return resolve.address_keys(rows, "logradouro", "n_endereco", "cep")
+
+
+@MARKET.query()
+def address_index(spark, sf_dir):
+    return rounded(_index(spark, sf_dir), 9)
+
+
+@MARKET.query()
+def geocode_cascade(spark, sf_dir):
+    """Every distinct address of the unit rows with its place, exact or fuzzy."""
+    return rounded(resolve.geocode(_unit_addresses(spark, sf_dir), _index(spark, sf_dir)), 9)
+
+
+@MARKET.query()
+def geocode_tx_quality(spark, sf_dir):
+    units = _unit_addresses(spark, sf_dir)
+    placed = quality.null_safe_join(units, geocode_cascade(spark, sf_dir), ["cod_municipio", "street_key", "number_key", "cep_key"])
+    return rounded(resolve.transaction_quality(placed, ["cod_municipio", "guide_group_id"]))
+
+
+@MARKET.query()
+def geocode_summary(spark, sf_dir):
+    units = _unit_addresses(spark, sf_dir)
+    placed = quality.null_safe_join(units, geocode_cascade(spark, sf_dir), ["cod_municipio", "street_key", "number_key", "cep_key"])
+    return rounded(resolve.method_summary(placed))
+
+
+@MARKET.query("""WITH s AS (SELECT s_suppkey, nullif(s_nationkey % 5, 0) AS k FROM supplier), n AS (SELECT n_nationkey, n_name, nullif(n_nationkey, 0) AS k FROM nation WHERE n_nationkey < 5)
+SELECT s.s_suppkey, s.k, n.n_name FROM s LEFT JOIN n ON s.k IS NOT DISTINCT FROM n.k""")
+def null_safe_join(spark, sf_dir):
+    """Null keys meet null keys."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.nullif(F.col("s_nationkey") % 5, F.lit(0)).alias("k"))
+    n = table(spark, sf_dir, "nation").where("n_nationkey < 5").select("n_name", F.nullif("n_nationkey", F.lit(0)).alias("k"))
+    return quality.null_safe_join(s, n, ["k"]).select("s_suppkey", "k", "n_name")
+
+
+RINGS = """v AS (SELECT DISTINCT cd_mun AS grp, cd_setor AS region, round(CAST(split_part(p, ' ', 1) AS DOUBLE), 7) AS x, round(CAST(split_part(p, ' ', 2) AS DOUBLE), 7) AS y
+  FROM (SELECT cd_mun, cd_setor, unnest(regexp_extract_all(geometry_wkt, '-?[0-9.]+ -?[0-9.]+')) AS p FROM census_sectors)),
+e AS (SELECT DISTINCT a.grp, a.region AS src, b.region AS dst FROM v a JOIN v b USING (grp, x, y) WHERE a.region <> b.region)"""
+SECTOR_COUNTS = f"""{LATEST}, n AS (SELECT ano_analise, cod_municipio || sector_final_code AS region, count(*) AS c FROM latest WHERE flag_use_market_analysis AND sector_final_code IS NOT NULL AND ano_analise IS NOT NULL GROUP BY ALL),
+dense AS (SELECT y.ano_analise, cd_mun AS grp, cd_setor AS region, ln(1 + coalesce(c, 0)) AS value, coalesce(c, 0) AS c FROM census_sectors CROSS JOIN (SELECT DISTINCT ano_analise FROM n) y
+  LEFT JOIN n ON n.region = cd_setor AND n.ano_analise = y.ano_analise)"""
+LISA = f"""WITH {RINGS}, {SECTOR_COUNTS}, z AS (SELECT ano_analise, grp, region, value - avg(value) OVER (PARTITION BY ano_analise, grp) AS z FROM dense WHERE region IN (SELECT src FROM e)),
+l AS (SELECT z.ano_analise, z.grp, z.region, z.z, avg(o.z) AS lag_z FROM z JOIN e ON e.grp = z.grp AND e.src = z.region JOIN z o ON o.grp = z.grp AND o.region = e.dst AND o.ano_analise = z.ano_analise GROUP BY ALL)"""
+
+
+def _mesh(spark, sf_dir):
+    return spatialstats.queen_edges(spatialstats.vertices(table(spark, sf_dir, "census_sectors"), "cd_setor", "geometry_wkt", "cd_mun"))
+
+
+def _sector_counts(spark, sf_dir):
+    """Transactions per year and sector over the whole mesh, zeros included (the years are a calendar's few)."""
+    rows = market(spark, sf_dir).where("sector_final_code is not null and ano_analise is not null")
+    counts = rows.groupBy("ano_analise", F.concat("cod_municipio", "sector_final_code").alias("region")).agg(F.count(F.lit(1)).alias("c"))
+    mesh = table(spark, sf_dir, "census_sectors").select(F.col("cd_mun").alias("group"), F.col("cd_setor").alias("region"))
+    years = counts.agg(F.sort_array(F.collect_set("ano_analise")).alias("years"))
+    dense = mesh.crossJoin(F.broadcast(years)).select("group", "region", F.explode("years").alias("ano_analise"))
+    dense = dense.join(counts, ["ano_analise", "region"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    return dense.withColumn("value", F.log1p("c"))
+
+
+@MARKET.query(f"WITH {RINGS} SELECT grp AS \"group\", src, dst, round(1.0 / count(*) OVER (PARTITION BY grp, src), 6) AS w FROM e")
+def queen_edges(spark, sf_dir):
+    return rounded(_mesh(spark, sf_dir))
+
+
+@MARKET.query(LISA + """ SELECT ano_analise, grp AS "group", count(*) AS n, round(sum(z * lag_z) / nullif(sum(z * z), 0), 6) AS moran_i, round(-1.0 / (count(*) - 1), 6) AS expected_i FROM l GROUP BY ALL""")
+def moran_global_i(spark, sf_dir):
+    local = spatialstats.moran_local(_sector_counts(spark, sf_dir), _mesh(spark, sf_dir), ["ano_analise"])
+    return rounded(spatialstats.moran_global(local, ["ano_analise"]))
+
+
+@MARKET.query(LISA + """ SELECT ano_analise, grp AS "group", region, round(z, 6) AS z, round(lag_z, 6) AS lag_z,
+  round((count(*) OVER w - 1) * z * lag_z / nullif(sum(z * z) OVER w, 0), 6) AS local_i,
+  CASE WHEN z > 0 AND lag_z > 0 THEN 1 WHEN z <= 0 AND lag_z > 0 THEN 2 WHEN z <= 0 AND lag_z <= 0 THEN 3 ELSE 4 END AS quadrant FROM l WINDOW w AS (PARTITION BY ano_analise, grp)""")
+def lisa_quadrants(spark, sf_dir):
+    return rounded(spatialstats.moran_local(_sector_counts(spark, sf_dir), _mesh(spark, sf_dir), ["ano_analise"]))
+
+
+@MARKET.query()
+def moran_pvalues(spark, sf_dir):
+    return spatialstats.moran_permutations(_sector_counts(spark, sf_dir), _mesh(spark, sf_dir), ["ano_analise"])
+
+
+@MARKET.query(f"""WITH {SECTOR_COUNTS}, r AS (SELECT ano_analise, grp, region, CAST(c AS DOUBLE) AS v, count(*) OVER w AS n, sum(c) OVER w AS t, row_number() OVER (PARTITION BY ano_analise, grp ORDER BY c) AS r
+  FROM dense WINDOW w AS (PARTITION BY ano_analise, grp))
+SELECT ano_analise, grp AS "group", max(n) AS n_units, count(*) FILTER (v > 0) AS n_active, CAST(max(t) AS DOUBLE) AS total, round(sum((v / t) * (v / t)), 6) AS hhi, round(1 / sum((v / t) * (v / t)), 6) AS effective_units,
+  round(2 * sum(r * v) / (max(n) * max(t)) - (max(n) + 1.0) / max(n), 6) AS gini, round(100 * sum(v / t) FILTER (n - r + 1 <= 10), 6) AS pct_top_10,
+  round(100 * sum(v / t) FILTER (n - r + 1 <= greatest(1, ceil(n * 0.1))), 6) AS pct_top_10_percent FROM r GROUP BY ALL""")
+def spatial_concentration(spark, sf_dir):
+    return rounded(spatialstats.concentration(_sector_counts(spark, sf_dir), ["ano_analise", "group"], "c"))
+
+
+@MARKET.query("""WITH p AS (SELECT cod_municipio, (longitude_ / 0.001) AS gx, latitude_ / (0.001 * sqrt(3.0)) AS gy FROM (
+    SELECT cod_municipio, try_cast(replace(trim(latitude), ',', '.') AS DOUBLE) AS latitude_, try_cast(replace(trim(longitude), ',', '.') AS DOUBLE) AS longitude_ FROM address_register)
+  WHERE latitude_ <> 0 AND longitude_ <> 0 AND NOT isnan(latitude_) AND NOT isnan(longitude_)),
+c AS (SELECT cod_municipio, pow(gx - round(gx), 2) + 3 * pow(gy - round(gy), 2) < pow(gx - floor(gx) - 0.5, 2) + 3 * pow(gy - floor(gy) - 0.5, 2) AS a, gx, gy FROM p)
+SELECT cod_municipio, round(CASE WHEN a THEN round(gx) ELSE floor(gx) + 0.5 END * 0.001, 6) AS hx, round(CASE WHEN a THEN round(gy) ELSE floor(gy) + 0.5 END * (0.001 * sqrt(3.0)), 6) AS hy, count(*) AS n FROM c GROUP BY ALL""")
+def hexbin_density(spark, sf_dir):
+    rows = table(spark, sf_dir, "address_register").select("cod_municipio", points.coordinate(F.col("latitude")).alias("lat"), points.coordinate(F.col("longitude")).alias("lon"))
+    return rounded(spatialstats.hexbin(rows.where("lat is not null and lon is not null"), "lon", "lat", 0.001, ["cod_municipio"]))
+
+
+@MARKET.query()
+def census_profile(spark, sf_dir):
+    """Customers per nation in age-like bands by balance, as a census with suppressed cells."""
+    c = table(spark, sf_dir, "customer").withColumn("band", F.floor((F.col("c_acctbal") + 1000) / 1000).cast("int"))
+    basic = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("V0001")).withColumn("AREA_KM2", F.col("c_nationkey") + 1.0)
+    codes = [code for code, _ in census.AGE_BANDS.values()]
+    bands = [F.count_if(F.col("band") == i).alias(code) for i, code in enumerate(codes)]
+    demo = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("V01006"), F.count_if(F.col("c_custkey") % 2 == 0).alias("V01007"), F.count_if(F.col("c_custkey") % 2 == 1).alias("V01008"), *bands)
+    demo = demo.withColumn("V01031", F.when(F.col("c_nationkey") % 7 != 0, F.col("V01031")))
+    income = c.groupBy("c_nationkey").agg(
+        F.count(F.lit(1)).alias("V06001"), F.sum("c_custkey").alias("V06002"), F.var_pop("c_custkey").alias("V06003"), F.avg("c_acctbal").alias("V06004"), F.var_pop("c_acctbal").alias("V06005")
+    )
+    return rounded(census.census_profile(basic, demo, income, "c_nationkey"))
+
+
+@MARKET.query("SELECT 'v0001' AS \"column\", round(100.0 * count(*) FILTER (try_cast(v0001 AS DOUBLE) IS NULL) / count(*), 6) AS pct_missing FROM census_sectors")
+def census_missing(spark, sf_dir):
+    rows = table(spark, sf_dir, "census_sectors").select(census.census_number(F.col("v0001")).alias("v0001"))
+    return rounded(census.missing_rates(rows, ["v0001"]))
+
+
+@MARKET.query("SELECT strftime(ts, '%Y-%m') AS period, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def streaming_month_counts(spark, sf_dir):
+    """The monthly counts by event type, in the form that also runs on a stream."""
+    daily = monthly.monthly_counts(table(spark, sf_dir, "events"), "ts", "value", ["event_type"])
+    return rounded(monthly.roll_up(daily, ["event_type"]), 4)
