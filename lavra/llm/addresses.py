@@ -121,9 +121,11 @@ def parse_addresses(records: DataFrame, locale: Locale = PORTUGUESE, id_col: str
         "_rest": F.regexp_replace("_rest", block_at, " ; "),
     })
     words = f"{locale.flat}|{locale.room}|{locale.shop}|{locale.any_unit}"
-    unit_at = rf"(?:^|[^A-Z])({words})(?![A-Z])[\s.:/]*(?:N[O.]?[\s.]*)?(?:[A-Z' .-]*?)(\d+)"
-    kind = F.regexp_extract("_rest", unit_at, 1)
-    named = F.nullif(F.regexp_extract("_rest", unit_at, 2), F.lit(""))
+    # A unit word right before the digits counts first: a building's name may hold such a word too.
+    beside = rf"(?:^|[^A-Z])({words})(?![A-Z])[\s.:/]*(?:N[O.]?[\s.]*)?(\d+)"
+    apart = rf"(?:^|[^A-Z])({words})(?![A-Z])[A-Z'\s./:-]*?(\d+)"
+    either = lambda i: F.coalesce(F.nullif(F.regexp_extract("_rest", beside, i), F.lit("")), F.nullif(F.regexp_extract("_rest", apart, i), F.lit("")))
+    kind, named = either(1), either(2)
     bare = F.nullif(F.regexp_extract("_rest", r"(\d+)", 1), F.lit(""))
     district = F.split(F.trim(F.regexp_replace("_bairro", "[^A-Z0-9]+", " ")), " ")
     spelled = F.concat(F.array(_lookup(locale.districts, F.element_at(district, 1))), F.slice(district, F.lit(2), F.size(district)))
