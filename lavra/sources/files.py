@@ -22,7 +22,8 @@ FORMATS = ("csv", "zip", "pdf", "xlsx", "xls", "geojson", "json")
 
 
 def detect_encoding(head: bytes) -> str:
-    """The first encoding that reads the head of a file; a character cut at its end does not count."""
+    """The first encoding that reads the head of a file; a character cut at its end does not count. Spark reads
+    both one-byte encodings as Latin-1."""
     for encoding in ENCODINGS:
         try:
             head[: max(0, len(head) - 4) or len(head)].decode(encoding)
@@ -78,7 +79,7 @@ def read_unit_csv(spark: SparkSession, path: str | Path, schema: TargetSchema =
     df = (
         spark.read.schema(fields)
         .options(header=True, sep=delimiter, quote=quote, escape=quote, multiLine=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-        .option("encoding", "utf-8" if encoding.startswith("utf-8") else {"cp1252": "windows-1252"}.get(encoding, "iso-8859-1"))
+        .option("encoding", "utf-8" if encoding.startswith("utf-8") else "iso-8859-1")
         .csv(str(path))
     )
     # A multi-line file is read by one task in file order, so the growing id gives the record's place.
@@ -147,7 +148,7 @@ def read_price_series(spark: SparkSession, path: str) -> DataFrame:
     raise."""
     raw = spark.read.schema("data string, valor string").json(path, multiLine=True)
     rows = raw.select(
-        F.date_format(F.try_to_date("data", F.lit("dd/MM/yyyy")) if hasattr(F, "try_to_date") else F.try_to_timestamp("data", F.lit("dd/MM/yyyy")), "yyyy-MM").alias("period"),
+        F.date_format(F.try_to_date("data", "dd/MM/yyyy"), "yyyy-MM").alias("period"),
         F.replace("valor", F.lit(","), F.lit(".")).try_cast("double").alias("pct"),
     )
     if rows.where("period is null or pct is null").limit(1).count():
