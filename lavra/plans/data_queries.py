@@ -71,7 +71,7 @@ def _sectors(spark, sf_dir):
     return points.wkt_edges(table(spark, sf_dir, "census_sectors"), "cd_setor", "geometry_wkt", "cd_mun")
 
 
-@DATA.query()
+@DATA.query(data_sql.P4_FOUND)
 def p4_found(spark, sf_dir):
     rows = _register_points(spark, sf_dir)
     near = points.near_pairs(rows, 20.0, "cod_unico_endereco", group="cod_municipio").select(F.lit("near").alias("kind"), "id_a", "id_b")
