@@ -31,6 +31,27 @@ SELECT cod_municipio, ano_analise, mes_analise, s.c AS column_name FROM pairs WH
 """
 
 
+P5_PERCENTILES = """
+WITH latest AS (SELECT * FROM transactions_qc QUALIFY row_number() OVER (PARTITION BY cod_municipio, transaction_id ORDER BY carga_em DESC NULLS LAST) = 1),
+long AS (SELECT cod_municipio, year(data_pagamento) AS ano_analise, month(data_pagamento) AS mes_analise, unnest([{'c': 'valor_m2_base_real', 'v': valor_m2_base_real},
+    {'c': 'base_de_calculo_real', 'v': base_de_calculo_real}, {'c': 'area_referencia_m2', 'v': area_referencia_m2}]) AS s
+  FROM latest WHERE flag_use_market_analysis AND data_pagamento IS NOT NULL),
+q AS (SELECT cod_municipio, ano_analise, mes_analise, s.c AS column_name, unnest([0.25, 0.5, 0.75]) AS fraction, unnest(quantile_cont(s.v, [0.25, 0.5, 0.75])) AS percentile, count(s.v) AS n_values
+  FROM long WHERE s.v IS NOT NULL GROUP BY cod_municipio, ano_analise, mes_analise, s.c)
+SELECT cod_municipio, ano_analise, mes_analise, column_name, CAST(fraction AS DOUBLE) AS fraction, round(percentile, 6) AS percentile, n_values FROM q
+"""
+
+P9_FOUND = """
+WITH texts AS (SELECT text, min(doc_id) AS owner, count(DISTINCT doc_id) AS copies, length(text) AS n FROM documents WHERE length(text) >= 200 GROUP BY text),
+spans AS (SELECT owner, t, substr(text, t, 200) AS s FROM texts, LATERAL (SELECT unnest(range(1, n - 198)) AS t)),
+shared AS (SELECT s FROM spans GROUP BY s HAVING min(owner) <> max(owner)),
+starts AS (SELECT owner, t, lead(t) OVER (PARTITION BY owner ORDER BY t) AS nxt FROM spans SEMI JOIN shared USING (s)),
+covered AS (SELECT owner, sum(least(200, coalesce(nxt - t, 200))) AS c FROM starts GROUP BY owner)
+SELECT doc_id, CAST(max(CASE WHEN copies > 1 THEN n ELSE c END) AS BIGINT) AS shared_chars FROM documents JOIN texts USING (text) LEFT JOIN covered USING (owner)
+GROUP BY doc_id HAVING max(CASE WHEN copies > 1 THEN n ELSE c END) IS NOT NULL
+"""
+
+
 def _month_values(spark, sf_dir):
     columns = ["flag_use_market_analysis", "data_pagamento", *[c for c, _ in PUBLISHED.values()]]
     rows = table(spark, sf_dir, "transactions_qc")
@@ -46,12 +67,13 @@ def p5_found(spark, sf_dir):
     return percentiles.off_by(table(spark, sf_dir, "market_indicators_city_month"), exact, MONTH, PUBLISHED, 0.02)
 
 
-@LLM.query()
+@LLM.query(P5_PERCENTILES)
 def p5_percentiles(spark, sf_dir):
     """Quartiles of all three columns per municipality and month."""
     columns = [c for c, _ in PUBLISHED.values()]
     counts = percentiles.group_value_counts(_month_values(spark, sf_dir), MONTH, columns)
-    return percentiles.percentiles_from_counts(counts, MONTH, {c: [0.25, 0.5, 0.75] for c in columns})
+    found = percentiles.percentiles_from_counts(counts, MONTH, {c: [0.25, 0.5, 0.75] for c in columns})
+    return found.withColumn("percentile", F.round("percentile", 6))
 
 
 @LLM.query()
@@ -82,6 +104,6 @@ def p1_locations(spark, sf_dir):
     return keys.drop("raw").withColumnsRenamed({"id": "address_record_id", "area": "cod_municipio"})
 
 
-@LLM.query()
+@LLM.query(P9_FOUND)
 def p9_found(spark, sf_dir):
     return spans.shared_spans(table(spark, sf_dir, "documents"))
