@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.contracts import require_columns
@@ -146,30 +146,29 @@ def _most(value: Column, n: Column) -> Column:
 
 
 def fill_districts(parsed: DataFrame) -> DataFrame:
-    """Rule 1. Each lookup keeps the best attested district per key: by the whole postal code, by its first five
-    digits with the street name, by type and name or by name where that is known in one district only, by the
-    five digits where they are. Otherwise the district is the empty text until the street is known."""
-    key = F.array_join("name", " ")
-    parsed = parsed.withColumn("_name", key)
+    """Rule 1. A record without district takes the first that any of these gives: the best attested district of
+    its whole postal code; of the code's first five digits with the street's name; the one district in which the
+    type and name, the name, or the five digits are known. Otherwise the district is the empty text until
+    the street is known.
+
+    All lookups are one table of keys, so records are joined once. Rows that are equal in all parts are one row
+    afterwards.
+    """
+    parsed = parsed.withColumn("_name", F.array_join("name", " "))
+    prefix = F.substring("postcode", 1, 5)
+    # Rank, key, and whether the best attested district counts where several are known.
+    keys = [(F.concat(F.lit("c"), "postcode"), True), (F.concat_ws("|", F.concat(F.lit("p"), prefix), "_name"), True), (F.concat_ws("|", F.concat(F.lit("t"), "type"), "_name"), False),
+            (F.concat(F.lit("n"), "_name"), False), (F.concat(F.lit("d"), prefix), False)]
+    needs = [F.col("postcode"), F.col("postcode"), F.col("type"), F.col("_name"), F.col("postcode")]
+    keyed = F.array_compact(F.array(*[F.when(need.isNotNull(), F.struct(F.lit(i).alias("rank"), k.alias("key"), F.lit(best).alias("best"))) for i, ((k, best), need) in enumerate(zip(keys, needs))]))
     known = parsed.where("district is not null").groupBy("area", "postcode", "_name", "type", "district").agg(F.count(F.lit(1)).alias("n"))
-    sums = lambda *by: known.groupBy("area", *by, "district").agg(F.sum("n").alias("n")).groupBy("area", *by)
-    by_code = sums("postcode").agg(_most(F.col("district"), F.col("n")).alias("_d1")).where("postcode is not null")
-    known = known.withColumn("prefix", F.substring("postcode", 1, 5))
-    by_prefix = sums("prefix", "_name").agg(_most(F.col("district"), F.col("n")).alias("_d2")).where("prefix is not null")
-    single = F.when(F.count(F.lit(1)) == 1, F.max("district"))
-    by_area_code = sums("prefix").agg(single.alias("_d5")).where("prefix is not null and _d5 is not null")
-    by_name = sums("_name", "type").agg(single.alias("_d3")).where("type is not null and _d3 is not null")
-    by_bare_name = sums("_name").agg(single.alias("_d4")).where("_d4 is not null")
-    missing = parsed.where("district is null").withColumn("prefix", F.substring("postcode", 1, 5))
-    filled = (
-        missing.join(by_code, ["area", "postcode"], "left")
-        .join(by_prefix, ["area", "prefix", "_name"], "left")
-        .join(by_name, ["area", "_name", "type"], "left")
-        .join(by_bare_name, ["area", "_name"], "left")
-        .join(by_area_code, ["area", "prefix"], "left")
-        .withColumn("district", F.coalesce("_d1", "_d2", "_d3", "_d4", "_d5", F.lit("")))
-    )
-    return parsed.where("district is not null").unionByName(filled.select(*parsed.columns))
+    table = known.select("area", "district", "n", F.explode(keyed["key"]).alias("key")).groupBy("area", "key", "district").agg(F.sum("n").alias("n"))
+    table = table.groupBy("area", "key").agg(_most(F.col("district"), F.col("n")).alias("_d"), F.count(F.lit(1)).alias("_several"))
+    missing = parsed.where("district is null").drop("district").select("*", F.inline(keyed)).join(table, ["area", "key"], "left")
+    usable = F.when(F.col("best") | (F.col("_several") == 1), F.struct("rank", "_d"))
+    same = [c for c in parsed.columns if c != "district"]
+    filled = missing.groupBy(*same).agg(F.coalesce(F.min(usable)["_d"], F.lit("")).alias("district"))
+    return parsed.where("district is not null").unionByName(filled)
 
 
 def _swapped(a: Column, b: Column) -> Column:
@@ -216,10 +215,9 @@ def resolve_streets(parsed: DataFrame) -> DataFrame:
     better = mine.join(side, ["area", "district", "_key"]).where((F.col("_other") != F.col("_name")) & (F.col("_rank") > F.col("_own")))
     better = better.select("area", "district", "_name", "name", "_other", "_other_name", "_rank").distinct().where(same_name(F.col("name"), F.col("_other_name")))
     links = materialize(better.groupBy("area", "district", "_name").agg(F.max_by("_other", "_rank").alias("street")))
-    # A spelling links to a better attested one, which may itself link on: two more steps reach the best.
-    for _ in range(2):
-        on = links.select("area", "district", F.col("_name").alias("street"), F.col("street").alias("_next"))
-        links = links.join(on, ["area", "district", "street"], "left").select("area", "district", "_name", F.coalesce("_next", "street").alias("street"))
+    # A spelling links to the best attested one it can be, which may itself link on once more.
+    on = links.select("area", "district", F.col("_name").alias("street"), F.col("street").alias("_next"))
+    links = materialize(links.join(on, ["area", "district", "street"], "left").select("area", "district", "_name", F.coalesce("_next", "street").alias("street")))
     lost = keyed.where("district = ''").select("area", "_key", F.col("_name").alias("_lost"), F.col("name").alias("_lost_name"))
     could = lost.join(side.drop("_rank"), ["area", "_key"]).where(same_name(F.col("_lost_name"), F.col("_other_name")))
     could = could.select("area", "_lost", "district", F.col("_other").alias("_name")).distinct().join(links, ["area", "district", "_name"], "left")
@@ -232,22 +230,34 @@ def resolve_streets(parsed: DataFrame) -> DataFrame:
 
 
 def resolve_units(placed: DataFrame) -> DataFrame:
-    """Rules for type, block and unit: each missing part takes the only value known one level up."""
-    house = ["area", "district", "street", "number"]
-    types = placed.where("type is not null").groupBy("area", "district", "street", "type").agg(F.count(F.lit(1)).alias("n"))
-    types = types.groupBy("area", "district", "street").agg(_most(F.col("type"), F.col("n")).alias("_type"))
-    placed = placed.join(types, ["area", "district", "street"], "left").withColumn("type", F.coalesce("type", "_type", F.lit(""))).drop("_type")
-    placed = placed.withColumn("number", F.coalesce("number", F.lit("")))
-    house = [*house, "type"]
-    blocks = placed.where("unit is not null and block is not null").groupBy(*house, "unit").agg(F.min("block").alias("_b"), F.max("block").alias("_b2")).where("_b = _b2").drop("_b2")
-    placed = placed.join(blocks, [*house, "unit"], "left").withColumn("block", F.when(F.col("unit").isNotNull(), F.coalesce("block", "_b", F.lit(""))).otherwise(F.col("block"))).drop("_b")
-    kinds = placed.where("unit is not null and kind is not null").groupBy(*house, "unit", "block").agg(F.min("kind").alias("_k"), F.max("kind").alias("_k2")).where("_k = _k2").drop("_k2")
-    placed = placed.join(kinds, [*house, "unit", "block"], "left").withColumn("kind", F.when(F.col("unit").isNotNull(), F.coalesce("kind", "_k", F.lit("")))).drop("_k")
-    unit = F.struct("unit", "block", "kind")
-    only = placed.where("unit is not null").groupBy(*house).agg(F.min(unit).alias("_u"), F.max(unit).alias("_u2")).where("_u = _u2").drop("_u2")
-    placed = placed.join(only, house, "left")
-    key = F.when(F.col("unit").isNotNull(), unit).otherwise(F.coalesce("_u", F.struct(F.lit("").alias("unit"), F.coalesce("block", F.lit("")).alias("block"), F.lit("").alias("kind"))))
-    return placed.withColumn("_unit", key).drop("_u")
+    """Rules for type, block and unit: each missing part takes the only value known one level up.
+
+    Worked out on the distinct units of a house, not on its records, and joined back once.
+    """
+    street = ["area", "district", "street"]
+    types = placed.where("type is not null").groupBy(*street, "type").agg(F.count(F.lit(1)).alias("n"))
+    types = types.groupBy(*street).agg(_most(F.col("type"), F.col("n")).alias("_type"))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    placed = placed.join(types, street, "left").withColumns({
+        "type": F.coalesce("type", "_type", F.lit("")), "number": empty("number"), "unit": empty("unit"), "block": empty("block"), "kind": empty("kind"),
+    }).drop("_type")
+    house, given = [*street, "type", "number"], ["unit", "block", "kind"]
+    forms = placed.select(*house, *given).distinct().repartition(*house)
+
+    def only(c: str, keys: list[str]) -> Column:
+        """The one non-empty value of the rows that agree in ``keys``, else null."""
+        w = Window.partitionBy(*house, *keys)
+        value = F.nullif(F.col(c), F.lit(""))
+        return F.when(F.min(value).over(w) == F.max(value).over(w), F.min(value).over(w))
+
+    named = F.col("unit") != ""
+    forms = forms.withColumn("_block", F.when(named & (F.col("block") == ""), empty(only("block", ["unit"]))).otherwise(F.col("block")))
+    forms = forms.withColumn("_kind", F.when(named & (F.col("kind") == ""), empty(only("kind", ["unit", "_block"]))).otherwise(F.when(named, F.col("kind")).otherwise("")))
+    unit = F.struct(F.col("unit").alias("unit"), F.col("_block").alias("block"), F.col("_kind").alias("kind"))
+    everyone = Window.partitionBy(*house)
+    least, most = F.min(F.when(named, unit)).over(everyone), F.max(F.when(named, unit)).over(everyone)
+    forms = forms.withColumn("_unit", F.when(~named & (least == most), least).otherwise(unit))
+    return placed.join(forms.select(*house, *given, "_unit"), [*house, *given])
 
 
 def location_keys(records: DataFrame, locale: Locale = PORTUGUESE, id_col: str = "address_record_id", area: str = "cod_municipio") -> DataFrame:
@@ -256,7 +266,7 @@ def location_keys(records: DataFrame, locale: Locale = PORTUGUESE, id_col: str =
     Records of a null area are left out. A record without any street has an empty one.
     """
     parsed = materialize(parse_addresses(records.where(F.col(area).isNotNull()), locale, id_col, area))
-    placed = materialize(resolve_streets(fill_districts(parsed)))
+    placed = materialize(resolve_streets(materialize(fill_districts(parsed))))
     return resolve_units(placed).select("id", "area", "raw", "district", "street", "type", "number", F.col("_unit.unit").alias("unit"), F.col("_unit.block").alias("block"), F.col("_unit.kind").alias("kind"))
 
 
