@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lavra.contracts import require_columns
 from lavra.functions.stats import running_sums
 from lavra.functions.text import UNIT_NULL_TOKENS, null_if_token
+from lavra.session import materialize
 
 NUMERIC = {"double", "float", "int", "bigint", "smallint", "tinyint"}
 KEY = ["column_name", "text_value", "num_value"]
@@ -161,6 +162,8 @@ def findings(counts: DataFrame, log: DataFrame, rules: dict[str, Rule]) -> DataF
     Shares are compared in whole numbers, so that a change of exactly the limit is no finding. Loads that the
     log does not list, or lists without baseline, are not compared. Without rows there are no findings.
     """
+    # The maintained table: written once, read by the profile and by both sides of the comparison.
+    counts = materialize(counts)
     now = profile_from_counts(counts, rules)
     keep = ["load_id", "column_name", "n_rows", "n_null", "n_distinct", "n_pattern", "n_range"]
     log = log.groupBy("load_id").agg(F.max("baseline_load_id").alias("baseline_load_id"))

@@ -381,12 +381,12 @@ def geocode_summary(spark, sf_dir):
 
 
 @MARKET.query("""WITH s AS (SELECT s_suppkey, nullif(s_nationkey % 5, 0) AS k FROM supplier), n AS (SELECT n_nationkey, n_name, nullif(n_nationkey, 0) AS k FROM nation WHERE n_nationkey < 5)
-SELECT s.s_suppkey, s.k, n.n_name FROM s LEFT JOIN n ON s.k IS NOT DISTINCT FROM n.k""")
+SELECT s.s_suppkey, CAST(s.k AS VARCHAR) AS k, n.n_name FROM s LEFT JOIN n ON s.k IS NOT DISTINCT FROM n.k""")
 def null_safe_join(spark, sf_dir):
     """Null keys meet null keys."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.nullif(F.col("s_nationkey") % 5, F.lit(0)).alias("k"))
     n = table(spark, sf_dir, "nation").where("n_nationkey < 5").select("n_name", F.nullif("n_nationkey", F.lit(0)).alias("k"))
-    return quality.null_safe_join(s, n, ["k"]).select("s_suppkey", "k", "n_name")
+    return quality.null_safe_join(s, n, ["k"]).select("s_suppkey", F.col("k").cast("string").alias("k"), "n_name")
 
 
 RINGS = """v AS (SELECT DISTINCT cd_mun AS grp, cd_setor AS region, round(CAST(split_part(p, ' ', 1) AS DOUBLE), 7) AS x, round(CAST(split_part(p, ' ', 2) AS DOUBLE), 7) AS y
