@@ -13,7 +13,7 @@ from lavra.session import materialize
 DATA = Registry()
 
 
-@DATA.query()
+@DATA.query(data_sql.P3_FOUND)
 def p3_found(spark, sf_dir):
     return layouts.layout_changes(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "raw_files"))
 
@@ -25,7 +25,7 @@ def p3_ingested(spark, sf_dir):
     return layouts.replay(layouts.promote(rows, {"inscricao_cadastral": "string", "fracao_ideal": "double"}))
 
 
-@DATA.query()
+@DATA.query(data_sql.P6_FOUND)
 def p6_found(spark, sf_dir):
     return bad_rows.parse_failures(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "raw_files"))
 

@@ -55,3 +55,49 @@ P4_FOUND = f"""WITH {HELD}, near AS (SELECT DISTINCT least(a.id, b.id) AS id_a,
   WHERE 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 20)
 SELECT 'near' AS kind, id_a, id_b FROM near
 UNION ALL SELECT DISTINCT 'sector', id, CAST(cd_setor AS BIGINT) FROM held WHERE coalesce(left(regexp_replace(cod_setor, '[^0-9]', '', 'g'), 15), '') <> cd_setor"""
+
+#: Names of the test files' headers and what they stand for.
+RENAMED = {
+    "percentual_transmitido": "perc_transmitido", "pct_transmitido": "perc_transmitido", "perc_transm": "perc_transmitido", "numero_endereco": "n_endereco", "num_endereco": "n_endereco",
+    "numero_unidade": "n_unidade", "nr_unidade": "n_unidade", "area_construida_total": "area_constr_total", "area_total_construida": "area_constr_total", "area_constr_tot": "area_constr_total",
+    "area_construida_privativa": "area_constr_privativa", "area_priv_construida": "area_constr_privativa", "numero_matricula_reg_imoveis": "n_matricula_reg_imoveis",
+    "nr_matricula_ri": "n_matricula_reg_imoveis", "matricula_reg_imoveis": "n_matricula_reg_imoveis", "numero_zona_reg_imoveis": "n_zona_reg_imoveis", "zona_ri": "n_zona_reg_imoveis",
+}
+_FIELD = "''(?:[^'']|'''')*''|[^''' || d || '][^' || d || ']*|"
+_NAME = "regexp_replace(regexp_replace(lower(strip_accents(replace(replace(x, chr(65279), ''), '''', ''))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+RECORDS = f"""heads AS (SELECT file_id, delimiter AS d, list_transform(string_split(raw_text, delimiter), lambda x: {_NAME}) AS names FROM raw_lines JOIN raw_files USING (file_id) WHERE line_no = 1),
+named AS (SELECT *, list_transform(names, lambda x: coalesce(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in RENAMED.items())}}}[x], x)) AS cols FROM heads),
+recs AS (SELECT file_id, line_no, d, names, cols, coalesce(raw_text, '') AS t FROM raw_lines JOIN named USING (file_id) WHERE line_no > 1),
+split AS (SELECT *, regexp_full_match(t, '(?:{_FIELD})(?:[' || d || '](?:{_FIELD}))*') AS fine, list_transform(regexp_extract_all(t || d, '({_FIELD})[' || d || ']', 1),
+  lambda x: CASE WHEN starts_with(x, '''') THEN replace(x[2:-2], '''''', '''') ELSE x END) AS fields FROM recs)"""
+_NUMBER = r"(R\$ ?)?([0-9]+([.,][0-9]+)?|[0-9]{1,3}(\.[0-9]{3})+(,[0-9]+)?|[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?)"
+
+
+def _number(v: str) -> str:
+    return f"regexp_full_match(trim({v}), '{_NUMBER}')"
+
+
+def _date(v: str) -> str:
+    shape = "[0-9]{4}/[0-9]{2}/[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}( [0-9]{2}:[0-9]{2}:[0-9]{2})?"
+    return f"(regexp_full_match(trim({v}), '{shape}') AND try_strptime(trim({v}), ['%Y/%m/%d %H:%M:%S', '%d/%m/%Y', '%d/%m/%Y %H:%M:%S']) IS NOT NULL)"
+
+
+def _given(v: str) -> str:
+    return f"({v} IS NOT NULL AND lower(trim({v})) NOT IN {NULL_TOKENS})"
+
+
+P6_FOUND = f"""WITH {RECORDS}, v AS (SELECT *, fields[list_position(cols, 'base_de_calculo')] AS base, fields[list_position(cols, 'data_pagamento')] AS pay, fields[list_position(cols, 'area_constr_privativa')] AS area FROM split),
+r AS (SELECT DISTINCT file_id, line_no, CASE WHEN NOT fine THEN 'quoting' WHEN len(fields) <> len(cols) THEN 'field_count' WHEN {_given("base")} AND NOT {_number("base")} THEN 'bad_base_de_calculo'
+  WHEN {_given("pay")} AND NOT {_date("pay")} THEN 'bad_data_pagamento' WHEN {_given("area")} AND NOT {_number("area")} THEN 'bad_area_constr_privativa' END AS reason FROM v)
+SELECT * FROM r WHERE reason IS NOT NULL"""
+
+P3_FOUND = f"""WITH {RECORDS}, cells AS (SELECT file_id, unnest(cols) AS column_name, unnest(fields) AS v FROM split WHERE fine AND len(fields) = len(cols)),
+kinds AS (SELECT file_id, column_name, CASE WHEN count(*) FILTER (regexp_full_match(trim(v), '[0-9]+')) * 5 >= count(*) * 4 THEN 'integer' WHEN count(*) FILTER ({_number("v")}) * 5 >= count(*) * 4 THEN 'decimal'
+  WHEN count(*) FILTER ({_date("v")}) * 5 >= count(*) * 4 THEN 'timestamp' ELSE 'text' END AS kind FROM cells WHERE {_given("v")} GROUP BY ALL),
+described AS (SELECT n.file_id, n.column_name, n.name, kind FROM (SELECT file_id, unnest(cols) AS column_name, unnest(names) AS name FROM named) n LEFT JOIN kinds USING (file_id, column_name)),
+chain AS (SELECT file_id, lag(file_id) OVER (PARTITION BY cod_municipio ORDER BY seq_no) AS before FROM raw_files WHERE file_id IN (SELECT file_id FROM heads)),
+later AS (SELECT d.*, before FROM described d JOIN chain USING (file_id) WHERE before IS NOT NULL), old AS (SELECT c.file_id, d.column_name, d.name, d.kind FROM chain c JOIN described d ON d.file_id = c.before),
+sides AS (SELECT coalesce(l.file_id, o.file_id) AS file_id, coalesce(l.column_name, o.column_name) AS column_name, l.name AS n1, o.name AS n0, l.kind AS k1, o.kind AS k0
+  FROM later l FULL JOIN old o ON l.file_id = o.file_id AND l.column_name = o.column_name)
+SELECT file_id, column_name, 'added' AS change_kind FROM sides WHERE n0 IS NULL UNION ALL SELECT file_id, column_name, 'removed' FROM sides WHERE n1 IS NULL
+UNION ALL SELECT file_id, column_name, 'renamed' FROM sides WHERE n1 <> n0 UNION ALL SELECT file_id, column_name, 'type_changed' FROM sides WHERE k1 <> k0"""
