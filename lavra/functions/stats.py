@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of ``keys`` in both tables."""
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))
-
-
 def order_bucket(value: Column, per_e_fold: int = 64) -> Column:
     """A bucket number that never falls as the value grows; widths follow the magnitude (about 1.6% of the
     value), so that neither a wide range nor outliers fill one bucket."""

@@ -355,9 +355,28 @@ def _unit_addresses(spark, sf_dir):
     return resolve.address_keys(rows, "logradouro", "n_endereco", "cep")
 
 
-@MARKET.query()
+def _sql_plain(c: str) -> str:
+    return f"CASE WHEN lower(trim({c})) NOT IN ('', 'nan', 'none', 'null', 'na', 'n/a', '<na>', '-') THEN regexp_replace(trim({c}), '\\s+', ' ', 'g') END"
+
+
+KEY = "cod_municipio, street_key, number_key, cep_key"
+INDEX = f"""WITH r AS (SELECT cod_municipio, nullif(concat_ws(' ', {_sql_plain("nom_tipo_seglogr")}, {_sql_plain("nom_titulo_seglogr")}, {_sql_plain("nom_seglogr")}), '') AS label,
+    nullif(left(regexp_replace(cod_setor, '[^0-9]', '', 'g'), 15), '') AS sector, nv_geo_coord AS lvl, try_cast(replace(trim(latitude), ',', '.') AS DOUBLE) AS lat,
+    try_cast(replace(trim(longitude), ',', '.') AS DOUBLE) AS lon, num_endereco, regexp_replace(CASE WHEN lower(trim(cep)) NOT IN ('nan', 'none', 'null', '<na>') THEN cep END, '\\D', '', 'g') AS z FROM address_register),
+a AS (SELECT *, {_sql_street("label")} AS street_key, {_sql_number("num_endereco")} AS number_key, CASE WHEN z <> '' THEN CASE WHEN length(z) < 8 THEN lpad(z, 8, '0') ELSE left(z, 8) END END AS cep_key
+  FROM r WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND lat <> 0 AND lon <> 0),
+k AS (SELECT * FROM a WHERE street_key IS NOT NULL),
+m AS (SELECT {KEY}, what, v, row_number() OVER (PARTITION BY {KEY}, what ORDER BY count(*) DESC, v) AS n FROM (SELECT {KEY}, 'label' AS what, label AS v FROM k UNION ALL SELECT {KEY}, 'sector', sector FROM k UNION ALL SELECT {KEY}, 'level', CAST(lvl AS VARCHAR) FROM k)
+  WHERE v IS NOT NULL GROUP BY {KEY}, what, v),
+w AS (SELECT {KEY}, max(v) FILTER (what = 'label') AS label, max(v) FILTER (what = 'sector') AS sector_code, CAST(max(v) FILTER (what = 'level') AS INTEGER) AS geo_level FROM m WHERE n = 1 GROUP BY ALL),
+g AS (SELECT {KEY}, round(median(lat), 7) AS latitude, round(median(lon), 7) AS longitude, count(DISTINCT sector) AS n_sector_codes, count(*) AS n_records,
+  round(2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(max(lat) - min(lat)) / 2), 2) + cos(radians(min(lat))) * cos(radians(max(lat))) * pow(sin(radians(max(lon) - min(lon)) / 2), 2)))), 4) AS spread_m FROM k GROUP BY ALL)
+SELECT g.*, w.label, w.sector_code, w.geo_level FROM g LEFT JOIN w ON g.cod_municipio = w.cod_municipio AND g.street_key = w.street_key AND g.number_key IS NOT DISTINCT FROM w.number_key AND g.cep_key IS NOT DISTINCT FROM w.cep_key"""
+
+
+@MARKET.query(INDEX)
 def address_index(spark, sf_dir):
-    return rounded(_index(spark, sf_dir), 9)
+    return rounded(_index(spark, sf_dir), 7, {"spread_m": 4})
 
 
 @MARKET.query()
