@@ -84,7 +84,7 @@ def cuts(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -
     return np.unique(best).astype(np.int64)
 
 
-def _groups(owners: list, texts: list, least: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def _groups(texts: list, least: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Texts of at least ``least`` code points, some at a time: their indices, code points and borders."""
     held, arrays, size = [], [], 0
     for i, text in enumerate(texts):
@@ -133,7 +133,7 @@ def chunk_digests(texts: DataFrame, span: int) -> DataFrame:
         hasher = SpanHasher(11)
         for batch in batches:
             owners = batch.column(0)
-            for held, codes, borders in _groups([], batch.column(1).to_pylist(), span):
+            for held, codes, borders in _groups(batch.column(1).to_pylist(), span):
                 p, q, text = _chunks(codes, borders, window)
                 digests = hasher.of(hasher.sums(codes), p - before, q + after + 1)
                 yield pa.RecordBatch.from_arrays([owners.take(pa.array(held)), _lists(digests, text, len(held), pa.int64())], ["owner", "digests"])
@@ -153,7 +153,7 @@ def candidate_spans(texts: DataFrame, span: int) -> DataFrame:
         first, second = SpanHasher(11), SpanHasher(29)
         for batch in batches:
             owners, shared = batch.column(0), batch.column(2).to_pylist()
-            for held, codes, borders in _groups([], batch.column(1).to_pylist(), span):
+            for held, codes, borders in _groups(batch.column(1).to_pylist(), span):
                 p, q, text = _chunks(codes, borders, window)
                 begin = np.searchsorted(text, np.arange(len(held)), "left")
                 known = np.zeros(len(p), bool)
@@ -194,12 +194,12 @@ def shared_spans(documents: DataFrame, span: int = 200, id_col: str = "doc_id",
     another document, and how many of its code points lie in such stretches.
 
     Equal texts are worked on once: all of a text that several documents have is shared. Null texts and texts
-    shorter than the span share nothing. A stretch that occurs twice in one document only is not shared. Rows
+    shorter than the span share nothing; rows without id are left out. A stretch that occurs twice in one document only is not shared. Rows
     with one id count as one document.
     """
     require_columns(documents, [id_col, text_col], "documents")
     require_range("span", span, 100)
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") >= span)
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where((F.length("text") >= span) & F.col("doc_id").isNotNull())
     docs = docs.withColumn("owner", F.xxhash64("text", F.length("text")))
     texts = docs.select("owner", "text")
     chunks = chunk_digests(texts, span).select("owner", F.posexplode("digests").alias("i", "digest"))
