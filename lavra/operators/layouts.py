@@ -18,6 +18,7 @@ from lavra.functions.dates import STRICT_DATE, parse_date
 from lavra.functions.numbers import STRICT_NUMBER, strict_number
 from lavra.functions.text import UNIT_NULL_TOKENS, header_key, strip
 from lavra.operators.records import FileLayout, once, parse_records, read_headers
+from lavra.session import materialize
 
 # Canonical columns of a unit file with their types, and the listed aliases.
 UNIT_SCHEMA = {
@@ -121,14 +122,18 @@ def resolve_headers(headers: DataFrame, schema: TargetSchema = UNITS) -> DataFra
 
 
 def resolved_headers(lines: DataFrame, files: DataFrame, schema: TargetSchema = UNITS, layout: FileLayout = FileLayout()) -> DataFrame:
-    """``read_headers`` with ``columns``: the resolved name of each header in file order."""
+    """``read_headers`` with ``columns``: the resolved name of each header in file order.
+
+    Written once, so that its size is known: Spark then sends a small table of headers to the records instead of
+    shuffling the records to it, and joins by shuffle when there are very many files.
+    """
     headers = read_headers(lines, files, layout)
     names = (
         resolve_headers(headers, schema)
         .groupBy("file_id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "column_name"))), lambda s: s["column_name"]).alias("columns"))
     )
-    return headers.join(names, "file_id", "left")
+    return materialize(headers.join(names, "file_id", "left"))
 
 
 def cell_kind(value: Column) -> Column:
