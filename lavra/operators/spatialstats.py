@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.contracts import require_range
-from lavra.session import ship_package
+from lavra.session import materialize, ship_package
 
 
 def vertices(regions: DataFrame, region: str, wkt: str, group: str) -> DataFrame:
@@ -30,16 +30,17 @@ def queen_edges(points: DataFrame) -> DataFrame:
 
 
 def moran_local(values: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    """STA-07, exact part: ``by, group, region, z, lag_z, local_i, quadrant`` over ``values`` (``by, group,
+    """STA-07, exact part (``moran_clusters`` adds significance): ``by, group, region, z, lag_z, local_i, quadrant`` over ``values`` (``by, group,
     region, value``), regions without neighbours left out. Quadrants: 1 high among high, 2 low among high,
     3 low among low, 4 high among low."""
-    linked = values.where(F.col("value").isNotNull()).join(edges.select("group", F.col("src").alias("region")).distinct(), ["group", "region"], "left_semi")
+    valued = values.where(F.col("value").isNotNull())
+    pairs = edges.select("group", F.col("src").alias("region"), "dst").join(valued.select(*by, "group", F.col("region").alias("dst"), F.col("value").alias("_vn")), ["group", "dst"])
+    # Neighbours without a value are no neighbours: the weights are scaled to those that have one. A region left
+    # without neighbours counts for nothing, the mean included.
+    lag = pairs.groupBy(*by, "group", "region").agg(F.avg("_vn").alias("_lag"))
     unit = Window.partitionBy(*by, "group")
-    z = linked.withColumn("z", F.col("value") - F.avg("value").over(unit)).select(*by, "group", "region", "z")
-    near = z.select(*by, "group", F.col("region").alias("dst"), F.col("z").alias("_zn"))
-    # Neighbours without a value are no neighbours: the weights are scaled to those that have one.
-    lag = edges.select("group", F.col("src").alias("region"), "dst").join(near, ["group", "dst"]).groupBy(*by, "group", "region").agg(F.avg("_zn").alias("lag_z"))
-    both = z.join(lag, [*by, "group", "region"])
+    both = valued.join(lag, [*by, "group", "region"]).withColumn("_mean", F.avg("value").over(unit))
+    both = both.withColumns({"z": F.col("value") - F.col("_mean"), "lag_z": F.col("_lag") - F.col("_mean")})
     # Variance and count are those of the regions that have a neighbour with a value.
     both = both.withColumns({"_s": F.sum(F.col("z") * F.col("z")).over(unit), "_n": F.count(F.lit(1)).over(unit)})
     local = F.try_divide((F.col("_n") - 1) * F.col("z") * F.col("lag_z"), F.col("_s"))
@@ -99,6 +100,69 @@ def moran_permutations(values: DataFrame, edges: DataFrame, by: list[str], permu
     )
 
 
+def value_frame(indicators: DataFrame, metric: str, by: list[str], least: int = 5, count: str = "n_transacoes") -> DataFrame:
+    """PRJ-20, value: ``by, group, region, value`` of the regions with at least ``least`` transactions and a metric."""
+    return indicators.where((F.col(count) >= least) & F.col(metric).isNotNull()).select(*by, "group", "region", F.col(metric).cast("double").alias("value"))
+
+
+def volume_frame(counts: DataFrame, by: list[str], count: str = "n_transacoes") -> DataFrame:
+    """PRJ-20, volume: ``by, group, region, value`` of all regions, ``value = log(1 + count)``, a missing count zero."""
+    return counts.select(*by, "group", "region", F.log1p(F.coalesce(F.col(count), F.lit(0))).alias("value"))
+
+
+def moran_clusters(
+    values: DataFrame, edges: DataFrame, by: list[str], permutations: int = 999, alpha: float = 0.05, seed: int = 42, per_task: int = 200
+) -> DataFrame:
+    """STA-07: ``moran_local`` with ``p_sim`` and ``cluster``: HH, LH, LL, HL, or NS where ``p_sim > alpha``.
+
+    Conditional permutations: a region keeps its value, its neighbours' values are drawn without replacement
+    from all other regions of the unit; the regions of a unit share the draws. The regions are spread over tasks, the
+    draws are seeded by unit. The p-value counts the draws at least as extreme on the nearer side; a draw equal to the
+    observed one counts on both, so that a region whose neighbours are all others is not significant. Units of
+    fewer than three regions, or whose values do not vary, have a null p-value and cluster.
+    """
+    require_range("permutations", permutations, 99)
+    ship_package()
+    local = materialize(moran_local(values, edges, by))
+    nodes = local.groupBy(*by, "group").agg(F.array_sort(F.collect_list(F.struct("region", "z"))).alias("nodes"))
+    pairs = edges.select("group", "src", "dst").groupBy("group").agg(F.collect_list(F.struct("src", "dst")).alias("pairs"))
+    unit = F.concat_ws("|", *[F.col(c).cast("string") for c in [*by, "group"]])
+    work = nodes.where("size(nodes) > 2").join(pairs, "group").withColumn("unit", unit)
+    work = work.withColumn("first", F.explode(F.sequence(F.lit(0), F.size("nodes") - 1, F.lit(per_task)))).repartition(*by, "group", "first")
+    kinds = dict(local.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                names = [n["region"] for n in r.nodes]
+                index = {name: i for i, name in enumerate(names)}
+                z = np.array([n["z"] for n in r.nodes], float)
+                scale = float(np.abs(z).max())
+                if scale <= 1e-12:
+                    continue
+                near: list[list[int]] = [[] for _ in names]
+                for p in r.pairs:
+                    if p["src"] in index and p["dst"] in index:
+                        near[index[p["src"]]].append(index[p["dst"]])
+                rng = np.random.default_rng([seed, zlib.crc32(r.unit.encode())])
+                most = max(map(len, near))
+                draws = np.stack([rng.permutation(len(z) - 1)[:most] for _ in range(permutations)])
+                for i in range(r.first, min(r.first + per_task, len(z))):
+                    drawn = draws[:, : len(near[i])]
+                    # Without the region itself.
+                    simulated = z[i] * z[drawn + (drawn >= i)].mean(axis=1)
+                    observed, slack = z[i] * z[near[i]].mean(), 1e-12 * scale * scale
+                    extreme = min((simulated >= observed - slack).sum(), (simulated <= observed + slack).sum())
+                    rows.append((*[getattr(r, c) for c in by], r.group, names[i], (extreme + 1) / (permutations + 1)))
+            yield pd.DataFrame(rows, columns=[*by, "group", "region", "p_sim"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, "group", "region"]) + ", p_sim double"
+    tested = local.join(work.mapInPandas(run, schema), [*by, "group", "region"], "left")
+    named = F.when(F.col("p_sim") > alpha, "NS").when(F.col("p_sim").isNotNull(), F.element_at(F.array(*map(F.lit, ("HH", "LH", "LL", "HL"))), F.col("quadrant")))
+    return tested.withColumn("cluster", named)
+
+
 def concentration(counts: DataFrame, by: list[str], value: str, top: int = 10) -> DataFrame:
     """AGG-22, STA-04: over a dense domain (zeros included): how many units, how many active, total, HHI, its
     reciprocal, Gini, and the shares of the top ``top`` units and of the top tenth of units (one at least)."""

@@ -456,6 +456,45 @@ def moran_pvalues(spark, sf_dir):
     return spatialstats.moran_permutations(_sector_counts(spark, sf_dir), _mesh(spark, sf_dir), ["ano_analise"])
 
 
+VALUE_LISA = f"""WITH {RINGS}, {LATEST}, val AS (SELECT ano_analise, cod_municipio AS grp, cod_municipio || sector_final_code AS region, median(valor_m2_base_real) AS value FROM latest
+  WHERE flag_use_spatial_analysis AND sector_final_code IS NOT NULL AND ano_analise IS NOT NULL GROUP BY ALL HAVING count(*) >= 5 AND median(valor_m2_base_real) IS NOT NULL),
+p AS (SELECT a.ano_analise, a.grp, a.region, any_value(a.value) AS value, avg(b.value) AS lag FROM val a JOIN e ON e.grp = a.grp AND e.src = a.region JOIN val b ON b.grp = e.grp AND b.region = e.dst AND b.ano_analise = a.ano_analise GROUP BY ALL),
+l AS (SELECT ano_analise, grp, region, value - avg(value) OVER w AS z, lag - avg(value) OVER w AS lag_z FROM p WINDOW w AS (PARTITION BY ano_analise, grp))"""
+
+
+def _sector_values(spark, sf_dir):
+    """Median price per m2 of the sectors with five transactions or more, by year."""
+    rows = latest(spark, sf_dir).where(indicators.flagged("flag_use_spatial_analysis")).where("sector_final_code is not null and ano_analise is not null")
+    rows = rows.withColumns({"group": F.col("cod_municipio"), "region": F.concat("cod_municipio", "sector_final_code")})
+    metrics = indicators.market_metrics(rows, ["ano_analise", "group", "region"])
+    return spatialstats.value_frame(metrics, "valor_m2_mediano_real", ["ano_analise"])
+
+
+def _both_metrics(spark, sf_dir):
+    volume = spatialstats.volume_frame(_sector_counts(spark, sf_dir), ["ano_analise"], "c").withColumn("metric", F.lit("log_transacoes"))
+    return volume.unionByName(_sector_values(spark, sf_dir).withColumn("metric", F.lit("valor_m2_mediano_real")))
+
+
+@MARKET.query(VALUE_LISA + """ SELECT ano_analise, grp AS "group", region, round(z, 6) AS z, round(lag_z, 6) AS lag_z,
+  round((count(*) OVER w - 1) * z * lag_z / nullif(sum(z * z) OVER w, 0), 6) AS local_i,
+  CASE WHEN z > 0 AND lag_z > 0 THEN 1 WHEN z <= 0 AND lag_z > 0 THEN 2 WHEN z <= 0 AND lag_z <= 0 THEN 3 ELSE 4 END AS quadrant FROM l WINDOW w AS (PARTITION BY ano_analise, grp)""")
+def lisa_value_quadrants(spark, sf_dir):
+    """The exact part of the value branch; ``lisa_clusters`` says which of them are significant."""
+    return rounded(spatialstats.moran_local(_sector_values(spark, sf_dir), _mesh(spark, sf_dir), ["ano_analise"]))
+
+
+@MARKET.query()
+def moran_driver(spark, sf_dir):
+    """Global statistic with p-value for value and volume, by year."""
+    return spatialstats.moran_permutations(_both_metrics(spark, sf_dir), _mesh(spark, sf_dir), ["metric", "ano_analise"])
+
+
+@MARKET.query()
+def lisa_clusters(spark, sf_dir):
+    """Local clusters for value and volume, by year, NS where not significant."""
+    return spatialstats.moran_clusters(_both_metrics(spark, sf_dir), _mesh(spark, sf_dir), ["metric", "ano_analise"])
+
+
 @MARKET.query(f"""WITH {SECTOR_COUNTS}, r AS (SELECT ano_analise, grp, region, CAST(c AS DOUBLE) AS v, count(*) OVER w AS n, sum(c) OVER w AS t, row_number() OVER (PARTITION BY ano_analise, grp ORDER BY c) AS r
   FROM dense WINDOW w AS (PARTITION BY ano_analise, grp))
 SELECT ano_analise, grp AS "group", max(n) AS n_units, count(*) FILTER (v > 0) AS n_active, CAST(max(t) AS DOUBLE) AS total, round(sum((v / t) * (v / t)), 6) AS hhi, round(1 / sum((v / t) * (v / t)), 6) AS effective_units,

@@ -157,6 +157,38 @@ def test_contiguity_and_moran(spark):
     assert p.p_sim == spatialstats.moran_permutations(v, edges, ["y"], permutations=199, per_task=7).first().p_sim
 
 
+def test_local_clusters_and_value_branch(spark):
+    n, rng = 5, random.Random(4)
+    regions = spark.createDataFrame(lattice(n), "r string, g string, w string")
+    edges = spatialstats.queen_edges(spatialstats.vertices(regions, "r", "w", "g"))
+    value = {f"{x}{y}": x * x + rng.random() for x in range(n) for y in range(n)}
+    rows = [(1, "g", k, 5, v) for k, v in value.items()] + [(1, "g", "far", 9, 500.0), (2, "g", "00", 5, 1.0), (2, "g", "11", 5, 3.0), (2, "g", "44", 50, 80.0), (2, "g", "01", 4, 9.0), (2, "g", "10", 9, None)]
+    sectors = spark.createDataFrame(rows, "y int, group string, region string, n_transacoes int, m double")
+    frame = spatialstats.value_frame(sectors, "m", ["y"])
+    # Year 2: four transactions or no metric are out; what then has no neighbour is out of the mean too.
+    assert {(r.region, r.z, r.lag_z) for r in spatialstats.moran_local(frame, edges, ["y"]).where("y = 2").collect()} == {("00", -1.0, 1.0), ("11", 1.0, -1.0)}
+    assert {r.value for r in spatialstats.volume_frame(spark.createDataFrame([("g", "a", None), ("g", "b", 3)], "group string, region string, n_transacoes int"), []).collect()} == {0.0, math.log(4)}
+    got = {(r.y, r.region): r for r in spatialstats.moran_clusters(frame, edges, ["y"]).collect()}
+    assert len(got) == n * n + 2 and got[2, "00"].p_sim is None and got[2, "00"].cluster is None
+    mean = sum(value.values()) / n / n
+    for k, v in value.items():
+        near = [j for j in value if j != k and max(abs(int(k[0]) - int(j[0])), abs(int(k[1]) - int(j[1]))) == 1]
+        others, z = [j for j in value if j != k], v - mean
+        lag = lambda names: sum(value[j] - mean for j in names) / len(names)
+        drawn = [z * lag(rng.sample(others, len(near))) for _ in range(4000)]
+        above = sum(d >= z * lag(near) for d in drawn) / 4000
+        assert got[1, k].p_sim == pytest.approx(min(above, 1 - above), abs=0.06)
+        assert got[1, k].cluster == ("NS" if got[1, k].p_sim > 0.05 else ["HH", "LH", "LL", "HL"][got[1, k].quadrant - 1])
+    assert got[1, "42"].cluster == "HH" and {r.cluster for r in got.values()} >= {"HH", "NS"}
+    again = {(r.y, r.region): r.p_sim for r in spatialstats.moran_clusters(frame, edges, ["y"], per_task=3).collect()}
+    assert again == {k: r.p_sim for k, r in got.items()}
+    # All others are neighbours: every draw is the observed one.
+    ring = spark.createDataFrame(lattice(2), "r string, g string, w string")
+    small = spark.createDataFrame([(1, "g", f"{i}{j}", float(i + 3 * j)) for i in range(2) for j in range(2)], "y int, group string, region string, value double")
+    meshed = spatialstats.queen_edges(spatialstats.vertices(ring, "r", "w", "g"))
+    assert {r.cluster for r in spatialstats.moran_clusters(small, meshed, ["y"]).collect()} == {"NS"}
+
+
 def test_concentration_and_hexbin(spark):
     df = spark.createDataFrame([(1, x) for x in (0, 0, 1, 3, 6)], "y int, c int")
     r = spatialstats.concentration(df, ["y"], "c", 2).first()
