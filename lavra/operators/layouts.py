@@ -231,11 +231,10 @@ def _move(table: DataFrame, moves: dict[str, tuple[str, str]], cast=cast_cell) -
     return table.select(*old, *new, F.when(F.size(kept) > 0, F.to_json(kept)).alias("_rescued"))
 
 
-def column_types(cells: DataFrame) -> DataFrame:
-    """``file_id, column_name, kind`` from ``read_cells``: the first of integer, decimal, timestamp, text that
-    at least four in five of the non-null cells have. A column without non-null cells has no row."""
-    cells = cells.where(F.col("_cells").isNotNull()).select("file_id", F.explode("_cells").alias("column_name", "v"))
-    cells = cells.select("file_id", "column_name", cell_kind(F.col("v")).alias("k"))
+def column_types(ingested: DataFrame) -> DataFrame:
+    """``file_id, column_name, kind`` from the ``_kinds`` of ingested rows: the first of integer, decimal, timestamp,
+    text that at least four in five of the non-null cells have. A column without non-null cells has no row."""
+    cells = ingested.where(F.col("_kinds").isNotNull()).select("file_id", F.explode("_kinds").alias("column_name", "k"))
     n = F.count_if(F.col("k") > 0)
     share = lambda *kinds: F.count_if(F.col("k").isin(*kinds)) * 5 >= n * 4
     kind = F.when(share(1), "integer").when(share(1, 2), "decimal").when(share(3), "timestamp").otherwise("text")
@@ -243,16 +242,18 @@ def column_types(cells: DataFrame) -> DataFrame:
 
 
 def layout_changes(
-    lines: DataFrame, files: DataFrame, group: str = "cod_municipio", order: str = "seq_no", schema: TargetSchema = UNITS, layout: FileLayout = FileLayout()
+    lines: DataFrame, files: DataFrame, group: str = "cod_municipio", order: str = "seq_no", schema: TargetSchema = UNITS, layout: FileLayout = FileLayout(),
+    ingested: DataFrame | None = None,
 ) -> DataFrame:
     """``file_id, column_name, change_kind`` of each file against the one before it in its group.
 
-    Files without a header are passed over. Files of a null group are compared among themselves; equal order
+    Types are those of the ingested rows' ``_kinds``; ``ingested`` is that table where it exists already (it may
+    have been promoted and replayed), else ``lines`` are ingested here. Files without a header are passed over. Files of a null group are compared among themselves; equal order
     values are ordered by ``file_id``. No files or no lines give no rows.
     """
     require_columns(files, [layout.file_id, group, order], "files")
     names = resolve_headers(read_headers(lines, files, layout), schema).select("file_id", "column_name", "name")
-    kinds = column_types(read_cells(lines, files, schema, layout))
+    kinds = column_types(ingest(lines, files, schema, layout) if ingested is None else ingested)
     described = names.join(kinds, ["file_id", "column_name"], "left")
     listed = files.groupBy(F.col(layout.file_id).alias("file_id")).agg(F.min(group).alias("_group"), F.min(order).alias("_order"))
     listed = listed.join(names.select("file_id").distinct(), "file_id", "left_semi")

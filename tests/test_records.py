@@ -122,6 +122,22 @@ def test_layout_changes(spark):
     ]
 
 
+def test_layout_changes_come_from_the_ingested_rows(spark, monkeypatch):
+    lines, files = tables(
+        spark,
+        [(1, 1, "area_constr_total;fracao"), (1, 2, "1;1"), (1, 3, "broken"), (2, 1, "area_constr_total;fracao"), (2, 2, "1,5;x"), (3, 1, "area_constr_total;fracao")],
+        [(1, "m", 1, "a", ";"), (2, "m", 2, "b", ";"), (3, "m", 3, "c", ";")],
+    )
+    read = lambda df: sorted((r.file_id, r.column_name, r.change_kind) for r in df.collect())
+    want = [(2, "area_constr_total", "type_changed"), (2, "fracao", "type_changed")]
+    kept = layouts.promote(layouts.ingest(lines, files), {"fracao": "double"})
+    calls, ingest = [], layouts.ingest
+    monkeypatch.setattr(layouts, "ingest", lambda *a: calls.append(a) or ingest(*a))
+    assert read(layouts.layout_changes(lines, files, ingested=kept)) == want and not calls
+    assert read(layouts.layout_changes(lines, files)) == want and len(calls) == 1
+    assert read(layouts.layout_changes(lines, files, ingested=kept.where("file_id <> 2"))) == []
+
+
 def test_rescue_promote_replay(spark):
     lines, files = tables(spark, [(1, 1, "area_constr_total;fracao;cep"), (1, 2, "1.5;0,25;1"), (1, 3, "10 m2;z;"), (1, 4, "broken")], [FILE])
     table = layouts.ingest(lines, files)
