@@ -8,6 +8,7 @@ tables of separate loads, days or partitions combine by ``apply_deltas``.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from lavra.contracts import require_columns
 from lavra.functions.stats import running_sums
 from lavra.functions.text import UNIT_NULL_TOKENS, null_if_token
-from lavra.session import materialize
+from lavra.session import delete_folder, folders, materialize
 
 NUMERIC = {"double", "float", "int", "bigint", "smallint", "tinyint"}
 KEY = ["column_name", "text_value", "num_value"]
@@ -85,6 +86,49 @@ def apply_deltas(state: DataFrame, deltas: DataFrame) -> DataFrame:
     return state.unionByName(deltas).groupBy(*keys).agg(F.sum("n").alias("n")).where("n != 0")
 
 
+def _load_prints(df: DataFrame, columns: list[str], scope: list[str]) -> DataFrame:
+    """``scope, n_rows, digest``: equal for loads of equal rows, in any order."""
+    cells = [F.col(f"`{c}`") for c in columns]
+    # A hash passes over nulls, so where they are is hashed too.
+    row = F.xxhash64(*cells, *[c.isNull() for c in cells])
+    return df.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row.cast("decimal(20,0)")).alias("digest"))
+
+
+def maintained_counts(df: DataFrame, path: str, columns: list[str] | None = None, scope: list[str] = ["load_id"], tokens: tuple[str, ...] = UNIT_NULL_TOKENS) -> DataFrame:
+    """``value_counts`` of ``df`` from the count table kept at ``path``, which is brought up to date.
+
+    Loads that came, went or were replaced since the last call (their rows have another digest) are counted, and their
+    signed deltas applied; without any, the table is read as it is. ``path`` belongs to one table, one list of columns
+    and one list of tokens. Each state is a folder of its own, whole once its ``loads`` are written; the last two are
+    kept, so that a reader of the one before can end.
+    """
+    spark = df.sparkSession
+    columns = columns or [c for c in df.columns if c not in scope]
+    require_columns(df, [*columns, *scope])
+    prints = materialize(_load_prints(df, columns, scope))
+    states = folders(spark, path, "loads/_SUCCESS")
+    if states:
+        counts, before = (spark.read.parquet(f"{path}/{states[-1]}/{part}") for part in ("counts", "loads"))
+        same = prints.columns
+        changed = prints.unionByName(before).groupBy(*same).agg(F.count(F.lit(1)).alias("_times")).where("_times = 1").select(*scope).distinct()
+        changed = materialize(changed.select(*[F.col(c).alias(f"_{c}") for c in scope]))
+        if changed.isEmpty():
+            return counts
+
+        def of_changed(rows: DataFrame) -> DataFrame:
+            return rows.join(changed, [rows[c].eqNullSafe(changed[f"_{c}"]) for c in scope], "left_semi")
+
+        new = apply_deltas(counts, signed_deltas(value_counts(of_changed(df), columns, scope, tokens), of_changed(counts)))
+    else:
+        new = value_counts(df, columns, scope, tokens)
+    at = f"{path}/{int(states[-1].split('-')[0]) + 1 if states else 1:09d}-{uuid.uuid4().hex}"
+    new.write.parquet(f"{at}/counts")
+    prints.write.parquet(f"{at}/loads")
+    for old in states[:-1]:
+        delete_folder(spark, f"{path}/{old}")
+    return spark.read.parquet(f"{at}/counts")
+
+
 def _ruled(rules: dict[str, Rule], make) -> Column:
     """``make(rule)`` of the row's column; null for columns without a rule or where it gives None."""
     parts = [(c, made) for c, r in rules.items() if (made := make(r)) is not None]
@@ -156,14 +200,25 @@ def distribution_change(counts: DataFrame, log: DataFrame) -> DataFrame:
     return by_text.unionByName(summed.groupBy(*keys).agg(F.max(gap).alias("shift")))
 
 
-def findings(counts: DataFrame, log: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+def profile_with_changes(counts: DataFrame, log: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """``profile_from_counts`` by load, with ``baseline_load_id``, ``null_rate_change``, ``n_distinct_change`` and
+    ``shift`` against the load's baseline; null where there is none. ``counts`` is a written table."""
+    now = profile_from_counts(counts, rules)
+    log = log.groupBy("load_id").agg(F.max("baseline_load_id").alias("baseline_load_id"))
+    base = now.select(F.col("load_id").alias("baseline_load_id"), "column_name", F.col("null_rate").alias("_null"), F.col("n_distinct").alias("_distinct"))
+    both = now.join(log, "load_id", "left").join(base, ["baseline_load_id", "column_name"], "left").join(distribution_change(counts, log), ["load_id", "column_name"], "left")
+    changes = [(F.col("null_rate") - F.col("_null")).alias("null_rate_change"), (F.col("n_distinct") - F.col("_distinct")).alias("n_distinct_change")]
+    return both.select(*now.columns, "baseline_load_id", *changes, "shift")
+
+
+def findings(counts: DataFrame, log: DataFrame, rules: dict[str, Rule], written: bool = False) -> DataFrame:
     """``load_id, column_name, finding`` for every rule that a load breaks, alone or against its baseline.
 
     Shares are compared in whole numbers, so that a change of exactly the limit is no finding. Loads that the
     log does not list, or lists without baseline, are not compared. Without rows there are no findings.
     """
-    # The maintained table: written once, read by the profile and by both sides of the comparison.
-    counts = materialize(counts)
+    # Read by the profile and by both sides of the comparison: written once, unless it is a ``written`` table.
+    counts = counts if written else materialize(counts)
     now = profile_from_counts(counts, rules)
     keep = ["load_id", "column_name", "n_rows", "n_null", "n_distinct", "n_pattern", "n_range"]
     log = log.groupBy("load_id").agg(F.max("baseline_load_id").alias("baseline_load_id"))

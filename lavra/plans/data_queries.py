@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import functions as F
 
 from lavra.functions.text import code_digits
 from lavra.operators import bad_rows, layouts, points, profile
 from lavra.plans import data_sql
 from lavra.plans.registry import Registry, table
-from lavra.session import materialize
+from lavra.session import materialize, state_dir
 
 DATA = Registry()
 
@@ -43,22 +45,30 @@ def p6_valid(spark, sf_dir):
     return layouts.ingest(lines, files).join(failed, ["file_id", "line_no"], "left_anti").drop("_kinds")
 
 
+def _counts(spark, sf_dir, name, columns=None):
+    """The count table of those columns, kept by the place of its table and brought up to date."""
+    df = table(spark, sf_dir, name)
+    columns = columns or [c for c in df.columns if c != "load_id"]
+    of = sha256("|".join([sf_dir, *columns]).encode()).hexdigest()[:16]
+    return profile.maintained_counts(df, state_dir(spark, "value_counts", f"{name}-{of}"), columns)
+
+
 @DATA.query(data_sql.P2_FOUND)
 def p2_found(spark, sf_dir):
     log = table(spark, sf_dir, "load_log")
     found = None
     for name, rules in (("itbi_units", profile.UNIT_RULES), ("market_indicators_city_year", profile.YEAR_RULES)):
-        counts = profile.value_counts(table(spark, sf_dir, name), list(rules))
-        part = profile.findings(counts, log.where(F.col("table_name") == name), rules)
+        part = profile.findings(_counts(spark, sf_dir, name, list(rules)), log.where(F.col("table_name") == name), rules, written=True)
         found = part if found is None else found.unionByName(part)
     return found
 
 
 @DATA.query()
 def p2_profile(spark, sf_dir):
-    """The profile of every column of both tables in each load."""
+    """The profile of every column of both tables in each load, and its change from the load before."""
+    log = table(spark, sf_dir, "load_log")
     parts = [
-        profile.profile_from_counts(profile.value_counts(table(spark, sf_dir, name)), rules)
+        profile.profile_with_changes(_counts(spark, sf_dir, name), log.where(F.col("table_name") == name), rules)
         for name, rules in (("itbi_units", profile.UNIT_RULES), ("market_indicators_city_year", profile.YEAR_RULES))
     ]
     return parts[0].unionByName(parts[1])

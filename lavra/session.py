@@ -28,8 +28,8 @@ def build_session(master: str | None = None, app: str = "lavra", **conf: str) ->
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``.
 
     The cluster names that setting; only where it is unset (tests, a laptop) a temporary folder is set.
     """
@@ -37,7 +37,33 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="lavra-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``."""
+    return f"{_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def state_dir(spark: SparkSession, *names: str) -> str:
+    """The folder of that name, the same in each run: below ``spark.lavra.state.dir``, else ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.lavra.state.dir", None) or f"{_checkpoint_dir(spark)}/lavra-state"
+    return "/".join([base.rstrip("/"), *names])
+
+
+def folders(spark: SparkSession, path: str, holding: str) -> list[str]:
+    """The sorted names of the folders in ``path`` that hold the file ``holding``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(hadoop(path)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop(path))]
+    return sorted(n for n in names if fs.exists(hadoop(f"{path}/{n}/{holding}")))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    hadoop(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop(path), True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

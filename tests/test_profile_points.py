@@ -32,6 +32,34 @@ def test_counts_deltas_and_profile(spark):
     assert sorted(map(str, back.collect())) == sorted(map(str, counts.collect()))
 
 
+def test_maintained_counts_follow_the_loads(spark, tmp_path, monkeypatch):
+    path, schema = f"file://{tmp_path}/counts", "load_id long, t string, u string, x double"
+    first = [(1, "A", None, 1.0), (1, "A", None, 1.0), (2, "B", "C", None), (None, "Z", "Z", 0.5)]
+    counted = []
+    count = profile.value_counts
+    monkeypatch.setattr(profile, "value_counts", lambda df, *a: counted.append({r.load_id for r in df.select("load_id").distinct().collect()}) or count(df, *a))
+    steps = [
+        (first, {1, 2, None}),
+        (first[::-1], None),
+        ([*first, (1, "A", None, 1.0), (3, "N", "M", 2.0)], {1, 3}),  # a repeated row, a new load
+        ([first[0], (2, "B", None, None), (2, "C", "B", 4.0), first[3]], {1, 2}),  # replaced loads, one gone
+        ([first[0], (2, None, "B", None), (2, "C", "B", 4.0), (None, "Z", "Y", 0.5)], {2, None}),
+    ]
+    for rows, want in steps:
+        df, counted[:] = spark.createDataFrame(rows, schema), []
+        got = profile.maintained_counts(df, path)
+        assert counted == ([want] if want else [])
+        assert sorted(map(str, got.collect())) == sorted(map(str, count(df).collect()))
+    assert len(list((tmp_path / "counts").iterdir())) == 2
+
+
+def test_profile_gives_the_change_from_the_load_before(spark):
+    df = spark.createDataFrame([(1, "A", 1.0), (1, "B", 2.0), (2, "A", 5.0), (2, None, 2.0), (2, "A", 6.0), (2, None, 7.0)], "load_id long, t string, x double")
+    log = spark.createDataFrame([(1, None), (2, 1)], LOG)
+    got = {(r.load_id, r.column_name): (r.null_rate_change, r.n_distinct_change, r.shift) for r in profile.profile_with_changes(profile.value_counts(df), log).collect()}
+    assert got == {(1, "t"): (None, None, None), (1, "x"): (None, None, None), (2, "t"): (0.5, -1, 0.5), (2, "x"): (0.0, 2, 0.75)}
+
+
 def brute_findings(rows, log, rule):
     out = set()
     for load, base in log:
