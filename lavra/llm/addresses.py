@@ -199,6 +199,20 @@ def _spelling_keys(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(initials, F.concat(F.lit("d:"), joined)), shorter))
 
 
+def follow_links(links: DataFrame) -> DataFrame:
+    """``area, district, _name, street`` with each link followed to its end.
+
+    Each round doubles the hops followed and writes the table; links rise strictly in rank, so a round without
+    change comes.
+    """
+    while True:
+        on = links.select("area", "district", F.col("_name").alias("street"), F.col("street").alias("_next"))
+        followed = materialize(links.join(on, ["area", "district", "street"], "left").select("area", "district", "_name", F.coalesce("_next", "street").alias("street"), F.col("_next").isNotNull().alias("_moved")))
+        links = followed.drop("_moved")
+        if followed.where("_moved").isEmpty():
+            return links
+
+
 def resolve_streets(parsed: DataFrame) -> DataFrame:
     """Rule 2: adds ``street``, the resolved name, and the district of records that had none.
 
@@ -215,9 +229,7 @@ def resolve_streets(parsed: DataFrame) -> DataFrame:
     better = mine.join(side, ["area", "district", "_key"]).where((F.col("_other") != F.col("_name")) & (F.col("_rank") > F.col("_own")))
     better = better.select("area", "district", "_name", "name", "_other", "_other_name", "_rank").distinct().where(same_name(F.col("name"), F.col("_other_name")))
     links = materialize(better.groupBy("area", "district", "_name").agg(F.max_by("_other", "_rank").alias("street")))
-    # A spelling links to the best attested one it can be, which may itself link on once more.
-    on = links.select("area", "district", F.col("_name").alias("street"), F.col("street").alias("_next"))
-    links = materialize(links.join(on, ["area", "district", "street"], "left").select("area", "district", "_name", F.coalesce("_next", "street").alias("street")))
+    links = follow_links(links)
     lost = keyed.where("district = ''").select("area", "_key", F.col("_name").alias("_lost"), F.col("name").alias("_lost_name"))
     could = lost.join(side.drop("_rank"), ["area", "_key"]).where(same_name(F.col("_lost_name"), F.col("_other_name")))
     could = could.select("area", "_lost", "district", F.col("_other").alias("_name")).distinct().join(links, ["area", "district", "_name"], "left")

@@ -60,6 +60,14 @@ def test_pairs(spark):
     assert addresses.same_location_pairs(addresses.location_keys(frame(spark, rows).limit(0))).count() == 0
 
 
+def test_slips_of_slips_reach_their_street(spark):
+    """Each spelling is one slip from the next better attested one; the last is four hops from the street."""
+    names = ["MARAVELUNO", "MARAVELUNX", "MARAVELUYX", "MARAVELZYX", "MARAVEWZYX", "MARAVQWZYX"]
+    rows = [("m", f"RUA {name}", "7", None, "CENTRO", "30000001") for i, name in enumerate(names) for _ in range(len(names) - i)]
+    keys = addresses.location_keys(frame(spark, rows)).collect()
+    assert {r.street for r in keys} == {"MARAVELUNO"} and len(keys) == len(rows)
+
+
 def test_written_variants_meet(spark):
     """Streets written in many ways, one slip each, resolve to one street each."""
     rng = random.Random(4)
