@@ -408,6 +408,22 @@ def null_safe_join(spark, sf_dir):
     return quality.null_safe_join(s, n, ["k"]).select("s_suppkey", F.col("k").cast("string").alias("k"), "n_name")
 
 
+def _sql_postal(c: str) -> str:
+    digits = f"regexp_replace({c}, '\\D', '', 'g')"
+    return f"CASE WHEN {digits} <> '' THEN CASE WHEN length({digits}) < 8 THEN lpad({digits}, 8, '0') ELSE left({digits}, 8) END END"
+
+
+@MARKET.query(f"""WITH u AS (SELECT unit_row_id, load_id, cod_municipio, {_sql_street("logradouro")} AS street_key, {_sql_number("n_endereco")} AS number_key, {_sql_postal("cep")} AS cep_key FROM itbi_units)
+SELECT u.*, g.n_records, g.sector_code FROM u LEFT JOIN ({INDEX}) g ON u.cod_municipio IS NOT DISTINCT FROM g.cod_municipio AND u.street_key IS NOT DISTINCT FROM g.street_key
+  AND u.number_key IS NOT DISTINCT FROM g.number_key AND u.cep_key IS NOT DISTINCT FROM g.cep_key""")
+def null_safe_units(spark, sf_dir):
+    """JN-01, JN-02 over whole tables: every unit row with the index row of its address, null keys meeting null keys."""
+    rows = table(spark, sf_dir, "itbi_units").select("unit_row_id", "load_id", "cod_municipio", "logradouro", "n_endereco", "cep")
+    units = resolve.address_keys(rows, "logradouro", "n_endereco", "cep").select("unit_row_id", "load_id", "cod_municipio", "street_key", "number_key", "cep_key")
+    index = _index(spark, sf_dir).select("cod_municipio", "street_key", "number_key", "cep_key", "n_records", "sector_code")
+    return quality.null_safe_join(units, index, ["cod_municipio", "street_key", "number_key", "cep_key"])
+
+
 RINGS = """v AS (SELECT DISTINCT cd_mun AS grp, cd_setor AS region, round(CAST(split_part(p, ' ', 1) AS DOUBLE), 7) AS x, round(CAST(split_part(p, ' ', 2) AS DOUBLE), 7) AS y
   FROM (SELECT cd_mun, cd_setor, unnest(regexp_extract_all(geometry_wkt, '-?[0-9.]+ -?[0-9.]+')) AS p FROM census_sectors)),
 e AS (SELECT DISTINCT a.grp, a.region AS src, b.region AS dst FROM v a JOIN v b USING (grp, x, y) WHERE a.region <> b.region)"""

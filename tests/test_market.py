@@ -11,6 +11,7 @@ from lavra.contracts import ContractError
 from lavra.functions import numbers, similarity, text
 from lavra.functions.dates import is_strict_date, parse_date
 from lavra.operators import census, deflate, guides, indicators, quality, resolve, spatialstats
+from lavra.plans import market_queries
 from lavra.streaming import monthly
 
 
@@ -90,6 +91,16 @@ def test_quality(spark):
     assert sorted((str(r.id), str(r.k), str(r.w)) for r in quality.null_safe_join(a, b, ["k"], "full").collect()) == [("1", "None", "n"), ("2", "x", "None"), ("None", "y", "z")]
 
 
+def test_null_safe_units_covers_whole_tables(spark, tmp_path):
+    units = [(1, 7, "m", "RUA A", "10", "30000001"), (2, 7, "m", "R. A", "10", None), (3, 7, "m", "A", "s/n", "30000001"), (4, 7, "n", "RUA A", "10", None), (5, 7, "m", None, None, None)]
+    spark.createDataFrame(units, "unit_row_id long, load_id long, cod_municipio string, logradouro string, n_endereco string, cep string").write.parquet(str(tmp_path / "itbi_units.parquet"))
+    register = [("m", "111", c, "RUA", None, "A", n, "-20.0", "-44.0", 1) for c, n in [("30000001", "10"), (None, "10"), ("30000001", None)]]
+    schema = "cod_municipio string, cod_setor string, cep string, nom_tipo_seglogr string, nom_titulo_seglogr string, nom_seglogr string, num_endereco string, latitude string, longitude string, nv_geo_coord int"
+    spark.createDataFrame(register, schema).write.parquet(str(tmp_path / "address_register.parquet"))
+    got = {r.unit_row_id: r.n_records for r in market_queries.null_safe_units(spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: None, 5: None}
+
+
 def test_deflate(spark):
     index = deflate.chained_index(spark.createDataFrame([("2020-01", 1.0), ("2020-02", 2.0), ("2020-03", -0.5)], "period string, pct double"))
     levels = [r.level for r in index.orderBy("period").collect()]
