@@ -374,6 +374,39 @@ g AS (SELECT {KEY}, round(median(lat), 7) AS latitude, round(median(lon), 7) AS
 SELECT g.*, w.label, w.sector_code, w.geo_level FROM g LEFT JOIN w ON g.cod_municipio = w.cod_municipio AND g.street_key = w.street_key AND g.number_key IS NOT DISTINCT FROM w.number_key AND g.cep_key IS NOT DISTINCT FROM w.cep_key"""
 
 
+def _sql_indel(a: str, b: str) -> str:
+    """``100 * 2 * LCS / (both lengths)`` of two texts of ASCII letters, by rows of the dynamic programme."""
+    made = f"CASE WHEN ascii({b}[j[1]]) = ch[1] THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], made[j[1]]) END"
+    step = f"list_reduce(list_prepend([0], [[j] FOR j IN range(1, length({b}) + 1)]), lambda made, j: list_append(made, {made}))"
+    first = f"list_prepend([0 FOR x IN range(length({b}) + 1)], [[ascii(c)] FOR c IN string_split({a}, '')])"
+    return f"round(200.0 * list_last(list_reduce({first}, lambda row, ch: {step})) / (length({a}) + length({b})), 4)"
+
+
+STREET_BLOCKS = f"""WITH i AS (SELECT DISTINCT cod_municipio, cep_key, street_key FROM ({INDEX})),
+r AS (SELECT DISTINCT cod_municipio, {_sql_street("logradouro")} AS street_key,
+  CASE WHEN regexp_replace(cep, '\\D', '', 'g') <> '' THEN CASE WHEN length(regexp_replace(cep, '\\D', '', 'g')) < 8 THEN lpad(regexp_replace(cep, '\\D', '', 'g'), 8, '0') ELSE left(regexp_replace(cep, '\\D', '', 'g'), 8) END END AS cep_key FROM address_records),
+p AS (SELECT DISTINCT r.street_key AS a, i.street_key AS b FROM r JOIN i USING (cod_municipio, cep_key) WHERE r.street_key IS NOT NULL)"""
+
+
+@MARKET.query(f"{STREET_BLOCKS} SELECT a, b, {_sql_indel('a', 'b')} AS ratio FROM p")
+def street_similarity(spark, sf_dir):
+    """Street names of the records scored against all of the index in their block (postal code)."""
+    keys = ["cod_municipio", "cep_key", "street_key"]
+    rows = table(spark, sf_dir, "address_records").select("cod_municipio", "logradouro", "n_endereco", "cep")
+    asked = resolve.address_keys(rows, "logradouro", "n_endereco", "cep").select(*keys).distinct().withColumnRenamed("street_key", "a")
+    known = _index(spark, sf_dir).select(*keys).distinct().withColumnRenamed("street_key", "b")
+    pairs = asked.join(known, keys[:2]).where("a is not null").select("a", "b").distinct()
+    return pairs.select("a", "b", F.round(similarity.indel_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
+
+
+@MARKET.query()
+def accent_fold_texts(spark, sf_dir):
+    """Whole texts folded; ``n_left`` counts combining marks that remain, which is none."""
+    folded = text.fold_accents(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", folded.alias("f"))
+    return rows.select("doc_id", F.length("f").alias("n_chars"), F.md5(F.col("f").cast("binary")).alias("folded"), F.regexp_count("f", F.lit("[\\u0300-\\u036f]")).alias("n_left"))
+
+
 @MARKET.query(INDEX)
 def address_index(spark, sf_dir):
     return rounded(_index(spark, sf_dir), 7, {"spread_m": 4})

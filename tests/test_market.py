@@ -91,6 +91,24 @@ def test_quality(spark):
     assert sorted((str(r.id), str(r.k), str(r.w)) for r in quality.null_safe_join(a, b, ["k"], "full").collect()) == [("1", "None", "n"), ("2", "x", "None"), ("None", "y", "z")]
 
 
+def test_whole_texts_are_folded_and_streets_scored(spark, tmp_path):
+    import unicodedata
+
+    plain = "Ação de usucapião, São José, ñandú, Übergröße " * 3000
+    docs = [(1, plain), (2, unicodedata.normalize("NFD", plain)), (3, ""), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in market_queries.accent_fold_texts(spark, str(tmp_path)).collect()}
+    assert got[1].folded == got[2].folded and got[1].n_chars == len(plain) and got[2].n_left == 0
+    assert got[3].n_chars == 0 and got[4].folded is None
+    asked = [("m", "RUA DOS CRAVSO", "10", "30000001"), ("m", "RUA DOS LIRIOS", "10", "30000002"), ("m", None, "10", "30000001")]
+    spark.createDataFrame(asked, "cod_municipio string, logradouro string, n_endereco string, cep string").write.parquet(str(tmp_path / "address_records.parquet"))
+    register = [("m", "111", "30000001", "RUA", None, name, "10", "-20.0", "-44.0", 1) for name in ("DOS CRAVOS", "TIRADENTES")]
+    schema = "cod_municipio string, cod_setor string, cep string, nom_tipo_seglogr string, nom_titulo_seglogr string, nom_seglogr string, num_endereco string, latitude string, longitude string, nv_geo_coord int"
+    spark.createDataFrame(register, schema).write.parquet(str(tmp_path / "address_register.parquet"))
+    scores = {(r.a, r.b): r.ratio for r in market_queries.street_similarity(spark, str(tmp_path)).collect()}
+    assert set(scores) == {("DOS CRAVSO", "DOS CRAVOS"), ("DOS CRAVSO", "TIRADENTES")} and scores["DOS CRAVSO", "DOS CRAVOS"] == 90.0
+
+
 def test_null_safe_units_covers_whole_tables(spark, tmp_path):
     units = [(1, 7, "m", "RUA A", "10", "30000001"), (2, 7, "m", "R. A", "10", None), (3, 7, "m", "A", "s/n", "30000001"), (4, 7, "n", "RUA A", "10", None), (5, 7, "m", None, None, None)]
     spark.createDataFrame(units, "unit_row_id long, load_id long, cod_municipio string, logradouro string, n_endereco string, cep string").write.parquet(str(tmp_path / "itbi_units.parquet"))
