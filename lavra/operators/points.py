@@ -78,11 +78,8 @@ def near_pairs(points: DataFrame, distance_m: float, id_col: str = "id", lat: st
     return pairs.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
 
 
-def wkt_edges(regions: DataFrame, region: str, wkt: str, group: str | None = None) -> DataFrame:
-    """``group, region, x1, y1, x2, y2``: the edges of POLYGON and MULTIPOLYGON texts with ``x1 < x2``.
-
-    Vertical edges bound no slab and are left out. Rings may be closed or not. Texts without rings give none.
-    """
+def _ring_edges(regions: DataFrame, region: str, wkt: str, group: str | None) -> DataFrame:
+    """``group, region, ax, ay, bx, by``: all edges in ring order."""
     rings = regions.select(
         (F.col(group) if group else F.lit(0)).alias("group"), F.col(region).alias("region"), F.explode(F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))).alias("ring")
     )
@@ -91,7 +88,15 @@ def wkt_edges(regions: DataFrame, region: str, wkt: str, group: str | None = Non
     nxt = F.concat(F.slice("p", F.lit(2), F.size("p") - 1), F.slice("p", 1, 1))
     edges = rings.select("group", "region", F.explode(F.arrays_zip(F.col("p").alias("a"), nxt.alias("b"))).alias("e"))
     xy = {k: F.element_at(F.col(f"e.{s}"), i) for k, (s, i) in {"ax": ("a", 1), "ay": ("a", 2), "bx": ("b", 1), "by": ("b", 2)}.items()}
-    edges = edges.select("group", "region", *[v.alias(k) for k, v in xy.items()]).where("ax <> bx")
+    return edges.select("group", "region", *[v.alias(k) for k, v in xy.items()])
+
+
+def wkt_edges(regions: DataFrame, region: str, wkt: str, group: str | None = None) -> DataFrame:
+    """``group, region, x1, y1, x2, y2``: the edges of POLYGON and MULTIPOLYGON texts with ``x1 < x2``.
+
+    Vertical edges bound no slab and are left out. Rings may be closed or not. Texts without rings give none.
+    """
+    edges = _ring_edges(regions, region, wkt, group).where("ax <> bx")
     right = F.col("ax") < F.col("bx")
     pick = lambda a, b: F.when(right, F.col(a)).otherwise(F.col(b))
     return edges.select(
@@ -155,11 +160,11 @@ def _last_at_most(n: Column, reached) -> Column:
     return F.aggregate(steps, state, halve, lambda s: s["lo"])
 
 
-def locate(points: DataFrame, edges: DataFrame, lat: str = "lat", lon: str = "lon", group: str | None = None, tile: float = 0.004) -> DataFrame:
+def locate(points: DataFrame, edges: DataFrame, lat: str = "lat", lon: str = "lon", group: str | None = None, tile: float = 0.004, lower_border: bool = True) -> DataFrame:
     """``points`` with ``region``: the region that contains the point; points in none are left out.
 
     ``edges`` as ``wkt_edges`` gives them; regions do not overlap (where they do, one of them is found). A
-    point on a lower border belongs to the region, on an upper border to the next. ``tile`` is the side of the
+    point on a lower border belongs to the region (unless ``lower_border`` is off), on an upper border to the next. ``tile`` is the side of the
     tiles in degrees: about the size of a region, so that a tile holds a few regions. Rows with null
     coordinates or group are left out. A crowded tile is a skewed join key, which adaptive execution splits.
     """
@@ -174,4 +179,26 @@ def locate(points: DataFrame, edges: DataFrame, lat: str = "lat", lon: str = "lo
     at = _last_at_most(F.size("spans"), lambda i: _height(F.element_at("spans", i)["lo"], F.col(lon)) <= F.col(lat))
     found = found.withColumn("_span", F.try_element_at("spans", F.nullif(at, F.lit(0)))).drop("spans")
     inside = found.where(F.col("_span").isNotNull() & (F.col(lat) < _height(F.col("_span.hi"), F.col(lon))))
+    if not lower_border:
+        inside = inside.where(_height(F.col("_span.lo"), F.col(lon)) < F.col(lat))
     return inside.withColumn("region", F.col("_span.region")).drop("_span", "_slab", "_g", "_tx", "_ty")
+
+
+def attach_region(
+    points: DataFrame, regions: DataFrame, region: str, wkt: str, lat: str = "lat", lon: str = "lon", group: str | None = None, regions_group: str | None = None, tile: float = 0.004
+) -> DataFrame:
+    """JN-12: every row of ``points`` with ``region``, null where the coordinates are null, in no region, or on a border.
+
+    Spots, not rows, are located. A point is on a border if it is on a vertex or vertical edge, or at the computed
+    height of a slanted one.
+    """
+    spot = F.col(group) if group else F.lit(0)
+    spots = points.select(spot.alias("_sg"), F.col(lat).alias("_slat"), F.col(lon).alias("_slon")).where("_sg is not null and _slat is not null and _slon is not null").distinct()
+    held = locate(spots, wkt_edges(regions, region, wkt, regions_group), "_slat", "_slon", "_sg", tile, lower_border=False)
+    ring = _ring_edges(regions, region, wkt, regions_group)
+    upright = ring.where("ax = bx").select("group", "ax", F.least("ay", "by").alias("low"), F.greatest("ay", "by").alias("high"))
+    border = upright.unionByName(ring.select("group", "ax", F.col("ay").alias("low"), F.col("ay").alias("high"))).distinct()
+    on_border = (F.col("_sg") == border["group"]) & (F.col("_slon") == border["ax"]) & F.col("_slat").between(border["low"], border["high"])
+    held = held.join(border, on_border, "left_anti")
+    at = [spot.eqNullSafe(F.col("_sg")), F.col(lat) == F.col("_slat"), F.col(lon) == F.col("_slon")]
+    return points.join(held, at, "left").drop("_sg", "_slat", "_slon")

@@ -101,3 +101,13 @@ def p4_sectors(spark, sf_dir):
     """Every address with the sector that contains it."""
     held = points.locate(_register_points(spark, sf_dir), _sectors(spark, sf_dir), group="cod_municipio")
     return held.select("cod_unico_endereco", "lat", "lon", F.col("region").alias("cd_setor")).distinct()
+
+
+@DATA.query()
+def sectors_attached(spark, sf_dir):
+    """Every row of the register with its sector, null where it has none (JN-12)."""
+    rows = table(spark, sf_dir, "address_register").select(
+        "cod_unico_endereco", "cod_municipio", points.coordinate(F.col("latitude")).alias("lat"), points.coordinate(F.col("longitude")).alias("lon")
+    )
+    held = points.attach_region(materialize(rows), table(spark, sf_dir, "census_sectors"), "cd_setor", "geometry_wkt", group="cod_municipio", regions_group="cd_mun")
+    return held.withColumnRenamed("region", "cd_setor")

@@ -160,6 +160,17 @@ def test_locate_against_ray_casting(spark):
         assert got == want
 
 
+def test_attach_region_keeps_all_rows_and_leaves_borders_out(spark):
+    wkt = [("a", "m", "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0), (0.5 0.5, 1 0.75, 0.5 1, 0.5 0.5))"), ("b", "m", "POLYGON ((2 0, 4 0, 4 2, 2 2, 2 0))")]
+    regions = spark.createDataFrame(wkt, "region string, g string, w string")
+    cases = {(1.5, 1.5): "a", (1.0, 3.0): "b", (1.0, 2.0): None, (0.0, 1.0): None, (2.0, 1.0): None, (1.0, 0.0): None, (0.75, 1.0): None, (0.75, 0.75): None, (9.0, 9.0): None, (None, 1.0): None, (0.75, 1.5): "a"}
+    rows = [(i, lat, lon, "m") for i, (lat, lon) in enumerate(cases)] * 2 + [(90, 1.5, 1.5, None), (91, 1.5, 1.5, "z")]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, grp string")
+    got = points.attach_region(df, regions, "region", "w", group="grp", regions_group="g", tile=0.7).collect()
+    want = {**dict(enumerate(cases.values())), 90: None, 91: None}
+    assert len(got) == len(rows) and {r.id: r.region for r in got} == want
+
+
 def test_coordinate(spark):
     rows = ["-19,5", " -19.5 ", "0", "0,0", "nan", "NULL", "", None, "12abc", "1e999", "91"]
     got = [r.v for r in spark.createDataFrame([(x,) for x in rows], "t string").select(points.coordinate(F.col("t")).alias("v")).collect()]
