@@ -5,9 +5,10 @@ parts were written; abbreviations are spelled out by locale dictionaries and the
 Then keys are resolved from the top of the hierarchy down, each level with its rule for a missing part:
 
 1. district: as written; else the one its postal code has elsewhere; else the one the street name has.
-2. street within the district: a spelling that differs from a better attested one by one slip (a letter
-   more, less or other, two neighbours swapped), by initials, or by left-out linking words, is that street.
-   Streets of other types are other streets; a missing type is any.
+2. street within the district: a rare spelling that differs from a much better attested one by one slip inside a
+   word, by gaps, or by left-out linking words, is that street; initials stand for the only street they fit.
+   Two attested spellings are two streets, and numbers, letters and endings never slip (``is_slip``, ``_believed``).
+   Streets of other types or titles are other streets; a missing type or title is any.
 3. number: never corrected.
 4. unit within the number: a missing block is the only one known for that unit; a missing unit is the only
    unit known at the number.
@@ -39,13 +40,13 @@ class Locale:
         "PRACA": "PRACA", "BC": "BECO", "BCO": "BECO", "BECO": "BECO", "LGO": "LARGO", "LG": "LARGO", "LARGO": "LARGO", "VIA": "VIA",
         "ACESSO": "ACESSO", "PASSAGEM": "PASSAGEM", "PSG": "PASSAGEM", "LADEIRA": "LADEIRA", "LAD": "LADEIRA", "VIELA": "VIELA",
     })
-    titles: tuple[str, ...] = (
-        "DOUTOR", "DR", "DOUTORA", "DRA", "ENGENHEIRO", "ENG", "ENGO", "ENGENHEIRA", "PROFESSOR", "PROF", "PROFESSORA", "PROFA", "PADRE", "PE", "CORONEL",
-        "CEL", "MARECHAL", "MAL", "GENERAL", "GAL", "GEN", "CAPITAO", "CAP", "MAJOR", "MAJ", "TENENTE", "TEN", "SARGENTO", "SGT", "VEREADOR",
-        "VER", "DEPUTADO", "DEP", "SENADOR", "SEN", "GOVERNADOR", "GOV", "PRESIDENTE", "PRES", "PREFEITO", "PREF", "DESEMBARGADOR", "DES", "SANTA",
-        "STA", "SANTO", "STO", "SAO", "DOM", "DONA", "FREI", "COMENDADOR", "COM", "BARAO", "VISCONDE", "VISC", "MINISTRO", "MIN", "ALMIRANTE", "ALM", "BRIGADEIRO", "BRIG",
-        "MONSENHOR", "MONS", "IRMA", "IRMAO",
-    )
+    titles: dict[str, str] = field(default_factory=lambda: {
+        "DR": "DOUTOR", "DRA": "DOUTORA", "ENG": "ENGENHEIRO", "ENGO": "ENGENHEIRO", "ENGA": "ENGENHEIRA", "PROF": "PROFESSOR", "PROFA": "PROFESSORA", "PE": "PADRE",
+        "CEL": "CORONEL", "MAL": "MARECHAL", "GAL": "GENERAL", "GEN": "GENERAL", "CAP": "CAPITAO", "MAJ": "MAJOR", "TEN": "TENENTE", "SGT": "SARGENTO",
+        "VER": "VEREADOR", "DEP": "DEPUTADO", "SEN": "SENADOR", "GOV": "GOVERNADOR", "PRES": "PRESIDENTE", "PREF": "PREFEITO", "DES": "DESEMBARGADOR",
+        "STA": "SANTA", "STO": "SANTO", "COM": "COMENDADOR", "VISC": "VISCONDE", "MIN": "MINISTRO", "ALM": "ALMIRANTE", "BRIG": "BRIGADEIRO", "MONS": "MONSENHOR",
+    })
+    whole_titles: tuple[str, ...] = ("SAO", "DOM", "DONA", "FREI", "BARAO", "IRMA", "IRMAO")
     links: tuple[str, ...] = ("DE", "DA", "DO", "DAS", "DOS", "E")
     districts: dict[str, str] = field(default_factory=lambda: {
         "JD": "JARDIM", "JARD": "JARDIM", "PQ": "PARQUE", "PQE": "PARQUE", "PRQ": "PARQUE", "VL": "VILA", "V": "VILA", "CJ": "CONJUNTO", "CONJ": "CONJUNTO",
@@ -61,8 +62,13 @@ class Locale:
 PORTUGUESE = Locale()
 
 
+def _known(words: dict[str, str], c: Column) -> Column:
+    """What ``c`` stands for; null where it is neither an abbreviation nor a full word of ``words``."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), c)
+
+
 def _lookup(words: dict[str, str], c: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), c), c)
+    return F.coalesce(_known(words, c), c)
 
 
 def _flat(c: Column) -> Column:
@@ -72,47 +78,53 @@ def _flat(c: Column) -> Column:
 
 
 def parse_addresses(records: DataFrame, locale: Locale = PORTUGUESE, id_col: str = "address_record_id", area: str = "cod_municipio") -> DataFrame:
-    """``id, area, raw, type, name, number, unit, kind, block, district, postcode``: the parts of each record.
+    """``id, area, raw, raw2, type, title, name, number, unit, kind, block, district, postcode``: the parts of each record.
 
-    ``name`` is an array of words without title and linking words; parts that are nowhere written are null.
-    The number is the first run of digits of its field, else of the street field after the name; what follows
-    it is read for the unit. ``raw`` tells equal records.
+    ``name`` is an array of words without type, title and linking words; words with a hyphen are one. Parts that are nowhere
+    written are null. The number is the first run of digits of its field, else of the street field after the name; what
+    follows it is read for the unit. ``raw`` and ``raw2`` (128 bits) tell equal records.
     """
     fields = ["logradouro", "n_endereco", "complemento_endereco", "bairro", "cep"]
     require_columns(records, [id_col, area, *fields], "address records")
+    written = [F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in fields]
     marker = r"^(.*?)[\s,./-]*(?:\b(?:N|NO|NR|NUM|NUMERO)\b[.:]?\s*)?(\d[\d.]*)(.*)$"
     t = records.select(
-        F.col(id_col).alias("id"), F.col(area).alias("area"), F.xxhash64(*[F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in fields]).alias("raw"),
+        F.col(id_col).alias("id"), F.col(area).alias("area"), F.xxhash64(*written).alias("raw"), F.xxhash64(F.lit(1), *written).alias("raw2"),
         *[_flat(F.col(f)).alias(f"_{f}") for f in ("logradouro", "n_endereco", "complemento_endereco")],
         _flat(F.col("bairro")).alias("_bairro"), F.regexp_replace(F.coalesce("cep", F.lit("")), "[^0-9]", "").alias("_cep"),
     )
     own = F.regexp_extract("_n_endereco", r"^\D*?(\d+)", 1)
-    t = t.withColumns({"_own": own, "_inline": F.col("_logradouro").rlike(marker)})
+    # One match gives all three parts: before the number, the number, and what follows.
+    t = t.withColumns({"_own": own, "_cut": F.split(F.regexp_replace("_logradouro", marker, "$1\u0001$2\u0001$3"), "\u0001")})
+    inline, (head, digits, tail) = F.size("_cut") == 3, [F.try_element_at("_cut", F.lit(i)) for i in (1, 2, 3)]
     # The street field holds the number only where the number field has none; a number in the street's name stays.
-    take = (F.col("_own") == "") & F.col("_inline")
-    same = (F.col("_own") != "") & F.col("_inline") & (F.regexp_replace(F.regexp_extract("_logradouro", marker, 2), r"^0+|\..*$", "") == F.regexp_replace("_own", "^0+", ""))
+    take = (F.col("_own") == "") & inline
+    same = (F.col("_own") != "") & inline & (F.regexp_replace(digits, r"^0+|\..*$", "") == F.regexp_replace("_own", "^0+", ""))
     cut = take | same
     t = t.withColumns({
-        "_street": F.when(cut, F.regexp_extract("_logradouro", marker, 1)).otherwise(F.col("_logradouro")),
-        "_digits": F.when(take, F.regexp_extract(F.regexp_extract("_logradouro", marker, 2), r"^(\d+)", 1)).otherwise(F.col("_own")),
+        "_street": F.when(cut, head).otherwise(F.col("_logradouro")),
+        "_digits": F.when(take, F.regexp_extract(digits, r"^(\d+)", 1)).otherwise(F.col("_own")),
         "_rest": F.concat_ws(
             " ; ",
-            F.when(cut, F.regexp_extract("_logradouro", marker, 3)),
+            F.when(cut, tail),
             F.regexp_replace(F.regexp_replace("_n_endereco", r"^\D*?\d+(?:\.0+(?!\d))?", ""), r"^\s*[-/,]\s*", " "),
             F.col("_complemento_endereco"),
         ),
     })
     # "NAME, TYPE TITLE" is turned round; then points and other marks go.
     turned = F.regexp_replace("_street", r"^([^,]+),\s*([^,]+)$", "$2 $1")
-    last = F.split(F.trim(F.regexp_replace(F.regexp_replace(turned, "'", ""), r"[^A-Z0-9]+", " ")), " ")
+    last = F.split(F.trim(F.regexp_replace(F.regexp_replace(turned, r"'|(?<=[A-Z])-(?=[A-Z])", ""), r"[^A-Z0-9]+", " ")), " ")
     t = t.withColumn("_words", F.filter(last, lambda w: w != ""))
-    kind_word = F.try_element_at(F.create_map(*[F.lit(x) for kv in locale.types.items() for x in kv]), F.try_element_at("_words", F.lit(1)))
+    first = F.try_element_at("_words", F.lit(1))
+    kind_word = _known(locale.types, first)
     # A name of one word that looks like a type is a name.
     typed = kind_word.isNotNull() & (F.size("_words") > 1)
     t = t.withColumn("type", F.when(typed, kind_word))
     t = t.withColumn("_words", F.when(typed, F.slice("_words", F.lit(2), F.size("_words"))).otherwise(F.col("_words")))
-    titled = F.coalesce(F.try_element_at("_words", F.lit(1)).isin(*locale.titles), F.lit(False)) & (F.size("_words") > 1)
-    t = t.withColumn("_words", F.when(titled, F.slice("_words", F.lit(2), F.size("_words"))).otherwise(F.col("_words")))
+    called = _known(locale.titles | {w: w for w in (*locale.titles.values(), *locale.whole_titles)}, first)
+    titled = called.isNotNull() & (F.size("_words") > 1)
+    t = t.withColumn("title", F.when(titled, called))
+    t = t.withColumn("_words", F.when(F.col("title").isNotNull(), F.slice("_words", F.lit(2), F.size("_words"))).otherwise(F.col("_words")))
     linked = F.filter("_words", lambda w: ~w.isin(*locale.links))
     t = t.withColumn("name", F.when(F.size(linked) > 0, linked).otherwise(F.col("_words")))
     block_at = rf"(?:^|[^A-Z])(?:{locale.block})[\s.]*(?:N[O.]?\s*)?([A-Z]|\d+)(?![A-Z0-9])"
@@ -130,7 +142,7 @@ def parse_addresses(records: DataFrame, locale: Locale = PORTUGUESE, id_col: str
     district = F.split(F.trim(F.regexp_replace("_bairro", "[^A-Z0-9]+", " ")), " ")
     spelled = F.concat(F.array(_lookup(locale.districts, F.element_at(district, 1))), F.slice(district, F.lit(2), F.size(district)))
     return t.select(
-        "id", "area", "raw", "type", "name",
+        "id", "area", "raw", "raw2", "type", "title", "name",
         F.nullif(F.regexp_replace("_digits", r"^0+(?=\d)", ""), F.lit("")).alias("number"),
         F.regexp_replace(F.coalesce(named, bare), r"^0+(?=\d)", "").alias("unit"),
         F.when(kind.rlike(f"^(?:{locale.flat})$"), "flat").when(kind.rlike(f"^(?:{locale.room})$"), "room").when(kind.rlike(f"^(?:{locale.shop})$"), "shop").alias("kind"),
@@ -151,8 +163,7 @@ def fill_districts(parsed: DataFrame) -> DataFrame:
     type and name, the name, or the five digits are known. Otherwise the district is the empty text until
     the street is known.
 
-    All lookups are one table of keys, so records are joined once. Rows that are equal in all parts are one row
-    afterwards.
+    All lookups are one table of keys, read by the distinct forms that need one; records are joined once.
     """
     parsed = parsed.withColumn("_name", F.array_join("name", " "))
     prefix = F.substring("postcode", 1, 5)
@@ -161,14 +172,16 @@ def fill_districts(parsed: DataFrame) -> DataFrame:
             (F.concat(F.lit("n"), "_name"), False), (F.concat(F.lit("d"), prefix), False)]
     needs = [F.col("postcode"), F.col("postcode"), F.col("type"), F.col("_name"), F.col("postcode")]
     keyed = F.array_compact(F.array(*[F.when(need.isNotNull(), F.struct(F.lit(i).alias("rank"), k.alias("key"), F.lit(best).alias("best"))) for i, ((k, best), need) in enumerate(zip(keys, needs))]))
-    known = parsed.where("district is not null").groupBy("area", "postcode", "_name", "type", "district").agg(F.count(F.lit(1)).alias("n"))
+    form = ["area", "postcode", "_name", "type"]
+    known = parsed.where("district is not null").groupBy(*form, "district").agg(F.count(F.lit(1)).alias("n"))
     table = known.select("area", "district", "n", F.explode(keyed["key"]).alias("key")).groupBy("area", "key", "district").agg(F.sum("n").alias("n"))
     table = table.groupBy("area", "key").agg(_most(F.col("district"), F.col("n")).alias("_d"), F.count(F.lit(1)).alias("_several"))
-    missing = parsed.where("district is null").drop("district").select("*", F.inline(keyed)).join(table, ["area", "key"], "left")
+    missing = parsed.where("district is null").select(*form).distinct().select("*", F.inline(keyed)).join(table, ["area", "key"], "left")
     usable = F.when(F.col("best") | (F.col("_several") == 1), F.struct("rank", "_d"))
-    same = [c for c in parsed.columns if c != "district"]
-    filled = missing.groupBy(*same).agg(F.coalesce(F.min(usable)["_d"], F.lit("")).alias("district"))
-    return parsed.where("district is not null").unionByName(filled)
+    found = missing.groupBy(*[F.coalesce(c, F.lit("")).alias(f"_f{c}") for c in form]).agg(F.min(usable)["_d"].alias("_found"))
+    lost = parsed.where("district is null").drop("district")
+    lost = lost.join(found, [F.coalesce(F.col(c), F.lit("")) == F.col(f"_f{c}") for c in form], "left").withColumn("district", F.coalesce("_found", F.lit("")))
+    return parsed.where("district is not null").unionByName(lost.drop("_found", *[f"_f{c}" for c in form]))
 
 
 def _swapped(a: Column, b: Column) -> Column:
@@ -177,26 +190,78 @@ def _swapped(a: Column, b: Column) -> Column:
     return (F.length(a) == F.length(b)) & F.array_contains(swaps, b)
 
 
-def same_name(a: Column, b: Column) -> Column:
-    """Whether two arrays of words can be one name: as many words, each equal or the other's initial, and then
-    at most one slip in all; or, written without gaps, one slip apart."""
-    words = F.zip_with(a, b, lambda x, y: F.when((x == y) | ((F.length(x) == 1) & y.startswith(x)) | ((F.length(y) == 1) & x.startswith(y)), F.lit("")).otherwise(F.concat_ws(" ", x, y)))
-    off = F.filter(words, lambda w: w != "")
-    pair = F.split(F.try_element_at(off, F.lit(1)), " ")
-    x, y = F.try_element_at(pair, F.lit(1)), F.try_element_at(pair, F.lit(2))
-    word_slip = (F.size(off) == 1) & (F.coalesce(F.levenshtein(x, y) <= 1, F.lit(False)) | F.coalesce(_swapped(x, y), F.lit(False)))
-    joined_a, joined_b = F.array_join(a, ""), F.array_join(b, "")
-    close = (F.levenshtein(joined_a, joined_b) <= 1) | _swapped(joined_a, joined_b)
-    return ((F.size(a) == F.size(b)) & ((F.size(off) == 0) | word_slip)) | close
+def is_slip(a: Column, b: Column, least: int = 5) -> Column:
+    """Whether ``a`` is ``b`` with one letter more, less or other, or with two neighbours swapped, inside the word.
+
+    The first letter stays, and so does the last unless it was swapped: MARIA is not MARIO, nor FLORES FLOR. A word with
+    a digit, or with fewer than ``least`` letters in both, never slips: 12 is not 13, SOL is not SUL."""
+    ends = F.substring(a, -1, 1) == F.substring(b, -1, 1)
+    off = F.levenshtein(a, b, 2)
+    near = F.when(off == 1, ends).when(off == 2, _swapped(a, b)).otherwise(F.lit(False))
+    able = (F.greatest(F.length(a), F.length(b)) >= least) & (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & ~a.rlike("[0-9]") & ~b.rlike("[0-9]")
+    return F.when(able, near).otherwise(F.lit(False))
+
+
+def _words_off(a: Column, b: Column) -> Column:
+    return F.filter(F.zip_with(a, b, lambda x, y: F.when(x != y, F.struct(x.alias("x"), y.alias("y")))), lambda w: w.isNotNull())
+
+
+def same_but_gaps(a: Column, b: Column) -> Column:
+    """Whether two arrays of words without digits are one text but for the gaps."""
+    return (F.array_join(a, "") == F.array_join(b, "")) & ~F.exists(a, lambda w: w.rlike("[0-9]"))
+
+
+def slipped_name(a: Column, b: Column) -> Column:
+    """Whether two arrays of words are one name but for one slip: in one word, or, with other gaps, in the whole."""
+    off = _words_off(a, b)
+    one = F.try_element_at(off, F.lit(1))
+    plain = lambda words: ~F.exists(words, lambda w: (F.length(w) <= 2) | w.rlike("[0-9]"))
+    regapped = plain(a) & plain(b) & is_slip(F.array_join(a, ""), F.array_join(b, ""))
+    return F.when(F.size(a) == F.size(b), (F.size(off) == 1) & is_slip(one["x"], one["y"])).otherwise(regapped)
+
+
+def abbreviated_name(a: Column, b: Column) -> Column:
+    """Whether ``a`` is ``b`` with initials for some words, another word written out, and at most one slip."""
+    off = F.filter(_words_off(a, b), lambda w: ~((F.length(w["x"]) == 1) & w["x"].rlike("[A-Z]") & w["y"].startswith(w["x"])))
+    one = F.try_element_at(off, F.lit(1))
+    written = F.exists(a, lambda w: F.length(w) > 2)
+    return (F.size(a) == F.size(b)) & written & ((F.size(off) == 0) | ((F.size(off) == 1) & is_slip(one["x"], one["y"])))
 
 
-def _spelling_keys(name: Column) -> Column:
-    """Keys of which two spellings of one name share one: the initials, and the text with no or one letter left
-    out."""
+def _left_out(name: Column) -> Column:
+    """Keys of which a name and its slips share one: the text without gaps, whole and with one letter left out."""
     joined = F.array_join(name, "")
-    initials = F.concat(F.lit("i:"), F.array_join(F.transform(name, lambda w: F.substring(w, 1, 1)), ""))
-    shorter = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined), F.lit(1))), lambda i: F.concat(F.lit("d:"), F.substr(joined, F.lit(1), i - 1), F.substr(joined, i + 1)))
-    return F.array_distinct(F.concat(F.array(initials, F.concat(F.lit("d:"), joined)), shorter))
+    shorter = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined), F.lit(1))), lambda i: F.concat(F.substr(joined, F.lit(1), i - 1), F.substr(joined, i + 1)))
+    return F.array_distinct(F.concat(F.array(joined), shorter))
+
+
+def _initials(name: Column) -> Column:
+    return F.array_join(F.transform(name, lambda w: F.substring(w, 1, 1)), "")
+
+
+def spellings(parsed: DataFrame) -> DataFrame:
+    """``area, district, _name, name, n, codes``: each way to write a street, how many records write it so, and its
+    whole postal codes (general ones, of a town or district, end in 000) with at least a tenth of its coded records,
+    so ten codes at most: ``struct<code, n>``."""
+    street = ["area", "district", "_name"]
+    whole = F.when(~F.col("postcode").endswith("000"), F.col("postcode"))
+    each = parsed.groupBy(*street, whole.alias("code")).agg(F.count(F.lit(1)).alias("_n"), F.first("name").alias("name"))
+    each = each.withColumn("_coded", F.sum(F.when(F.col("code").isNotNull(), F.col("_n"))).over(Window.partitionBy(*street)))
+    kept = F.when(F.col("code").isNotNull() & (F.col("_n") * 10 >= F.col("_coded")), F.struct("code", F.col("_n").alias("n")))
+    return each.groupBy(*street).agg(F.sum("_n").alias("n"), F.first("name").alias("name"), F.collect_list(kept).alias("codes"))
+
+
+def _believed(n: Column, codes: Column, other_n: Column, other_codes: Column, much: int, few: int) -> Column:
+    """Whether a spelling of ``n`` records is rather a slip of one of ``other_n`` than a street of its own.
+
+    It holds no postal code twice that the other lacks; and it is rare (``few`` records at most) or the other has ``much``
+    times as many. With a postal code in common, twice as many will do, and of rare spellings as many."""
+    theirs = F.transform(other_codes, lambda c: c["code"])
+    rare = (n <= few) | (other_n >= n * much)
+    own = F.exists(codes, lambda c: (c["n"] >= 2) & ~F.array_contains(theirs, c["code"]))
+    shared = F.arrays_overlap(F.transform(codes, lambda c: c["code"]), theirs)
+    twice = other_n >= n * 2
+    return ~own & F.when(shared, rare | twice).otherwise(rare & twice)
 
 
 def follow_links(links: DataFrame) -> DataFrame:
@@ -213,26 +278,55 @@ def follow_links(links: DataFrame) -> DataFrame:
             return links
 
 
-def resolve_streets(parsed: DataFrame) -> DataFrame:
-    """Rule 2: adds ``street``, the resolved name, and the district of records that had none.
+def street_links(spelled: DataFrame, much: int = 4, few: int = 2) -> DataFrame:
+    """``area, district, _name, street``: what a spelling is a slip or an abbreviation of, followed to the end.
 
-    Spellings, not records, are compared, and only those of one district that share a spelling key. A spelling
-    without district is that of the one street of its area that it can be, if there is one only.
+    Candidates meet within a district: slips by a key of the name with a letter left out, names with initials (only those
+    ask by it) by the initials of all words. Initials that fit several streets stand for the one they share a postal code
+    with, else for none of them.
     """
-    spelled = parsed.groupBy("area", "district", "_name").agg(F.count(F.lit(1)).alias("n"), F.first("name").alias("name"))
-    keyed = materialize(spelled.select("*", F.explode(_spelling_keys(F.col("name"))).alias("_key")))
     # A spelling with initials never stands for the street where one without them exists.
     abbreviated = F.size(F.filter("name", lambda w: F.length(w) == 1))
     rank = F.struct((-abbreviated).alias("full"), F.col("n").alias("n"), F.xxhash64("_name").alias("tie"), F.col("_name").alias("to"))
-    side = keyed.where("district <> ''").select("area", "district", "_key", F.col("_name").alias("_other"), F.col("name").alias("_other_name"), rank.alias("_rank"))
-    mine = keyed.where("district <> ''").select("area", "district", "_key", "_name", "name", rank.alias("_own"))
-    better = mine.join(side, ["area", "district", "_key"]).where((F.col("_other") != F.col("_name")) & (F.col("_rank") > F.col("_own")))
-    better = better.select("area", "district", "_name", "name", "_other", "_other_name", "_rank").distinct().where(same_name(F.col("name"), F.col("_other_name")))
-    links = materialize(better.groupBy("area", "district", "_name").agg(F.max_by("_other", "_rank").alias("street")))
-    links = follow_links(links)
-    lost = keyed.where("district = ''").select("area", "_key", F.col("_name").alias("_lost"), F.col("name").alias("_lost_name"))
-    could = lost.join(side.drop("_rank"), ["area", "_key"]).where(same_name(F.col("_lost_name"), F.col("_other_name")))
-    could = could.select("area", "_lost", "district", F.col("_other").alias("_name")).distinct().join(links, ["area", "district", "_name"], "left")
+    placed = spelled.where("district <> ''").withColumn("_rank", rank)
+    as_other = {c: f"_other{c}" for c in ("_name", "name", "n", "codes", "_rank")}
+    side = placed.select("area", "district", *as_other)
+    by_letters = [F.explode(_left_out(F.col(c))).alias("_key") for c in ("name", "_othername")]
+    met = placed.select("*", by_letters[0]).join(side.withColumnsRenamed(as_other).select("*", by_letters[1]), ["area", "district", "_key"])
+    met = met.where((F.col("_other_rank") > F.col("_rank")))
+    a, b = F.col("name"), F.col("_othername")
+    believed = _believed(F.col("n"), F.col("codes"), F.col("_othern"), F.col("_othercodes"), much, few)
+    slips = met.where(same_but_gaps(a, b) | (believed & slipped_name(a, b)))
+    slips = slips.groupBy("area", "district", "_name").agg(F.max("_other_rank")["to"].alias("street"))
+    slips = follow_links(slips)
+    short = placed.where((abbreviated > 0) & (F.size("name") > 1)).withColumn("_key", _initials(a))
+    full = side.withColumnsRenamed(as_other).where(F.size(b) > 1).withColumn("_key", _initials(b))
+    could = short.join(full, ["area", "district", "_key"]).where((F.col("_other_rank.full") > F.col("_rank.full")) & abbreviated_name(a, b))
+    share = F.arrays_overlap(F.transform("codes", lambda c: c["code"]), F.transform("_othercodes", lambda c: c["code"]))
+    on = slips.select("area", "district", F.col("_name").alias("_other_name"), F.col("street").alias("_to"))
+    could = could.withColumn("_share", F.coalesce(share, F.lit(False))).join(on, ["area", "district", "_other_name"], "left").withColumn("_to", F.coalesce("_to", "_other_name"))
+    only = lambda where: F.when(F.min(F.when(where, F.col("_to"))) == F.max(F.when(where, F.col("_to"))), F.min(F.when(where, F.col("_to"))))
+    could = could.groupBy("area", "district", "_name").agg(F.coalesce(only(F.col("_share")), only(F.lit(True))).alias("street")).where("street is not null")
+    both = slips.join(could.withColumnRenamed("street", "_full"), ["area", "district", "_name"], "full")
+    return follow_links(both.select("area", "district", "_name", F.coalesce("_full", "street").alias("street")))
+
+
+def resolve_streets(parsed: DataFrame, much: int = 4, few: int = 2) -> DataFrame:
+    """Rule 2: adds ``street``, the resolved name, and the district of records that had none.
+
+    Spellings, not records, are compared. A spelling without district is that of the one street of its area that it can
+    be, if there is one only.
+    """
+    spelled = materialize(spellings(parsed))
+    links = street_links(spelled, much, few)
+    side = spelled.where("district <> ''").select("area", "district", "_name", F.col("name").alias("_other_name"))
+    lost = spelled.where("district = ''").select("area", F.col("_name").alias("_lost"), F.col("name").alias("_lost_name"))
+    by_letters, by_initials = lambda c: F.explode(_left_out(F.col(c))).alias("_key"), lambda c: F.concat(F.lit("."), _initials(F.col(c))).alias("_key")
+    asked = lost.select("*", by_letters("_lost_name")).unionByName(lost.where((F.size("_lost_name") > 1) & F.exists("_lost_name", lambda w: F.length(w) == 1)).select("*", by_initials("_lost_name")))
+    known = side.select("*", by_letters("_other_name")).unionByName(side.where(F.size("_other_name") > 1).select("*", by_initials("_other_name")))
+    a, b = F.col("_lost_name"), F.col("_other_name")
+    could = asked.join(known, ["area", "_key"]).where(same_but_gaps(a, b) | slipped_name(a, b) | abbreviated_name(a, b))
+    could = could.select("area", "_lost", "district", "_name").distinct().join(links, ["area", "district", "_name"], "left")
     place = F.struct("district", F.coalesce("street", "_name").alias("street"))
     found = could.groupBy("area", F.col("_lost").alias("_name")).agg(F.min(place).alias("_p"), F.max(place).alias("_q")).where("_p = _q")
     found = found.select("area", F.lit("").alias("district"), "_name", F.col("_p.district").alias("_d"), F.col("_p.street").alias("street"))
@@ -242,18 +336,25 @@ def resolve_streets(parsed: DataFrame) -> DataFrame:
 
 
 def resolve_units(placed: DataFrame) -> DataFrame:
-    """Rules for type, block and unit: each missing part takes the only value known one level up.
+    """Rules for type, title, block and unit: a missing type or title takes the best attested one of the street, any other
+    missing part the only value known one level up.
 
     Worked out on the distinct units of a house, not on its records, and joined back once.
     """
     street = ["area", "district", "street"]
-    types = placed.where("type is not null").groupBy(*street, "type").agg(F.count(F.lit(1)).alias("n"))
-    types = types.groupBy(*street).agg(_most(F.col("type"), F.col("n")).alias("_type"))
     empty = lambda c: F.coalesce(c, F.lit(""))
-    placed = placed.join(types, street, "left").withColumns({
-        "type": F.coalesce("type", "_type", F.lit("")), "number": empty("number"), "unit": empty("unit"), "block": empty("block"), "kind": empty("kind"),
-    }).drop("_type")
-    house, given = [*street, "type", "number"], ["unit", "block", "kind"]
+    # Per street: its types, and for each type its titles, best attested first.
+    called = placed.groupBy(*street, "type", "title").agg(F.count(F.lit(1)).alias("n"))
+    types = called.where("type is not null").groupBy(*street, "type").agg(F.sum("n").alias("n"))
+    types = types.groupBy(*street).agg(_most(F.col("type"), F.col("n")).alias("_type"))
+    called = called.join(types, street, "left").withColumn("_as", F.coalesce("type", "_type", F.lit("")))
+    titles = called.where("title is not null").groupBy(*street, "_as", "title").agg(F.sum("n").alias("n"))
+    titles = titles.groupBy(*street, "_as").agg(_most(F.col("title"), F.col("n")).alias("_title"))
+    called = called.join(titles, [*street, "_as"], "left").select(*street, empty("type").alias("_ty"), empty("title").alias("_ti"), "_as", F.coalesce("title", "_title", F.lit("")).alias("_called"))
+    placed = placed.withColumns({"_ty": empty("type"), "_ti": empty("title")}).join(called, [*street, "_ty", "_ti"]).withColumns({
+        "type": F.col("_as"), "title": F.col("_called"), "number": empty("number"), "unit": empty("unit"), "block": empty("block"), "kind": empty("kind"),
+    }).drop("_ty", "_ti", "_as", "_called")
+    house, given = [*street, "type", "title", "number"], ["unit", "block", "kind"]
     forms = placed.select(*house, *given).distinct().repartition(*house)
 
     def only(c: str, keys: list[str]) -> Column:
@@ -273,25 +374,25 @@ def resolve_units(placed: DataFrame) -> DataFrame:
 
 
 def location_keys(records: DataFrame, locale: Locale = PORTUGUESE, id_col: str = "address_record_id", area: str = "cod_municipio") -> DataFrame:
-    """``id, area, raw, district, street, type, number, unit, block, kind``: the resolved keys of each record.
+    """``id, area, raw, raw2, district, street, type, title, number, unit, block, kind``: the resolved keys of each record.
 
     Records of a null area are left out. A record without any street has an empty one.
     """
     parsed = materialize(parse_addresses(records.where(F.col(area).isNotNull()), locale, id_col, area))
     placed = materialize(resolve_streets(materialize(fill_districts(parsed))))
-    return resolve_units(placed).select("id", "area", "raw", "district", "street", "type", "number", F.col("_unit.unit").alias("unit"), F.col("_unit.block").alias("block"), F.col("_unit.kind").alias("kind"))
+    unit = [F.col(f"_unit.{c}").alias(c) for c in ("unit", "block", "kind")]
+    return resolve_units(placed).select("id", "area", "raw", "raw2", "district", "street", "type", "title", "number", *unit)
 
 
 def same_location_pairs(keys: DataFrame) -> DataFrame:
     """``id_a, id_b`` (smaller first) of records with one location key, or equal as written, within an area.
 
-    Records without street and without number denote no location and pair only with equal records.
+    Records without street or without number denote no location and pair only with equal records. Keys are compared
+    by 128-bit hashes. Equal rows of ``keys`` count once; two ids that share several locations (an id written with more
+    than one address) come out once for each.
     """
-    place = ["area", "district", "street", "type", "number", "unit", "block", "kind"]
-    located = keys.where("street <> '' and number <> ''").select("id", F.xxhash64(*place).alias("k"), *place)
-    left = located.withColumnRenamed("id", "id_a")
-    right = located.withColumnRenamed("id", "id_b")
-    by_place = left.join(right, ["k", *place]).where("id_a < id_b").select("id_a", "id_b")
-    other = keys.where("street = '' or number = ''").select("id", "area", "raw")
-    equal = other.withColumnRenamed("id", "id_a").join(other.withColumnRenamed("id", "id_b"), ["area", "raw"]).where("id_a < id_b").select("id_a", "id_b")
-    return by_place.unionByName(equal).distinct()
+    place = ["area", "district", "street", "type", "title", "number", "unit", "block", "kind"]
+    located = (F.col("street") != "") & (F.col("number") != "")
+    hashed = [F.when(located, F.xxhash64(F.lit(seed), *place)).otherwise(F.xxhash64(F.lit(seed + 2), "area", raw)).alias(k) for k, seed, raw in (("k", 0, "raw"), ("k2", 1, "raw2"))]
+    ids = keys.select("id", *hashed).distinct()
+    return ids.withColumnRenamed("id", "id_a").join(ids.withColumnRenamed("id", "id_b"), ["k", "k2"]).where("id_a < id_b").select("id_a", "id_b")

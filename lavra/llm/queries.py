@@ -101,7 +101,7 @@ def p1_found(spark, sf_dir):
 def p1_locations(spark, sf_dir):
     """Every record with the resolved parts of its location."""
     keys = addresses.location_keys(table(spark, sf_dir, "address_records"))
-    return keys.drop("raw").withColumnsRenamed({"id": "address_record_id", "area": "cod_municipio"})
+    return keys.drop("raw", "raw2").withColumnsRenamed({"id": "address_record_id", "area": "cod_municipio"})
 
 
 @LLM.query(P9_FOUND)

@@ -60,14 +60,33 @@ def test_pairs(spark):
     assert addresses.same_location_pairs(addresses.location_keys(frame(spark, rows).limit(0))).count() == 0
 
 
-def test_slips_of_slips_reach_their_street(spark):
-    """Each spelling is one slip from the next better attested one; the last is four hops from the street."""
-    names = ["MARAVELUNO", "MARAVELUNX", "MARAVELUYX", "MARAVELZYX", "MARAVEWZYX", "MARAVQWZYX"]
-    rows = [("m", f"RUA {name}", "7", None, "CENTRO", "30000001") for i, name in enumerate(names) for _ in range(len(names) - i)]
+def test_links_are_followed_to_their_end(spark):
+    """A link of a link, however long the chain, and spellings that are slips of slips of their street."""
+    links = spark.createDataFrame([("m", "D", f"S{i}", f"S{i + 1}") for i in range(11)], "area string, district string, _name string, street string")
+    assert {r.street for r in addresses.follow_links(links).collect()} == {"S11"}
+    rows = [("m", f"RUA {name}", "7", None, "CENTRO", "30000001") for name, n in (("MARAVELUNO", 4), ("MARAVEXUNO", 2), ("MARAKEXUNO", 1)) for _ in range(n)]
     keys = addresses.location_keys(frame(spark, rows)).collect()
     assert {r.street for r in keys} == {"MARAVELUNO"} and len(keys) == len(rows)
 
 
+def test_similar_streets_stay_apart(spark):
+    """Numbered and lettered streets, other endings, short words, other titles, and two attested spellings are never joined."""
+    groups = [
+        ["RUA 12", "RUA 13"], ["RUA A", "RUA B"], ["RUA MARIA", "RUA MARIO"], ["RUA SAO JOAO", "RUA DOM JOAO"], ["RUA SANTA RITA", "RUA DONA RITA"],
+        ["RUA DAS FLORES", "RUA DA FLOR"], ["RUA DO SOL", "RUA DO SUL"], ["RUA 7 DE ABRIL", "RUA 17 DE ABRIL"], ["RUA PADRE BENTO LIMA", "RUA DOUTOR BENTO LIMA"],
+        ["RUA QUADRA 1 2", "RUA QUADRA 12"], ["RUA CARLOS", "AVENIDA CARLOS"], ["RUA J SILVA", "RUA JOAO SILVA", "RUA JORGE SILVA"],
+    ]
+    rows = [("m", street, "10", None, "CENTRO", "30000001") for streets in groups for street in streets]
+    assert pairs(spark, rows) == set()
+    # Both attested, each with a postal code of its own.
+    rows = [("m", street, "10", str(i), "CENTRO", code) for street, code in (("RUA MARTINA", "30000001"), ("RUA MARLINA", "30000002")) for i in range(5)]
+    assert pairs(spark, rows) == set()
+    # A missing title, a title spelled out, gaps, a rare slip and a fitting initial do meet.
+    written = ["RUA DR. BENTO-LIMA CASTRO", "R DOUTOR BENTO LIMA CASTRO", "R. BENTOLIMA CASTRO", "RUA DR BENTO-LIMA CASTRO", "RUA BENTO-LMIA CASTRO", "R DR BENTO LIMA C."]
+    rows = [("m", street, "10", None, "CENTRO", "30000001") for street in written]
+    assert len(pairs(spark, rows)) == 15
+
+
 def test_written_variants_meet(spark):
     """Streets written in many ways, one slip each, resolve to one street each."""
     rng = random.Random(4)
