@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lavra.contracts import ContractError, require_columns
 from lavra.functions.dates import period_of
+from lavra.functions.stats import with_percentiles
 
 
 def chained_index(monthly: DataFrame, period: str = "period", pct: str = "pct") -> DataFrame:
@@ -56,11 +57,10 @@ def deflate(df: DataFrame, index: DataFrame, date: str, amounts: list[str], refe
 
 def deflation_summary(df: DataFrame, year: str, amount: str) -> DataFrame:
     """AGG-18: matched rows and medians per year."""
-    return df.groupBy(year).agg(
+    rows = df.groupBy(year).agg(
         F.count(F.lit(1)).alias("transactions"),
         F.count_if("flag_ipca_disponivel").alias("matched"),
         F.round(F.avg(F.col("flag_ipca_disponivel").cast("double")) * 100, 3).alias("pct_matched"),
-        F.median(amount).alias("median_nominal"),
-        F.median(f"{amount}_real").alias("median_real"),
-        F.median("deflation_factor").alias("median_factor"),
     )
+    medians = {"median_nominal": amount, "median_real": f"{amount}_real", "median_factor": "deflation_factor"}
+    return with_percentiles(rows, df, [year], {name: (F.col(c), 0.5) for name, c in medians.items()})

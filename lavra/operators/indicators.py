@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.contracts import require_columns
+from lavra.functions.stats import with_percentiles
 
 
 @dataclass(frozen=True)
@@ -50,14 +51,13 @@ def geographic_label(df: DataFrame, first: str, second: str, label: str = "bairr
 def market_metrics(df: DataFrame, keys: list[str], m: MarketColumns = MARKET) -> DataFrame:
     """The core cube: 16 metrics per group, and ``n_setores`` where the sector column exists.
 
-    Null keys form groups. Quantiles are exact (linear between neighbours). All quantiles of a column come from
-    one aggregate, so that each group keeps one table of counts per column.
+    Null keys form groups. Quantiles are exact (linear between neighbours) and come from value counts, so that no task
+    holds all values of a group.
     """
     require_columns(df, [*keys, m.base, m.value_m2, m.area], "transactions")
     units = F.coalesce(F.col(m.units).cast("long"), F.lit(1)) if m.units in df.columns else F.lit(1)
     multi = F.coalesce(F.col(m.multiunit), F.lit(False)) if m.multiunit in df.columns else F.lit(False)
     number = {k: F.col(c).cast("double") for k, c in (("b", m.base), ("v", m.value_m2), ("a", m.area))}
-    quart = {f"_q{k}": F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for k, c in number.items()}
     grouped = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_transacoes"),
         F.sum(units).cast("long").alias("n_unidades"),
@@ -67,13 +67,9 @@ def market_metrics(df: DataFrame, keys: list[str], m: MarketColumns = MARKET) ->
         F.avg(number["a"]).alias("area_media_m2"),
         (F.avg(multi.cast("double")) * 100).alias("pct_multiunit"),
         *([F.count_distinct(m.sector).alias("n_setores")] if m.sector in df.columns and m.sector not in keys else []),
-        *[q.alias(k) for k, q in quart.items()],
     )
-    at = {"base_p25_real": "_qb", "valor_m2_p25_real": "_qv", "area_p25_m2": "_qa"}
-    columns = [F.col(q)[0].alias(c) for c, q in at.items()]
-    columns += [F.col(q)[1].alias(c) for c, q in {"base_mediana_real": "_qb", "valor_m2_mediano_real": "_qv", "area_mediana_m2": "_qa"}.items()]
-    columns += [F.col(q)[2].alias(c) for c, q in {"base_p75_real": "_qb", "valor_m2_p75_real": "_qv", "area_p75_m2": "_qa"}.items()]
-    return grouped.select(*[c for c in grouped.columns if not c.startswith("_q")], *columns)
+    names = {"b": ("base_p25_real", "base_mediana_real", "base_p75_real"), "v": ("valor_m2_p25_real", "valor_m2_mediano_real", "valor_m2_p75_real"), "a": ("area_p25_m2", "area_mediana_m2", "area_p75_m2")}
+    return with_percentiles(grouped, df, keys, {name: (number[k], q) for k, of in names.items() for name, q in zip(of, (0.25, 0.5, 0.75))})
 
 
 def year_coverage(df: DataFrame, as_of_year: int, area: list[str] = []) -> DataFrame:
@@ -162,7 +158,7 @@ def top_territories(rows: DataFrame, metric: str, k: int, least: int = 50, by: l
 def common_scale(rows: DataFrame, metric: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """AGG-24: ``scale_min, scale_max`` across all years: the outer percentiles, or the extremes where those
     coincide."""
-    q = F.percentile(F.col(metric).cast("double"), F.array(F.lit(low), F.lit(high)))
-    s = rows.agg(q.alias("q"), F.min(F.col(metric).cast("double")).alias("lo"), F.max(F.col(metric).cast("double")).alias("hi"))
-    apart = F.col("q")[0] < F.col("q")[1]
-    return s.select(F.when(apart, F.col("q")[0]).otherwise(F.col("lo")).alias("scale_min"), F.when(apart, F.col("q")[1]).otherwise(F.col("hi")).alias("scale_max"))
+    v = F.col(metric).cast("double")
+    s = with_percentiles(rows.agg(F.min(v).alias("lo"), F.max(v).alias("hi")), rows, [], {"ql": (v, low), "qh": (v, high)})
+    apart = F.col("ql") < F.col("qh")
+    return s.select(F.when(apart, F.col("ql")).otherwise(F.col("lo")).alias("scale_min"), F.when(apart, F.col("qh")).otherwise(F.col("hi")).alias("scale_max"))

@@ -97,7 +97,7 @@ def resolve_headers(headers: DataFrame, schema: TargetSchema = UNITS) -> DataFra
     ``name`` is the header in snake case; ``column_name`` the target column it stands for (by its own name, by
     a listed alias, or by saying the same words), else ``name`` itself. Of several headers for one column the
     most direct one, then the first, takes it; the others keep their own names, with ``_2`` and so on where a
-    name repeats. An empty header is named ``_c`` and its position.
+    name repeats (and the position where the file has that name too). An empty header is named ``_c`` and its position.
     """
     cells = headers.select("file_id", F.posexplode("headers").alias("pos", "raw"))
     own = F.coalesce(F.nullif(header_key(F.col("raw")), F.lit("")), F.concat(F.lit("_c"), F.col("pos").cast("string")))
@@ -114,11 +114,16 @@ def resolve_headers(headers: DataFrame, schema: TargetSchema = UNITS) -> DataFra
     cells = cells.withColumn("known", F.col("target").isNotNull() & (F.row_number().over(best) == 1))
     cells = cells.withColumn("column_name", F.when(F.col("known"), F.col("target")).otherwise(F.col("name")))
     nth = F.row_number().over(Window.partitionBy("file_id", "column_name").orderBy(F.col("known").desc(), "pos"))
-    return cells.withColumn("_nth", nth).select(
-        "file_id", "pos", "name",
-        F.when(F.col("_nth") == 1, F.col("column_name")).otherwise(F.concat("column_name", F.lit("_"), F.col("_nth").cast("string"))).alias("column_name"),
-        (F.col("known") & (F.col("_nth") == 1)).alias("known"),
-    )
+    cells = cells.withColumn("_nth", nth)
+    # A suffix that makes a name of the file again gets its position too, and underscores until it is a name of its own.
+    taken = Window.partitionBy("file_id")
+    suffixed = F.concat("column_name", F.lit("_"), F.col("_nth").cast("string"))
+    cells = cells.withColumn("_all", F.collect_set("column_name").over(taken)).withColumn("_given", F.when(F.col("_nth") == 1, F.col("column_name")).otherwise(suffixed))
+    with_place = F.concat("_given", F.lit("_c"), F.col("pos").cast("string"))
+    tails = F.transform(F.sequence(F.lit(0), F.size("_all")), lambda i: F.concat(with_place, F.repeat(F.lit("_"), i)))
+    free = F.element_at(F.filter(tails, lambda t: ~F.array_contains("_all", t)), 1)
+    clash = (F.col("_nth") > 1) & F.array_contains("_all", F.col("_given"))
+    return cells.select("file_id", "pos", "name", F.when(clash, free).otherwise(F.col("_given")).alias("column_name"), (F.col("known") & (F.col("_nth") == 1)).alias("known"))
 
 
 def resolved_headers(lines: DataFrame, files: DataFrame, schema: TargetSchema = UNITS, layout: FileLayout = FileLayout()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.contracts import require_columns, require_range
+from lavra.functions.stats import group_value_counts, percentiles_from_counts
 
 
 def not_positive(c: str) -> Column:
@@ -43,11 +44,11 @@ def log_iqr_thresholds(df: DataFrame, metrics: dict[str, str], groups: list[str]
     require_columns(df, [*groups, *metrics.values()])
     require_range("multiplier", multiplier, low=0, open_ends=True)
     require_range("least", least, low=1)
-    cells = [F.struct(F.lit(m).alias("metric"), F.lit(c).alias("value_column"), F.col(c).cast("double").alias("value")) for m, c in metrics.items()]
-    long = df.select(*groups, F.inline(F.array(*cells))).where(usable(F.col("value")))
-    fitted = long.groupBy("metric", "value_column", *groups).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile(F.ln("value"), F.array(F.lit(0.25), F.lit(0.75))).alias("_q")
-    )
+    logs = {m: F.when(usable(F.col(c).cast("double")), F.ln(F.col(c).cast("double"))) for m, c in metrics.items()}
+    found = percentiles_from_counts(group_value_counts(df, groups, logs), groups, {m: [0.25, 0.75] for m in metrics})
+    at = lambda q: F.max(F.when(F.col("fraction") == F.lit(q), F.col("percentile")))
+    fitted = found.groupBy(F.col("column_name").alias("metric"), *groups).agg(F.max("n_values").alias("n"), F.array(at(0.25), at(0.75)).alias("_q"))
+    fitted = fitted.withColumn("value_column", F.coalesce(*[F.when(F.col("metric") == m, F.lit(c)) for m, c in metrics.items()]))
     iqr = F.col("_q")[1] - F.col("_q")[0]
     reason = F.when(F.col("n") < least, "group_too_small").when(~(iqr > 0), "non_positive_iqr")
     fitted = fitted.withColumns({"reason_not_applied": reason, "applied": reason.isNull(), "iqr_log": F.when(reason.isNull(), iqr)})
@@ -107,32 +108,40 @@ def flag_summary(df: DataFrame, keys: list[str], flags: dict[str, str], percents
 
 def column_profile(df: DataFrame) -> DataFrame:
     """AGG-06: one row per column: rows, nulls, distinct values; true and false of booleans; range, quartiles and
-    mean of numbers. One aggregation over the table; distinct counts of many columns expand the rows, so wide
-    tables are better profiled through value counts."""
+    mean of numbers. NaN counts as null.
+
+    Everything comes from one table of value counts, so that no task holds a column.
+    """
     numeric = {c for c, k in df.dtypes if k in ("tinyint", "smallint", "int", "bigint", "float", "double") or k.startswith("decimal")}
-    boolean = {c for c, k in df.dtypes if k == "boolean"}
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, (c, _) in enumerate(df.dtypes):
-        col = F.col(f"`{c}`")
-        aggs += [F.count(col).alias(f"_c{i}"), F.count_distinct(col).alias(f"_d{i}")]
-        if c in numeric:
-            v = col.cast("double")
-            aggs += [F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q{i}"), F.min(v).alias(f"_l{i}"), F.max(v).alias(f"_h{i}"), F.avg(v).alias(f"_m{i}")]
-        if c in boolean:
-            aggs += [F.count_if(col).alias(f"_t{i}"), F.count_if(~col).alias(f"_f{i}")]
-    one = df.agg(*aggs)
-    nothing, none = F.lit(None).cast("double"), F.lit(None).cast("long")
-    rows = []
-    for i, (c, kind) in enumerate(df.dtypes):
-        q = [F.col(f"_q{i}")[k] for k in range(3)] if c in numeric else [nothing] * 3
-        rows.append(F.struct(
-            F.lit(c).alias("column"), F.lit(kind).alias("dtype"), F.col("_rows").alias("n_rows"), (F.col("_rows") - F.col(f"_c{i}")).alias("n_null"),
-            F.round(F.try_divide((F.col("_rows") - F.col(f"_c{i}")) * 100.0, F.col("_rows").cast("double")), 3).alias("pct_null"), F.col(f"_d{i}").alias("n_unique"),
-            (F.col(f"_t{i}") if c in boolean else none).alias("n_true"), (F.col(f"_f{i}") if c in boolean else none).alias("n_false"),
-            (F.col(f"_l{i}") if c in numeric else nothing).alias("min"), q[0].alias("p25"), q[1].alias("median"),
-            (F.col(f"_m{i}") if c in numeric else nothing).alias("mean"), q[2].alias("p75"), (F.col(f"_h{i}") if c in numeric else nothing).alias("max"),
-        ))
-    return one.select(F.inline(F.array(*rows)))
+
+    def cell(c: str) -> Column:
+        number = F.col(f"`{c}`").cast("double") if c in numeric else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if c in numeric else F.col(f"`{c}`").cast("string")
+        return F.struct(F.lit(c).alias("column"), F.when(~F.isnan(number), number + 0.0).alias("value"), text.alias("text"))
+
+    counts = df.select(F.inline(F.array(*[cell(c) for c in df.columns]))).groupBy("column", "value", "text").agg(F.count(F.lit(1)).alias("n"))
+    given = F.when(F.col("value").isNotNull() | F.col("text").isNotNull(), F.col("n"))
+    times = lambda word: F.coalesce(F.sum(F.when(F.col("text") == word, F.col("n"))), F.lit(0))
+    kinds = dict(df.dtypes)
+    kind = F.coalesce(*[F.when(F.col("column") == c, F.lit(k)) for c, k in kinds.items()])
+    whole = counts.groupBy("column").agg(
+        F.sum("n").alias("n_rows"), (F.sum("n") - F.coalesce(F.sum(given), F.lit(0))).alias("n_null"), F.count(given).alias("n_unique"),
+        times("true").alias("_t"), times("false").alias("_f"),
+        F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean"),
+    )
+    quarters = percentiles_from_counts(
+        counts.where("value is not null").select(F.col("column").alias("column_name"), "value", "n"), [], {c: [0.25, 0.5, 0.75] for c in numeric}
+    ) if numeric else None
+    if quarters is not None:
+        at = {name: F.max(F.when(F.col("fraction") == F.lit(q), F.col("percentile"))).alias(name) for name, q in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))}
+        whole = whole.join(quarters.groupBy(F.col("column_name").alias("column")).agg(*at.values()), "column", "left")
+    else:
+        whole = whole.withColumns({q: F.lit(None).cast("double") for q in ("p25", "median", "p75")})
+    boolean = F.col("dtype") == "boolean"
+    return whole.withColumn("dtype", kind).select(
+        "column", "dtype", "n_rows", "n_null", F.round(F.try_divide(F.col("n_null") * 100.0, F.col("n_rows").cast("double")), 3).alias("pct_null"), "n_unique",
+        F.when(boolean, F.col("_t")).alias("n_true"), F.when(boolean, F.col("_f")).alias("n_false"), "min", "p25", "median", "mean", "p75", "max",
+    )
 
 
 def enrich(df: DataFrame, reference: DataFrame, key: str, reference_key: str, flag: str) -> DataFrame:

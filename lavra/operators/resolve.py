@@ -62,12 +62,17 @@ def best_with_margin(pairs: DataFrame, keys: list[str], score: str, threshold: f
     return ranked.where((F.col("_r") == 1) & (F.col(score) >= threshold) & lead).drop("_r", "_next")
 
 
-def geocode(addresses: DataFrame, index: DataFrame, area: str = "cod_municipio", block_cap: int = 500, street_centroid: bool = False) -> DataFrame:
+def skipped_blocks(index: DataFrame, block_cap: int, area: str = "cod_municipio") -> DataFrame:
+    """``area, number_key, n_rows``: the blocks that ``geocode`` with that cap does not search by number alone."""
+    return index.where("number_key is not null").groupBy(area, "number_key").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > block_cap)
+
+
+def geocode(addresses: DataFrame, index: DataFrame, area: str = "cod_municipio", block_cap: int | None = None, street_centroid: bool = False) -> DataFrame:
     """GEO-01 .. GEO-06: distinct keyed addresses with ``geocode_method``, ``geocode_score`` and the place.
 
     Each step sees only what the steps before left. Fuzzy steps score distinct street names within blocks of
-    one number (and postal code); a block of more than ``block_cap`` register records is not searched by
-    number alone, which is the rule, not a shortcut.
+    one number (and postal code). By default all blocks are searched; with ``block_cap`` (500 in the published method)
+    those of more index rows are left out of the search by number alone, and ``skipped_blocks`` reports them.
     """
     key = [area, "street_key", "number_key", "cep_key"]
     # Written once: each is read by several of the steps below.
@@ -90,11 +95,12 @@ def geocode(addresses: DataFrame, index: DataFrame, area: str = "cod_municipio",
     rest = _without(rest, by_number, key)
     candidates = index.withColumnsRenamed({"street_key": "street_key_c", "cep_key": "cep_key_c"})
     pairs = rest.where("cep_key is not null").join(candidates.withColumn("cep_key", F.col("cep_key_c")), [area, "number_key", "cep_key"])
-    near = step(scored(pairs, 78.0, 4.0), "fuzzy_cep_number", F.round(F.least(F.lit(94.0), F.lit(75.0) + F.col("s") * 0.20), 2))
+    near = step(scored(pairs, 78.0, 4.0), "fuzzy_street_exact_number_cep", F.round(F.least(F.lit(94.0), F.lit(75.0) + F.col("s") * 0.20), 2))
     rest = _without(rest, near, key)
-    small = index.groupBy(area, "number_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= block_cap).drop("_n")
-    wide = rest.join(candidates.join(small, [area, "number_key"], "left_semi"), [area, "number_key"])
-    far = step(scored(wide, 92.0, 5.0), "fuzzy_number", F.round(F.least(F.lit(92.0), F.lit(70.0) + F.col("s") * 0.22), 2))
+    if block_cap is not None:
+        candidates = candidates.join(skipped_blocks(index, block_cap, area), [area, "number_key"], "left_anti")
+    wide = rest.join(candidates, [area, "number_key"])
+    far = step(scored(wide, 92.0, 5.0), "fuzzy_street_exact_number", F.round(F.least(F.lit(92.0), F.lit(70.0) + F.col("s") * 0.22), 2))
     found = exact.unionByName(by_number).unionByName(near).unionByName(far)
     if street_centroid:
         rest = _without(rest, far, key)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions import numbers, similarity, text
 from lavra.functions.dates import parse_date
+from lavra.functions.stats import with_percentiles
 from lavra.operators import census, deflate, guides, indicators, points, quality, resolve, spatialstats
 from lavra.plans.registry import Registry, table
 from lavra.streaming import monthly
@@ -21,11 +22,11 @@ SAMPLE_COLUMNS = [
 LATEST = """latest AS (SELECT *, n_units > 1 AS flag_multiunit_qc, coalesce(year(data_pagamento), source_year) AS ano_analise, month(data_pagamento) AS mes_analise
   FROM transactions_qc QUALIFY row_number() OVER (PARTITION BY cod_municipio, transaction_id ORDER BY carga_em DESC NULLS LAST) = 1)"""
 METRICS = """count(*) AS n_transacoes, CAST(sum(coalesce(n_units, 1)) AS BIGINT) AS n_unidades, round(sum(base_de_calculo_real), 2) AS base_total_real,
-  round(avg(base_de_calculo_real) + 1e-8, 6) AS base_media_real, round(median(base_de_calculo_real), 6) AS base_mediana_real,
+  CAST(CAST(avg(base_de_calculo_real) AS FLOAT) AS DOUBLE) AS base_media_real, round(median(base_de_calculo_real), 6) AS base_mediana_real,
   round(quantile_cont(base_de_calculo_real, 0.25), 6) AS base_p25_real, round(quantile_cont(base_de_calculo_real, 0.75), 6) AS base_p75_real,
-  round(avg(valor_m2_base_real) + 1e-8, 6) AS valor_m2_medio_real, round(median(valor_m2_base_real), 6) AS valor_m2_mediano_real,
+  CAST(CAST(avg(valor_m2_base_real) AS FLOAT) AS DOUBLE) AS valor_m2_medio_real, round(median(valor_m2_base_real), 6) AS valor_m2_mediano_real,
   round(quantile_cont(valor_m2_base_real, 0.25), 6) AS valor_m2_p25_real, round(quantile_cont(valor_m2_base_real, 0.75), 6) AS valor_m2_p75_real,
-  round(avg(area_referencia_m2) + 1e-8, 6) AS area_media_m2, round(median(area_referencia_m2), 6) AS area_mediana_m2,
+  CAST(CAST(avg(area_referencia_m2) AS FLOAT) AS DOUBLE) AS area_media_m2, round(median(area_referencia_m2), 6) AS area_mediana_m2,
   round(quantile_cont(area_referencia_m2, 0.25), 6) AS area_p25_m2, round(quantile_cont(area_referencia_m2, 0.75), 6) AS area_p75_m2,
   round(100 * avg(CASE WHEN flag_multiunit_qc THEN 1.0 ELSE 0.0 END), 6) AS pct_multiunit"""
 SECTORS = ", count(DISTINCT sector_final_code) AS n_setores"
@@ -36,10 +37,11 @@ COVERAGE = f"""coverage AS (SELECT cod_municipio, ano_analise, count(DISTINCT me
 
 
 def rounded(df, places: int = 6, but: dict[str, int] = {}):
-    """Doubles rounded, so that sums in another order compare equal. Means, which may end on a rounding limit,
-    are moved off it."""
-    off = lambda c: F.col(c) + 1e-8 if "_medi" in c and "_mediana" not in c and "_mediano" not in c else F.col(c)
-    return df.select(*[F.round(off(c), but.get(c, places)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+    """Doubles rounded, so that sums in another order compare equal. Means, which may end on a rounding limit, are
+    given with the precision of a float: its limits are no decimal fractions."""
+    mean = lambda c: "_media_" in c or "_medio_" in c
+    near = lambda c: F.col(c).cast("float").cast("double") if mean(c) else F.round(F.col(c), but.get(c, places))
+    return df.select(*[near(c).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
 def latest(spark, sf_dir):
@@ -285,7 +287,8 @@ def exact_duplicates(spark, sf_dir):
 @MARKET.query("""WITH a AS (SELECT year(o_orderdate) AS ano, count(*) AS n_orders, round(median(o_totalprice), 6) AS median_price FROM orders GROUP BY ALL),
 b AS (SELECT year(l_shipdate) AS ano, count(*) AS n_lines, count(DISTINCT l_orderkey) AS n_shipped FROM lineitem GROUP BY ALL) SELECT * FROM a FULL JOIN b USING (ano)""")
 def full_outer_year_summary(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("ano")).agg(F.count(F.lit(1)).alias("n_orders"), F.median("o_totalprice").alias("median_price"))
+    orders = table(spark, sf_dir, "orders").withColumn("ano", F.year("o_orderdate"))
+    a = with_percentiles(orders.groupBy("ano").agg(F.count(F.lit(1)).alias("n_orders")), orders, ["ano"], {"median_price": (F.col("o_totalprice"), 0.5)})
     b = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("ano")).agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("l_orderkey").alias("n_shipped"))
     return rounded(guides.outer_summary(a, b, ["ano"]))
 

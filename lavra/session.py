@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lavra.contracts import ContractError
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -29,12 +31,16 @@ def build_session(master: str | None = None, app: str = "lavra", **conf: str) ->
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``.
+    """``spark.checkpoint.dir``, the folder that all machines share.
 
-    The cluster names that setting; only where it is unset (tests, a laptop) a temporary folder is set.
+    A temporary folder of this machine takes its place where it is unset and the master is ``local``: tests, a laptop.
+    On a cluster each executor would write to a disk of its own, so there its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ContractError(f"spark.checkpoint.dir is not set, and master {master} needs a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="lavra-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -68,13 +74,34 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, the sizes are known to the
-    planner, and the rows survive the loss of any executor."""
+    planner, and the rows survive the loss of any executor. The folder goes with ``release``, at the latest when the
+    driver ends."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that ``materialize`` wrote, but for the first ``since`` (``written()`` tells how many there are);
+    what was derived from them can then no longer be computed. Gives how many went."""
+    gone = _written[since:]
+    del _written[since:]
+    for path in gone:
+        delete_folder(spark, path)
+    return len(gone)
+
+
+def written() -> int:
+    return len(_written)
+
+
 def ship_package() -> None:
     """Give the workers this package, once per application: Python functions sent to them import from it.
 

@@ -14,23 +14,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lavra.contracts import ContractError, duplicate_keys, require_columns
+from lavra.functions.dates import parse_date
 from lavra.functions.text import header_name
 from lavra.operators.layouts import UNITS, TargetSchema
 
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 FORMATS = ("csv", "zip", "pdf", "xlsx", "xls", "geojson", "json")
 
 
-def detect_encoding(head: bytes) -> str:
-    """The first encoding that reads the head of a file; a character cut at its end does not count. Spark reads
-    both one-byte encodings as Latin-1."""
-    for encoding in ENCODINGS:
-        try:
-            head[: max(0, len(head) - 4) or len(head)].decode(encoding)
-            return encoding
-        except UnicodeDecodeError:
-            continue
-    return ENCODINGS[-1]
+def read_head(spark: SparkSession, path: str | Path, size: int = 1 << 16) -> bytes:
+    """The first ``size`` bytes of a file on any file system that Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    stream = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(hadoop)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
+def detect_encoding(spark: SparkSession, path: str | Path) -> str:
+    """The first of ENCODINGS that reads every byte of the file: UTF-8 if the whole file is valid, with or without a mark,
+    else one byte a character (which Spark reads as Latin-1).
+
+    The cluster looks at all lines; no line break lies within a character of UTF-8, so the lines decide.
+    """
+    lines = spark.read.text(str(path), lineSep="\n")
+    if lines.where(~F.is_valid_utf8("value")).limit(1).count():
+        return ENCODINGS[2]
+    return ENCODINGS[0] if read_head(spark, path, 3) == BYTE_ORDER_MARK else ENCODINGS[1]
 
 
 def detect_delimiter(head: str, default: str = ",", quote: str = "'") -> str:
@@ -56,25 +68,30 @@ def canonical_names(headers: list[str], schema: TargetSchema = UNITS) -> list[st
 
 
 def year_of(file_name: str) -> int | None:
-    """SRC-05: the year in a file name."""
+    """SRC-05: the year in a file name; ``with_modal_year`` is the rule for names without one."""
     found = re.search(r"20\d{2}", file_name)
     return int(found[0]) if found else None
 
 
+def with_modal_year(df: DataFrame, date: str = "data_estimativa", name: str = "source_year") -> DataFrame:
+    """SRC-05: adds the year that most rows of ``date`` (text) have, the earlier of equals; null without any date."""
+    years = df.select(F.year(parse_date(F.col(date))).alias("_y")).where("_y is not null").groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
+    most = years.agg(F.max_by("_y", F.struct("_n", -F.col("_y"))).alias(name))
+    return df.crossJoin(F.broadcast(most))  # one row
+
+
 def read_unit_csv(spark: SparkSession, path: str | Path, schema: TargetSchema = UNITS, required: tuple[str, ...] = (), quote: str = "'") -> DataFrame:
     """SRC-01, SRC-03 .. SRC-06: one file, all texts, canonical columns, ``source_file, source_year, source_row``.
 
     ``source_row`` counts records from 2 (line 1 is the header). Records of a wrong width keep what they have in
     order, with the whole text under ``_corrupt``; absent canonical columns are null.
     """
-    path = Path(path)
-    head = path.read_bytes()[: 1 << 16]
-    encoding = detect_encoding(head)
-    text = head.decode(encoding, "replace")
+    name, encoding = Path(path).name, detect_encoding(spark, path)
+    text = read_head(spark, path).decode(encoding, "replace")
     delimiter = detect_delimiter(text)
     names = canonical_names(next(csv.reader([text.split("\n", 1)[0].rstrip("\r")], delimiter=delimiter, quotechar=quote)), schema)
     if gone := sorted(set(required) - set(names)):
-        raise ContractError(f"{path.name}: missing columns {', '.join(gone)}")
+        raise ContractError(f"{name}: missing columns {', '.join(gone)}")
     fields = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt"]])
     df = (
         spark.read.schema(fields)
@@ -84,9 +101,12 @@ def read_unit_csv(spark: SparkSession, path: str | Path, schema: TargetSchema =
     )
     # A multi-line file is read by one task in file order, so the growing id gives the record's place.
     order = Window.orderBy(F.monotonically_increasing_id())
-    df = df.withColumns({"source_file": F.lit(path.name), "source_year": F.lit(year_of(path.name)), "source_row": F.row_number().over(order) + 1})
+    df = df.withColumns({"source_file": F.lit(name), "source_row": F.row_number().over(order) + 1})
     missing = [c for c in schema.columns if c not in names]
-    return df.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else df
+    df = df.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else df
+    if (year := year_of(name)) is None and "data_estimativa" in df.columns:
+        return with_modal_year(df)
+    return df.withColumn("source_year", F.lit(year).cast("int"))
 
 
 def read_unit_folder(spark: SparkSession, folder: str | Path, **options) -> DataFrame:
@@ -125,21 +145,18 @@ def read_projected_csv(
 ) -> DataFrame:
     """SRC-08, SRC-10: all-string CSV with headers in upper snake case, only ``wanted`` columns (null where
     absent), rows whose ``code`` digits begin with ``prefix``; ``key`` must then be unique."""
-    path = Path(path)
-    with path.open("rb") as f:
-        head = f.read(1 << 16)
-    encoding = detect_encoding(head)
-    text = head.decode(encoding, "replace")
+    encoding = detect_encoding(spark, path)
+    text = read_head(spark, path).decode(encoding, "replace")
     delimiter = detect_delimiter(text, ";", '"')
     names = [header_name(h, upper=True) for h in next(csv.reader([text.split("\n", 1)[0].rstrip("\r")], delimiter=delimiter))]
     df = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).options(header=True, sep=delimiter, enforceSchema=True)
     df = df.option("encoding", "utf-8" if encoding.startswith("utf-8") else "iso-8859-1").csv(str(path))
-    require_columns(df, required, path.name)
+    require_columns(df, required, Path(path).name)
     df = df.select(*[F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in wanted])
     if code and prefix:
         df = df.where(F.regexp_replace(code, r"\D", "").startswith(prefix))
     if key and duplicate_keys(df, [key]).limit(1).count():
-        raise ContractError(f"{path.name}: {key} repeats")
+        raise ContractError(f"{Path(path).name}: {key} repeats")
     return df
 
 

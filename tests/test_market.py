@@ -159,7 +159,7 @@ def test_geocode(spark):
     a = resolve.address_keys(spark.createDataFrame(asked, "cod_municipio string, s string, n string, c string"), "s", "n", "c")
     got = {(r.cod_municipio, r.street_key): (r.geocode_method, r.geocode_score) for r in resolve.geocode(a, index).collect()}
     assert got["m", "DAS FLORES"] == ("exact_street_number_cep", 100.0) and got["m", "DOS CRAVOS"] == ("exact_street_number", 96.0)
-    assert got["m", "DOS CRAVSO"][0] == "fuzzy_cep_number" and 90 < got["m", "DOS CRAVSO"][1] <= 94
+    assert got["m", "DOS CRAVSO"][0] == "fuzzy_street_exact_number_cep" and 90 < got["m", "DOS CRAVSO"][1] <= 94
     assert got["m", "OUTRA"] == ("unmatched", 0.0) and got["m", None] == ("unmatched", 0.0) and got["z", "DAS FLORES"] == ("unmatched", 0.0)
 
 
@@ -249,3 +249,26 @@ def test_stream_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(str, monthly.roll_up(spark.table("daily"), ["k"]).collect())) == sorted(map(str, monthly.roll_up(monthly.monthly_counts(table, "ts", "v", ["k"]), ["k"]).collect()))
+
+
+def test_percentiles_by_counts(spark):
+    """Against numpy: values of all signs and sizes, shares below one, infinities, ties, null keys, days put together."""
+    import numpy as np
+
+    from lavra.functions import stats
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(0, 1e6, 400), "b": rng.random(300) / 100, None: np.array([5.0, 5.0, 5.0]), "c": np.array([-0.0, 0.0, 1e-300, -1e300]), "d": np.array([float("inf"), 2.0, 3.0])}
+    rows = [(g, int(i % 3), float(v)) for g, vs in groups.items() for i, v in enumerate(vs)] + [("a", 0, None), ("e", 0, None), ("b", 1, float("nan"))]
+    df = spark.createDataFrame(rows, "g string, day int, v double")
+    counts = stats.group_value_counts(df, ["g", "day"], ["v"])
+    for table in (stats.group_value_counts(df, ["g"], ["v"]), stats.merge_counts(counts, keys=["g"])):
+        got = {(r.g, r.fraction): (r.percentile, r.n_values) for r in stats.percentiles_from_counts(table, ["g"], {"v": [0.0, 0.25, 0.5, 0.9, 1.0]}).collect()}
+        assert {g for g, _ in got} == set(groups)
+        for (g, q), (p, n) in got.items():
+            want = np.quantile(groups[g], q) if not np.isinf(groups[g]).any() else {0.0: 2.0, 0.25: 2.5, 0.5: 3.0}.get(q, float("inf"))
+            assert n == len(groups[g]) and (p == want or abs(p - want) <= 1e-9 * abs(want)), (g, q, p, want)
+    wide = stats.with_percentiles(df.groupBy("g").count(), df, ["g"], {"m": (F.col("v"), 0.5), "h": (F.col("v") * 2, 0.5)}).collect()
+    assert len(wide) == 6 and all(r.h == 2 * r.m for r in wide if r.m is not None) and [r.m for r in wide if r.g == "e"] == [None]
+    steps = spark.createDataFrame([(float(v),) for v in [*(-(10.0 ** np.arange(-9, 9))[::-1]), 0, *(10.0 ** np.arange(-9, 9))]], "v double").select(stats.order_bucket(F.col("v")).alias("b"))
+    assert (b := [r.b for r in steps.collect()]) == sorted(b) and len(set(b)) == len(b)

@@ -160,3 +160,13 @@ def test_duplicate_and_empty_headers(spark):
     row = layouts.ingest(lines, files).first()
     assert row.cep == "1" and row.n_unidade == "5"
     assert row._rescued == '{"cep_2":"2","_c2":"3","numero_unidade":"4"}'
+
+
+def test_a_name_beside_its_own_suffix(spark):
+    """``a;a;a_2``: no two columns of a file have one name, and no cell is lost."""
+    lines = spark.createDataFrame([(1, 1, "a;a;a_2;A_2"), (1, 2, "1;2;3;4")], "file_id long, line_no int, raw_text string")
+    files_ = spark.createDataFrame([(1, ";")], "file_id long, delimiter string")
+    row = layouts.ingest(lines, files_).first()
+    import json
+
+    assert sorted(json.loads(row["_rescued"]).values()) == ["1", "2", "3", "4"]

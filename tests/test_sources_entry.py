@@ -79,3 +79,33 @@ def test_entry():
     assert {f"p{n}_found" for n in (2, 3, 4, 6)} <= set(queries)
     if importlib.util.find_spec("lavra.llm") and importlib.util.find_spec("lavra.llm.queries"):
         assert {"p1_found", "p5_found", "p7_ids", "p8_mixture", "p9_found"} <= set(queries)
+
+
+def test_encoding_is_that_of_the_whole_file(spark, tmp_path):
+    """An accent after the first 64 KiB counts; a name without a year takes the year most rows have."""
+    head = "logradouro;bairro;data_estimativa\n" + "RUA A;B;01/02/2019\n" * 6000
+    (tmp_path / "units.csv").write_bytes((head + "RUA;São;05/03/2021\n").encode("latin-1"))
+    df = files.read_unit_csv(spark, tmp_path / "units.csv")
+    assert df.where("bairro = 'São'").count() == 1 and {r.source_year for r in df.select("source_year").distinct().collect()} == {2019}
+    (tmp_path / "marked.csv").write_bytes(("﻿" + head + "RUA;São;05/03/2021\n").encode("utf-8"))
+    assert files.detect_encoding(spark, tmp_path / "marked.csv") == "utf-8-sig"
+    assert files.detect_encoding(spark, tmp_path / "units.csv") == "cp1252"
+
+
+def test_intermediate_tables(spark, monkeypatch):
+    """They go on ``release``; without a shared folder a cluster is refused."""
+    from lavra import session
+
+    before = session.written()
+    path = session.materialize(spark.range(3)).inputFiles()[0].rsplit("/", 1)[0]
+    assert session.release(spark, before) == 1 and session.folders(spark, path, "_SUCCESS") == []
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Cluster:
+        conf = Conf()
+
+    with pytest.raises(ContractError):
+        session.shared_dir(Cluster())
