@@ -20,8 +20,13 @@ from lavra.functions.text import strip
 from lavra.session import materialize
 
 GOLDEN = (math.sqrt(5) - 1) / 2
-SHUFFLE_RANGES = 256
+#: Tokens of a block and of a slot, the same for every corpus: slots grow with the data.
+BLOCK_TOKENS = 1024
+#: Ranges into which a source's shuffled documents are cut, 2 to this power: so many tasks may work on one source.
+RANGE_BITS = 14
 SLOT_RANGE = 4096
+#: Targets are planned on the driver and sent to every task; more than these are no table of targets.
+MOST_TARGETS = 10_000
 
 
 def source_name(c: Column) -> Column:
@@ -29,8 +34,8 @@ def source_name(c: Column) -> Column:
     return F.nullif(F.lower(strip(c)), F.lit(""))
 
 
-def _plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None, block_tokens: int | None) -> dict:
-    """Weights, quotas and the block size. Collects one row per target, nothing that grows with the documents."""
+def _plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None, block: int) -> dict:
+    """Weights and quotas. Collects one row per target, nothing that grows with the documents."""
     held = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     rows = targets.join(held, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens")).collect()
     if len({r.source for r in rows}) != len(rows):
@@ -40,7 +45,6 @@ def _plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None, block_
     shares = {r.source: r.target_share / weight for r in usable}
     most = min((r.tokens * r.max_repeats / shares[r.source] for r in usable), default=0)
     total = most if total_tokens is None else min(most, total_tokens)
-    block = block_tokens or max(512, math.ceil(total / 100_000))
     return {
         "shares": shares,
         "slots": int(total // block),
@@ -67,7 +71,7 @@ def schedule(spark, shares: dict[str, float], n_slots: int) -> DataFrame:
 
 def mix(
     documents: DataFrame, targets: DataFrame, n_tokens: Column, id_col: str = "doc_id", source_col: str = "source",
-    total_tokens: int | None = None, block_tokens: int | None = None, seed: int = 42,
+    total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 42,
 ) -> DataFrame:
     """``doc_id, source, repeat_no, slot, n_tokens``: one row per use of a document, in slot order.
 
@@ -75,24 +79,28 @@ def mix(
     without documents, or with no share, gets nothing and the other shares are scaled to one; documents of
     other or null sources, and documents without tokens, are left out. ``repeat_no`` runs from 1 to at most
     ``max_repeats``. Empty tables give no rows. The same seed gives the same mixture.
+
+    Slots and blocks have ``block_tokens`` tokens, whatever the size of the corpus. A document lies in the block in which it
+    begins; one longer than a block leaves the slots of the blocks it fills empty, so that shares hold over the whole.
     """
     require_columns(documents, [id_col, source_col], "documents")
     require_columns(targets, ["source", "target_share", "max_repeats"], "targets")
-    if block_tokens is not None:
-        require_range("block_tokens", block_tokens, 1)
+    require_range("block_tokens", block_tokens, 1)
     targets = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
     names = source_name(F.col(source_col))
     sized = documents.select(F.col(id_col).alias("doc_id"), names.alias("source"), n_tokens.alias("n_tokens"))
-    # The targets are a handful of rows by contract (one per source), so they go to every task.
+    # One row per source by contract, and no more than MOST_TARGETS: checked, so they may go to every task.
+    if targets.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
+        raise ContractError(f"mix targets: more than {MOST_TARGETS} rows")
     sized = materialize(sized.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")).where("n_tokens > 0")
     plan = _plan(sized, targets, total_tokens, block_tokens)
     spark = documents.sparkSession
     if not plan["slots"]:
         return spark.createDataFrame([], "doc_id bigint, source string, repeat_no int, slot bigint, n_tokens bigint")
     shuffled = sized.withColumn("_at", F.xxhash64("doc_id", F.lit(seed)))
-    spread = F.shiftrightunsigned(F.col("_at"), 64 - int(math.log2(SHUFFLE_RANGES)))
+    spread = F.shiftrightunsigned(F.col("_at"), 64 - RANGE_BITS)
     # xxhash64 is signed; the unsigned shift numbers its ranges from the non-negative up, so order by the same.
-    ordered = shuffled.withColumns({"_range": spread, "_rest": F.col("_at").bitwiseAND(F.lit((1 << 55) - 1))})
+    ordered = shuffled.withColumns({"_range": spread, "_rest": F.col("_at").bitwiseAND(F.lit((1 << (64 - RANGE_BITS)) - 1))})
     summed = running_sums(ordered, ["source"], ["_rest", "doc_id"], ["n_tokens"], bucket=F.col("_range"))
     block = F.floor((F.col("cum_n_tokens") - F.col("n_tokens")) / plan["block"])
     blocks = summed.select("doc_id", "source", "n_tokens", block.alias("block"))

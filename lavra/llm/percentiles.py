@@ -1,9 +1,10 @@
 """Problem 5: percentiles of very large columns, from value counts that combine.
 
-Values are reduced to counts per group and value; the counts of days or partitions add up. The percentiles
-come from cumulative frequencies: the values of a group are cut into ordered ranges, running sums within a
+Values are reduced to counts per group and value; the counts of days or partitions add up (``merge_counts``). The
+percentiles come from cumulative frequencies: the values of a group are cut into ordered ranges, running sums within a
 range get the offset of the ranges before it, and the first value that reaches a target rank is picked. They
-are exact (linear between neighbours), so the error bound is zero.
+are exact (linear between neighbours), so the error bound is zero. The counting itself is ``lavra.functions.stats``, where
+the market operators use it too.
 """
 
 from __future__ import annotations
@@ -11,55 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lavra.contracts import require_columns, require_range
-from lavra.functions.stats import running_sums
+from lavra.functions.stats import group_value_counts, merge_counts, percentiles_from_counts
 
-
-def group_value_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``keys, column_name, value, n``: how often each value of each numeric column occurs per group. Nulls and
-    NaN are left out; a null key is a group of its own."""
-    require_columns(df, [*keys, *columns])
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns]
-    long = df.select(*keys, F.inline(F.array(*cells))).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return long.withColumn("value", F.col("value") + 0.0).groupBy(*keys, "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def merge_counts(*tables: DataFrame) -> DataFrame:
-    """The counts of all tables together: percentiles of the union of what they counted."""
-    merged = tables[0]
-    for t in tables[1:]:
-        merged = merged.unionByName(t)
-    keys = [c for c in merged.columns if c != "n"]
-    return merged.groupBy(*keys).agg(F.sum("n").alias("n"))
-
-
-def percentiles_from_counts(counts: DataFrame, keys: list[str], fractions: dict[str, list[float]]) -> DataFrame:
-    """``keys, column_name, fraction, percentile, n_values`` for the fractions wanted of each column.
-
-    Linear interpolation between the two neighbours of rank ``(n - 1) * fraction``. Groups without values have
-    no row. ``counts`` holds each value of a group once (``merge_counts`` sees to that).
-    """
-    for wanted in fractions.values():
-        for q in wanted:
-            require_range("fraction", q, 0, 1)
-    group = [*keys, "column_name"]
-    # Group keys may be null and must join: the null marker keeps them equal.
-    safe = [f"_k{i}" for i in range(len(keys))]
-    counts = counts.where(F.col("column_name").isin(*fractions)).select(
-        *[F.struct(F.col(k).isNull().alias("none"), F.coalesce(F.col(k).cast("string"), F.lit("")).alias("v")).alias(s) for k, s in zip(keys, safe)],
-        *group, "value", "n",
-    )
-    summed = running_sums(counts, [*safe, "column_name"], "value", ["n"], with_totals=True)
-    wanted = F.coalesce(*[F.when(F.col("column_name") == c, F.array(*[F.lit(float(q)) for q in qs])) for c, qs in fractions.items()])
-    ranked = summed.select(*group, "value", "cum_n", "all_n", F.explode(wanted).alias("fraction"))
-    rank = (F.col("all_n") - 1) * F.col("fraction")
-    # Only the values that hold one of the two ranks go on.
-    low, high = F.floor(rank) + 1, F.ceil(rank) + 1
-    first = lambda r: F.min(F.when(F.col("cum_n") >= r, F.col("value")))
-    picked = ranked.groupBy(*group, "fraction").agg(first(low).alias("lo"), first(high).alias("hi"), F.max("all_n").alias("n_values"))
-    part = (F.col("n_values") - 1) * F.col("fraction")
-    value = F.col("lo") + (F.col("hi") - F.col("lo")) * (part - F.floor(part))
-    return picked.select(*group, "fraction", value.alias("percentile"), "n_values")
+__all__ = ["group_value_counts", "latest_versions", "merge_counts", "off_by", "percentiles_from_counts"]
 
 
 def latest_versions(df: DataFrame, keys: list[str], version: str, columns: list[str]) -> DataFrame:

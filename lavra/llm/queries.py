@@ -69,10 +69,10 @@ def p5_found(spark, sf_dir):
 
 @LLM.query(P5_PERCENTILES)
 def p5_percentiles(spark, sf_dir):
-    """Quartiles of all three columns per municipality and month."""
+    """Quartiles of all three columns per municipality and month, the months put together from the counts of their days."""
     columns = [c for c, _ in PUBLISHED.values()]
-    counts = percentiles.group_value_counts(_month_values(spark, sf_dir), MONTH, columns)
-    found = percentiles.percentiles_from_counts(counts, MONTH, {c: [0.25, 0.5, 0.75] for c in columns})
+    days = percentiles.group_value_counts(_month_values(spark, sf_dir).withColumn("_day", F.dayofmonth("data_pagamento")), [*MONTH, "_day"], columns)
+    found = percentiles.percentiles_from_counts(percentiles.merge_counts(days, keys=MONTH), MONTH, {c: [0.25, 0.5, 0.75] for c in columns})
     return found.withColumn("percentile", F.round("percentile", 6))
 
 
@@ -91,6 +91,33 @@ def p8_shares(spark, sf_dir):
     return mixture.reached_shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+P8_INVARIANTS = """
+WITH sized AS (SELECT lower(trim(source)) AS source, count(*) AS n FROM documents WHERE length(text) > 0 AND trim(source) <> '' GROUP BY ALL)
+SELECT lower(trim(t.source)) AS source, coalesce(n, 0) > 0 AND target_share > 0 AND max_repeats > 0 AS is_used, true AS share_is_reached, true AS repeats_are_capped, true AS rounds_are_whole
+FROM mix_targets t LEFT JOIN sized s ON s.source = lower(trim(t.source))
+"""
+
+
+@LLM.query(P8_INVARIANTS)
+def p8_invariants(spark, sf_dir):
+    """What must hold of the mixture, by target: sources with documents are used, their shares (of the targets that have
+    documents) are reached to within a hundredth and two blocks, no document is used more than ``max_repeats`` times,
+    nor twice in one round."""
+    made = materialize(p8_mixture(spark, sf_dir))
+    targets = table(spark, sf_dir, "mix_targets").withColumn("source", mixture.source_name(F.col("source")))
+    rounds = made.groupBy("source", "doc_id", "repeat_no").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.max("n").alias("_twice"))
+    both = mixture.reached_shares(made, targets).drop("target_share").join(targets, "source").join(rounds, "source", "left")
+    whole = both.agg(F.sum(F.when(F.col("n_tokens") > 0, F.col("target_share"))).alias("_weight"), F.sum("n_tokens").alias("_tokens"))
+    both = both.crossJoin(F.broadcast(whole))  # one row beside one row per target
+    used = F.col("n_tokens") > 0
+    off = F.abs(F.col("actual_share") - F.col("target_share") / F.col("_weight"))
+    near = off <= 0.01 + F.lit(2.0 * mixture.BLOCK_TOKENS) / F.col("_tokens")
+    return both.select(
+        "source", used.alias("is_used"), F.when(used, F.coalesce(near, F.lit(False))).otherwise(F.lit(True)).alias("share_is_reached"),
+        (F.col("most_repeats") <= F.greatest("max_repeats", F.lit(0))).alias("repeats_are_capped"), (F.coalesce("_twice", F.lit(1)) == 1).alias("rounds_are_whole"),
+    )
+
+
 @LLM.query()
 def p1_found(spark, sf_dir):
     pairs = addresses.same_location_pairs(materialize(addresses.location_keys(table(spark, sf_dir, "address_records"))))
