@@ -4,7 +4,9 @@ Content-defined chunking: a gear hash rolls over the code points (a window of 32
 where the hash is the least of some window of ``CUT_WINDOW`` positions. Cuts depend on nearby text alone, so
 an insertion moves them along and chunks (from cut to cut, of variable length) come out equal again. Chunks
 are deduplicated by digest; only stretches all of whose chunks occur in another text are then checked exactly,
-by 128-bit hashes of every span of the wanted length.
+by 128-bit hashes of every span of the wanted length: one half is a polynomial, the other a tree of mixed halves, so
+that what makes one of them fail says nothing about the other. Texts are read and hashed once, then once more
+where they hold candidates; equal texts are told by 128 bits, too.
 
 No span is lost: with hash windows of 32 and cut windows of 42 positions, two copies of a span of 200 have the same cuts
 from its 73rd to its 158th position, and there are at least two of them, hence a whole common chunk.
@@ -60,6 +62,35 @@ class SpanHasher:
         return _mix((sums[stop] - sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64), 1).view(np.int64)
 
 
+class TreeHasher:
+    """Hashes of every stretch of ``span`` code points: stretches of 1, 2, 4, ... are mixed from two halves each, and the
+    span from those that make it up. Nothing in it is linear, unlike the running sums."""
+
+    def __init__(self, span: int, seed: int) -> None:
+        self.span, self.seed = span, seed
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a * np.uint64(0x9FB21C651E98DF25) + b
+        x ^= x >> np.uint64(35)
+        x *= np.uint64(0xC2B2AE3D27D4EB4F)
+        x ^= x >> np.uint64(28)
+        return x
+
+    def all(self, codes: np.ndarray) -> np.ndarray:
+        """The hash of the span at each position that has a whole one, in order."""
+        level, width, made, done = _mix(codes, self.seed), 1, None, 0
+        count = len(codes) - self.span + 1
+        if count <= 0:
+            return np.zeros(0, np.int64)
+        while True:
+            if self.span & width:
+                part = level[done : done + count]
+                made, done = part if made is None else self._join(made, part), done + width
+            if width * 2 > self.span:
+                return made.view(np.int64)
+            level, width = self._join(level[:-width], level[width:]), width * 2
+
+
 def cuts(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
     """Sorted cut positions in texts that lie one after another in ``codes``."""
     h = _mix(codes, 7).astype(np.uint32)
@@ -122,9 +153,9 @@ def _lists(values: np.ndarray, text: np.ndarray, n: int, kind: pa.DataType) -> p
 
 
 def chunk_digests(texts: DataFrame, span: int) -> DataFrame:
-    """``owner, digests``: per text the digests of its chunks in order. A digest covers the chunk and all code
-    points on which its two cuts depend, 134 or so, so that stock phrases do not make chunks equal. Input
-    ``owner, text``; texts shorter than the span give no row."""
+    """``digests`` beside all columns but the last, which is the text: the digests of its chunks in order. A digest covers
+    the chunk and all code points on which its two cuts depend, 134 or so, so that stock phrases do not make chunks
+    equal. Texts shorter than the span give no row."""
     window = cut_window(span)
     before, after = _reach(window)
     ship_package()
@@ -132,33 +163,34 @@ def chunk_digests(texts: DataFrame, span: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher(11)
         for batch in batches:
-            owners = batch.column(0)
-            for held, codes, borders in _groups(batch.column(1).to_pylist(), span):
+            names, columns = batch.schema.names[:-1], batch.columns[:-1]
+            for held, codes, borders in _groups(batch.column(len(names)).to_pylist(), span):
                 p, q, text = _chunks(codes, borders, window)
                 digests = hasher.of(hasher.sums(codes), p - before, q + after + 1)
-                yield pa.RecordBatch.from_arrays([owners.take(pa.array(held)), _lists(digests, text, len(held), pa.int64())], ["owner", "digests"])
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(held)) for c in columns], _lists(digests, text, len(held), pa.int64())], [*names, "digests"])
 
-    return texts.mapInArrow(run, "owner bigint, digests array<bigint>")
+    return texts.mapInArrow(run, ", ".join([*[f"{c} {k}" for c, k in texts.dtypes[:-1]], "digests array<bigint>"]))
 
 
 def candidate_spans(texts: DataFrame, span: int) -> DataFrame:
-    """``owner, t, h1, h2`` (arrays): starts and hashes of the spans whose inner chunks are all shared.
-
-    Input ``owner, text, shared`` with the sorted indices of the shared chunks.
+    """``t, h1, h2`` (arrays) beside all columns but the last two: starts and hashes of the spans whose inner chunks are all
+    shared. The last two columns are the text and the sorted indices of its shared chunks.
     """
     window = cut_window(span)
     ship_package()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = SpanHasher(11), SpanHasher(29)
+        first, second = SpanHasher(11), TreeHasher(span, 29)
         for batch in batches:
-            owners, shared = batch.column(0), batch.column(2).to_pylist()
-            for held, codes, borders in _groups(batch.column(1).to_pylist(), span):
+            names, columns, shared = batch.schema.names[:-2], batch.columns[:-2], batch.columns[-1].to_pylist()
+            for held, codes, borders in _groups(batch.columns[-2].to_pylist(), span):
                 p, q, text = _chunks(codes, borders, window)
                 begin = np.searchsorted(text, np.arange(len(held)), "left")
                 known = np.zeros(len(p), bool)
+                ends = np.append(begin[1:], len(p))
                 for k, i in enumerate(held):
-                    known[begin[k] + np.asarray(shared[i], np.int64)] = True
+                    at = begin[k] + np.asarray(shared[i], np.int64)
+                    known[at[at < ends[k]]] = True
                 # A chunk that is not shared rules out the spans in whose inner part it lies.
                 low = np.maximum(q - (span - window), borders[text])[~known]
                 high = np.minimum(p - _reach(window)[0], borders[text + 1] - span)[~known]
@@ -171,17 +203,17 @@ def candidate_spans(texts: DataFrame, span: int) -> DataFrame:
                     open_[max(0, end - span + 1) : end] = False
                 t = np.flatnonzero(open_)
                 of = np.searchsorted(borders, t, "right") - 1
-                hashes = [h.of(h.sums(codes), t, t + span) for h in (first, second)]
+                hashes = [first.of(first.sums(codes), t, t + span), second.all(codes)[t]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        owners.take(pa.array(held)),
+                        *[c.take(pa.array(held)) for c in columns],
                         _lists((t - borders[of]).astype(np.int32), of, len(held), pa.int32()),
                         *[_lists(h, of, len(held), pa.int64()) for h in hashes],
                     ],
-                    ["owner", "t", "h1", "h2"],
+                    [*names, "t", "h1", "h2"],
                 )
 
-    return texts.mapInArrow(run, "owner bigint, t array<int>, h1 array<bigint>, h2 array<bigint>")
+    return texts.mapInArrow(run, ", ".join([*[f"{c} {k}" for c, k in texts.dtypes[:-2]], "t array<int>, h1 array<bigint>, h2 array<bigint>"]))
 
 
 def _of_several(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -200,22 +232,31 @@ def shared_spans(documents: DataFrame, span: int = 200, id_col: str = "doc_id",
     require_columns(documents, [id_col, text_col], "documents")
     require_range("span", span, 100)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where((F.length("text") >= span) & F.col("doc_id").isNotNull())
-    docs = docs.withColumn("owner", F.xxhash64("text", F.length("text")))
-    texts = docs.select("owner", "text")
-    chunks = chunk_digests(texts, span).select("owner", F.posexplode("digests").alias("i", "digest"))
+    # The one pass over all texts. o1 and o2 name a text; from here on only texts with candidates are read.
+    named = docs.select("doc_id", F.xxhash64("text").alias("o1"), F.xxhash64(F.lit(29), "text").alias("o2"), F.length("text").alias("n"), "text")
+    hashed = materialize(chunk_digests(named, span))
+    known = hashed.groupBy("o1", "o2", "doc_id").agg(F.max("n").alias("n"))
+    classes = known.groupBy("o1", "o2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("_copies"))
+    # Equal texts are worked on once, as the one of least document id. A chunk is its place in the text beside half of the
+    # text's name, for a document id may stand for several texts.
+    firsts = hashed.join(classes, ["o1", "o2"]).where("doc_id = first_id")
+    half = F.shiftleft(F.col("o1"), 32)
+    chunks = firsts.select(F.col("first_id").alias("owner"), half.alias("_half"), F.posexplode("digests").alias("i", "digest"))
+    chunks = chunks.select("owner", (F.col("_half") + F.col("i")).alias("at"), "digest")
     twice = _of_several(chunks.select("owner", "digest"), ["digest"])
-    shared = chunks.join(twice, "digest", "left_semi").groupBy("owner").agg(F.array_sort(F.collect_set("i")).alias("shared"))
-    # From here on a text goes by the least id of its documents, which is shorter in a shuffle than its hash.
-    named = docs.groupBy("owner").agg(F.min("doc_id").alias("first_id"))
-    shared = materialize(shared.join(named, "owner"))
-    spans = candidate_spans(texts.join(shared, "owner").select(F.col("first_id").alias("owner"), "text", "shared"), span)
-    rows = spans.select("owner", F.inline(F.arrays_zip("t", "h1", "h2")))
+    shared = chunks.join(twice, "digest", "left_semi").groupBy("owner", F.shiftright("at", 32).cast("int").alias("half"))
+    shared = materialize(shared.agg(F.array_sort(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("shared")))
+    texts = docs.select(F.col("doc_id").alias("owner"), F.shiftright(F.shiftleft(F.xxhash64("text"), 32), 32).cast("int").alias("half"), "text")
+    spans = candidate_spans(texts.join(shared, ["owner", "half"]).select("owner", "half", "text", "shared"), span)
+    # A place again: the half of the text's name and the position, so that the texts of one document stay apart.
+    rows = spans.select("owner", "half", F.inline(F.arrays_zip("t", "h1", "h2")))
+    rows = rows.select("owner", (F.shiftleft(F.col("half").cast("bigint"), 32) + F.col("t")).alias("at"), "h1", "h2")
     again = _of_several(rows.select("owner", "h1", "h2"), ["h1", "h2"])
-    held = rows.join(again, ["h1", "h2"], "left_semi").select("owner", "t").distinct()
-    gap = F.lead("t").over(Window.partitionBy("owner").orderBy("t")) - F.col("t")
-    covered = held.select("owner", F.least(F.coalesce(gap, F.lit(span)), F.lit(span)).alias("c")).groupBy("owner").agg(F.sum("c").alias("_covered"))
-    known = docs.groupBy("owner", "doc_id").agg(F.max(F.length("text")).alias("n"))
-    copies = known.groupBy("owner").agg(F.count(F.lit(1)).alias("_copies"), F.min("doc_id").alias("first_id"))
-    totals = known.join(copies, "owner").join(covered.withColumnRenamed("owner", "first_id"), "first_id", "left")
+    held = rows.join(again, ["h1", "h2"], "left_semi").select("owner", "at").distinct()
+    gap = F.lead("at").over(Window.partitionBy("owner").orderBy("at")) - F.col("at")
+    covered = held.select("owner", "at", F.least(F.coalesce(gap, F.lit(span)), F.lit(span)).alias("c"))
+    covered = covered.groupBy(F.col("owner").alias("first_id"), F.shiftright("at", 32).cast("int").alias("half")).agg(F.sum("c").alias("_covered"))
+    named = known.join(classes, ["o1", "o2"]).withColumn("half", F.shiftright(F.shiftleft("o1", 32), 32).cast("int"))
+    totals = named.join(covered, ["first_id", "half"], "left")
     amount: Column = F.when(F.col("_copies") > 1, F.col("n")).otherwise(F.col("_covered")).cast("bigint")
     return totals.groupBy("doc_id").agg(F.max(amount).alias("shared_chars")).where("shared_chars is not null")

@@ -76,4 +76,27 @@ def test_hashes_do_not_depend_on_the_place(spark):
     sums = h.sums(codes)
     a = h.of(sums, np.array([0, 4, 0]), np.array([3, 7, 4]))
     assert a[0] == a[1] != a[2]
+    tree = spans.TreeHasher(3, 29).all(codes)
+    assert tree[0] == tree[4] and len(set(tree.tolist())) == 4 and len(spans.TreeHasher(9, 29).all(codes)) == 0
+
+
+def test_second_hash_is_not_linear():
+    """A Thue-Morse text and its complement, which running sums modulo 2^64 cannot tell apart, have other hashes."""
+    import numpy as np
+
+    bits = np.array([bin(i).count("1") % 2 for i in range(4096)], np.uint32)
+    a, b = (spans.SpanHasher(11).of(spans.SpanHasher(11).sums(t), np.array([0]), np.array([4096])) for t in (bits + 97, 98 - bits))
+    assert a[0] == b[0]
+    for span in (200, 1024, 4096):
+        assert not np.intersect1d(spans.TreeHasher(span, 29).all(bits[:span] + 97), spans.TreeHasher(span, 29).all(98 - bits[:span])).size
+
+
+def test_one_id_with_several_texts(spark):
+    """Texts of one id share nothing with each other, and each is measured by itself."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    x, y = word(300), word(250)
+    docs = [(1, word(40) + x), (1, x + word(10) + y), (2, word(20) + y), (3, word(400))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.shared_chars for r in spans.shared_spans(df).collect()} == brute(docs, 200) == {1: 250, 2: 250}
     assert spark.range(1).select(F.lit(1)).count() == 1
