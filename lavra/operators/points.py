@@ -111,7 +111,11 @@ def _height(edge: Column, x: Column) -> Column:
 def slab_index(edges: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
     """The decomposition of all regions, tile by tile.
 
-    ``bounds``: ``group, tx, ty, xs`` with the sorted slab borders of a tile; ``slabs``: ``group, tx, ty, slab,
+    A region lies in tiles of its own size: level 0 has sides of ``tile`` degrees, each further level twice as long ones, and
+    a region goes to the first level on which it is at most two sides wide and high. So it touches nine tiles at most
+    and its edges are copied nine times at most, be it a block or a whole state.
+
+    ``bounds``: ``group, level, tx, ty, xs`` with the sorted slab borders of a tile; ``slabs``: ``group, level, tx, ty, slab,
     spans`` with, for slab ``slab`` (from ``xs[slab-1]`` on), the stretches that lie inside a region, ordered
     from below: ``struct<lo, hi, region>`` of the bounding edges.
     """
@@ -119,11 +123,14 @@ def slab_index(edges: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
     # each region's box touches; a region's edges go to the tiles of their columns.
     edges = materialize(edges)
     boxes = edges.groupBy("group", "region").agg(F.min("x1").alias("x0"), F.max("x2").alias("x9"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y9"))
-    index = lambda v: F.floor(F.col(v) / tile)
-    rows = boxes.select("group", "region", F.explode(F.sequence(index("y0"), index("y9"))).alias("ty"))
-    placed = edges.withColumn("tx", F.explode(F.sequence(index("x1"), index("x2")))).join(rows, ["group", "region"])
-    key = ["group", "tx", "ty"]
-    left, right = F.col("tx") * F.lit(tile), (F.col("tx") + 1) * F.lit(tile)
+    side = F.greatest(F.col("x9") - F.col("x0"), F.col("y9") - F.col("y0"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(tile)) / (2 * tile)))).cast("int")
+    boxes = boxes.withColumn("level", level).withColumn("size", F.pow(F.lit(2.0), F.col("level")) * tile)
+    index = lambda v: F.floor(F.col(v) / F.col("size"))
+    rows = boxes.select("group", "region", "level", "size", F.explode(F.sequence(index("y0"), index("y9"))).alias("ty"))
+    placed = edges.join(rows, ["group", "region"]).withColumn("tx", F.explode(F.sequence(index("x1"), index("x2"))))
+    key = ["group", "level", "tx", "ty"]
+    left, right = F.col("tx") * F.col("size"), (F.col("tx") + 1) * F.col("size")
     xs = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array(F.greatest("x1", left), F.least("x2", right))))))
     bounds = materialize(placed.groupBy(*key).agg(xs.alias("xs")))
     cut = placed.join(bounds, key)
@@ -141,7 +148,8 @@ def slab_index(edges: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
     )
     spans = stacked.where("size(es) > 1").select(*key, "slab", F.explode(stretch).alias("s"))
     # Stretches that do not reach into the tile's row are of no use there.
-    low, high = F.col("ty") * F.lit(tile), (F.col("ty") + 1) * F.lit(tile)
+    size = F.pow(F.lit(2.0), F.col("level")) * tile
+    low, high = F.col("ty") * size, (F.col("ty") + 1) * size
     reach = (F.least("s.lo.y1", "s.lo.y2") <= high) & (F.greatest("s.hi.y1", "s.hi.y2") >= low)
     return bounds, materialize(spans.where(reach).groupBy(*key, "slab").agg(F.array_sort(F.collect_list("s")).alias("spans")))
 
@@ -164,24 +172,29 @@ def locate(points: DataFrame, edges: DataFrame, lat: str = "lat", lon: str = "lo
     """``points`` with ``region``: the region that contains the point; points in none are left out.
 
     ``edges`` as ``wkt_edges`` gives them; regions do not overlap (where they do, one of them is found). A
-    point on a lower border belongs to the region (unless ``lower_border`` is off), on an upper border to the next. ``tile`` is the side of the
-    tiles in degrees: about the size of a region, so that a tile holds a few regions. Rows with null
-    coordinates or group are left out. A crowded tile is a skewed join key, which adaptive execution splits.
+    point on a lower border belongs to the region (unless ``lower_border`` is off), on an upper border to the next. ``tile`` is
+    the side of the smallest tiles in degrees: about the size of a small region. Larger regions lie in larger tiles, and a
+    point is looked up on each level that some region has (there are as many as sizes of regions have doublings). Rows
+    with null coordinates or group are left out. A crowded tile is a skewed join key, which adaptive execution splits.
     """
     bounds, slabs = slab_index(edges, tile)
-    placed = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns(
-        {"_g": F.col(group) if group else F.lit(0), "_tx": F.floor(F.col(lon) / tile), "_ty": F.floor(F.col(lat) / tile)}
+    # One row: the few levels in use, so it goes to every task.
+    levels = bounds.agg(F.collect_set("level").alias("_levels"))
+    placed = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).crossJoin(F.broadcast(levels))
+    size = F.pow(F.lit(2.0), F.col("_level")) * tile
+    placed = placed.select("*", F.explode("_levels").alias("_level")).drop("_levels").withColumns(
+        {"_g": F.col(group) if group else F.lit(0), "_tx": F.floor(F.col(lon) / size), "_ty": F.floor(F.col(lat) / size)}
     )
-    key = lambda t: (F.col("_g") == t["group"]) & (F.col("_tx") == t["tx"]) & (F.col("_ty") == t["ty"])
-    found = placed.join(bounds, key(bounds)).drop("group", "tx", "ty")
+    key = lambda t: (F.col("_g") == t["group"]) & (F.col("_level") == t["level"]) & (F.col("_tx") == t["tx"]) & (F.col("_ty") == t["ty"])
+    found = placed.join(bounds, key(bounds)).drop("group", "level", "tx", "ty")
     found = found.withColumn("_slab", _last_at_most(F.size("xs"), lambda i: F.element_at("xs", i) <= F.col(lon))).drop("xs")
-    found = found.join(slabs, key(slabs) & (F.col("_slab") == slabs["slab"])).drop("group", "tx", "ty", "slab")
+    found = found.join(slabs, key(slabs) & (F.col("_slab") == slabs["slab"])).drop("group", "level", "tx", "ty", "slab")
     at = _last_at_most(F.size("spans"), lambda i: _height(F.element_at("spans", i)["lo"], F.col(lon)) <= F.col(lat))
     found = found.withColumn("_span", F.try_element_at("spans", F.nullif(at, F.lit(0)))).drop("spans")
     inside = found.where(F.col("_span").isNotNull() & (F.col(lat) < _height(F.col("_span.hi"), F.col(lon))))
     if not lower_border:
         inside = inside.where(_height(F.col("_span.lo"), F.col(lon)) < F.col(lat))
-    return inside.withColumn("region", F.col("_span.region")).drop("_span", "_slab", "_g", "_tx", "_ty")
+    return inside.withColumn("region", F.col("_span.region")).drop("_span", "_slab", "_g", "_level", "_tx", "_ty")
 
 
 def attach_region(

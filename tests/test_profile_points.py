@@ -175,3 +175,16 @@ def test_coordinate(spark):
     rows = ["-19,5", " -19.5 ", "0", "0,0", "nan", "NULL", "", None, "12abc", "1e999", "91"]
     got = [r.v for r in spark.createDataFrame([(x,) for x in rows], "t string").select(points.coordinate(F.col("t")).alias("v")).collect()]
     assert got == [-19.5, -19.5, None, None, None, None, None, None, None, None, 91.0]
+
+
+def test_large_regions_lie_in_large_tiles(spark):
+    """A region of two degrees beside small ones: found right, and its edges are copied a few times, not once per small tile."""
+    around = lambda x, y, w, n: [(x + w * math.cos(2 * math.pi * i / n), y + w * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    rings = {"big": around(10.0, 10.0, 1.0, 48), "small": around(12.5, 10.0, 0.003, 12), "mid": around(12.5, 12.0, 0.05, 20)}
+    wkt = [(name, "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in [*r, r[0]]) + "))") for name, r in rings.items()]
+    edges = points.wkt_edges(spark.createDataFrame(wkt, "region string, wkt string"), "region", "wkt")
+    asked = [(1, 10.0, 10.0), (2, 10.5, 9.5), (3, 11.2, 10.0), (4, 12.5, 10.001), (5, 12.5, 10.01), (6, 12.53, 12.0), (7, 10.99, 10.0)]
+    got = {r.id: r.region for r in points.locate(spark.createDataFrame(asked, "id int, lon double, lat double"), edges).collect()}
+    assert got == {1: "big", 2: "big", 4: "small", 6: "mid", 7: "big"}
+    bounds, slabs = points.slab_index(edges, 0.004)
+    assert bounds.count() <= 27 and bounds.select("level").distinct().count() == 3
