@@ -10,6 +10,10 @@ from lavra.functions.dates import period_of
 from lavra.functions.stats import with_percentiles
 
 
+#: More rows than this are no monthly index.
+MOST_MONTHS = 12_000
+
+
 def chained_index(monthly: DataFrame, period: str = "period", pct: str = "pct") -> DataFrame:
     """``period, pct, level``: the running product of ``1 + pct/100`` in period order. One row per month, so one
     task is enough."""
@@ -41,7 +45,9 @@ def deflate(df: DataFrame, index: DataFrame, date: str, amounts: list[str], refe
     ref = resolve_reference(index, reference)
     ends = index.agg(F.min("period").alias("_first"), F.max("period").alias("_last"))
     months = index.select(F.col("period").alias("_p"), F.col("level").alias("_level"))
-    # An index has one row per month: bounded by the calendar, so it and the one-row tables go to every task.
+    # An index has one row per month: checked, so it and the one-row tables may go to every task.
+    if index.limit(MOST_MONTHS + 1).count() > MOST_MONTHS:
+        raise ContractError(f"price index: more than {MOST_MONTHS} rows")
     joined = df.withColumn("period", period_of(F.col(date))).join(F.broadcast(months), F.col("period") == F.col("_p"), "left")
     joined = joined.crossJoin(F.broadcast(ref)).crossJoin(F.broadcast(ends))
     joined = joined.withColumn("deflation_factor", F.col("ref_level") / F.col("_level"))
@@ -64,3 +70,16 @@ def deflation_summary(df: DataFrame, year: str, amount: str) -> DataFrame:
     )
     medians = {"median_nominal": amount, "median_real": f"{amount}_real", "median_factor": "deflation_factor"}
     return with_percentiles(rows, df, [year], {name: (F.col(c), 0.5) for name, c in medians.items()})
+
+
+def stage_summary(df: DataFrame, year: str = "source_year", date: str = "data_correcao", base: str = "base_de_calculo", value_m2: str = "valor_m2_base", sample: str = "flag_amostra_mercado") -> DataFrame:
+    """AGG-18: eleven measures per year of transactions that ``pick_date`` and ``deflate`` have been over, and the share of
+    rows whose month the index has."""
+    given = {
+        "market_sample_transactions": F.count_if(sample), "correction_date_available": F.count_if(~F.col(f"flag_{date}_ausente")), "correction_date_fallback": F.count_if(f"flag_{date}_fallback"),
+        "ipca_matched": F.count_if("flag_ipca_disponivel"), "base_real_calculated": F.count(f"{base}_real"), "value_m2_real_calculated": F.count(f"{value_m2}_real"),
+    }
+    rows = df.groupBy(year).agg(F.count(F.lit(1)).alias("transactions"), *[v.alias(n) for n, v in given.items()])
+    rows = rows.withColumn("pct_ipca_matched", F.round(F.col("ipca_matched") * 100.0 / F.col("transactions"), 3))
+    medians = {"median_base_nominal": base, "median_base_real": f"{base}_real", "median_value_m2_nominal": value_m2, "median_value_m2_real": f"{value_m2}_real"}
+    return with_percentiles(rows, df, [year], {n: (F.col(c), 0.5) for n, c in medians.items()})

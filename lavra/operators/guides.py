@@ -1,5 +1,5 @@
 """Multi-row filings: rows of a file grouped behind their marker row, and one transaction per group
-(WIN-01 .. WIN-04, AGG-01 .. AGG-05, PRJ-01, PRJ-03, PRJ-04, JN-05)."""
+(WIN-01, WIN-02, WIN-04, AGG-02 .. AGG-04, PRJ-03, JN-05); ``units`` applies them to whole tables."""
 
 from __future__ import annotations
 
@@ -44,9 +44,10 @@ def first_known(value: str, order: str) -> Column:
     return F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
 
 
-def build_transactions(units: DataFrame, keys: list[str], order: str, texts: list[str] = [], firsts: list[str] = []) -> DataFrame:
+def build_transactions(units: DataFrame, keys: list[str], order: str, texts: list[str] = [], firsts: list[str] = [], more: dict[str, Column] = {}) -> DataFrame:
     """AGG-01, AGG-02: one row per group with first known values, joined distinct texts, area sums and the area
-    decision: all private areas if each unit has one, else the total or land area of a single unit."""
+    decision: all private areas if each unit has one, else the total or land area of a single unit. ``more`` adds
+    aggregates by name."""
     pos = lambda c: F.when((F.col(c) > 0) & ~F.isnan(c), F.col(c))
     private, total, land = "area_constr_privativa", "area_constr_total", "area_total_terreno"
     rows = units.groupBy(*keys).agg(
@@ -59,6 +60,7 @@ def build_transactions(units: DataFrame, keys: list[str], order: str, texts: lis
         F.count(pos(private)).alias("area_constr_privativa_n_validas"),
         F.max(pos(total)).alias("area_constr_total_max_m2"),
         F.max(pos(land)).alias("area_total_terreno_max_m2"),
+        *[v.alias(name) for name, v in more.items()],
     )
     one = F.col("n_units") == 1
     cases = [

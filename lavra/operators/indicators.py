@@ -162,3 +162,54 @@ def common_scale(rows: DataFrame, metric: str, low: float = 0.02, high: float =
     s = with_percentiles(rows.agg(F.min(v).alias("lo"), F.max(v).alias("hi")), rows, [], {"ql": (v, low), "qh": (v, high)})
     apart = F.col("ql") < F.col("qh")
     return s.select(F.when(apart, F.col("ql")).otherwise(F.col("lo")).alias("scale_min"), F.when(apart, F.col("qh")).otherwise(F.col("hi")).alias("scale_max"))
+
+
+def common_volume_scale(rows: DataFrame, count: str = "n_transacoes", high: float = 0.98) -> DataFrame:
+    """AGG-24: ``scale_min, scale_max`` of counts across all years: from 0 to the upper percentile, 1 at least."""
+    s = with_percentiles(rows.agg(F.count(F.lit(1)).alias("_n")), rows, [], {"_q": (F.col(count).cast("double"), high)})
+    return s.select(F.lit(0.0).alias("scale_min"), F.greatest(F.lit(1.0), F.coalesce("_q", F.lit(1.0))).alias("scale_max"))
+
+
+def masked(rows: DataFrame, metric: str, least: int, count: str = "n_transacoes") -> DataFrame:
+    """PRJ-21: the metric null where the count is below ``least``; a null count keeps it."""
+    return rows.withColumn(metric, F.when(~F.coalesce(F.col(count) < least, F.lit(False)), F.col(metric)))
+
+
+def latest_complete_year(coverage: DataFrame, area: list[str] = []) -> DataFrame:
+    """STA-09: ``area, ano_analise, flag_ano_incompleto``: the last year that is complete, else the last one."""
+    best = F.max(F.struct(~F.coalesce("flag_ano_incompleto", F.lit(False)), F.col("ano_analise")))
+    found = coverage.where("ano_analise is not null").groupBy(*area).agg(best.alias("_b")) if area else coverage.where("ano_analise is not null").agg(best.alias("_b"))
+    return found.where("_b is not null").select(*area, F.col("_b.ano_analise").alias("ano_analise"), (~F.col("_b.col1")).alias("flag_ano_incompleto"))
+
+
+def on_mesh(mesh: DataFrame, payload: DataFrame, keys: list[str], years: DataFrame) -> DataFrame:
+    """JN-11, RPT-02: every region of the mesh in every year, with the payload's row where there is one. ``years`` is one
+    column ``ano_analise``: a calendar's few rows."""
+    every = mesh.crossJoin(F.broadcast(years.agg(F.sort_array(F.collect_set("ano_analise")).alias("_years")))).withColumn("ano_analise", F.explode("_years")).drop("_years")
+    return every.join(payload, [*keys, "ano_analise"], "left")
+
+
+def in_order(rows: DataFrame, by: list[str], descending: list[str] = []) -> DataFrame:
+    """SRT-01: the order of published tables: ``by`` rising, nulls last, then ``descending`` falling."""
+    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in by], *[F.col(c).desc_nulls_last() for c in descending])
+
+
+LABELS = {True: "sim", False: "nao"}
+QUADRANTS = {1: "HH", 2: "LH", 3: "LL", 4: "HL"}
+
+
+def labelled(value: Column, labels: dict, missing: str | None = None) -> Column:
+    """COND-02: the label of a value; ``missing`` for null and for values without label."""
+    return F.coalesce(*[F.when(value == k, F.lit(v)) for k, v in labels.items()], F.lit(missing))
+
+
+def chart_tables(yearly: DataFrame, monthly: DataFrame, ytd: DataFrame, territories: DataFrame, area: list[str] = [], k: int = 15, least: int = 50, name: str = "sector_final_code") -> dict[str, DataFrame]:
+    """RPT-01: the small tables behind the charts, in the order in which they are drawn: transactions and price by year,
+    by month, up to the comparable month, and the top territories."""
+    by = [*area, "ano_analise"]
+    return {
+        "transactions_by_year": in_order(yearly.select(*by, "n_transacoes", "flag_ano_incompleto"), by), "value_m2_by_year": in_order(yearly.select(*by, "valor_m2_mediano_real", "flag_ano_incompleto"), by),
+        "monthly": in_order(monthly.select(*by, "mes_analise", "periodo", "n_transacoes", "valor_m2_mediano_real"), [*by, "mes_analise"]),
+        "ytd": in_order(ytd.select(*by, "periodo_comparavel", "n_transacoes", "variacao_transacoes_ytd_pct"), by),
+        "top": in_order(top_territories(territories, "valor_m2_mediano_real", k, least, by, name).select(*by, name, "posicao", "n_transacoes", "valor_m2_mediano_real"), [*by, "posicao"]),
+    }

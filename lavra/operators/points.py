@@ -78,7 +78,7 @@ def near_pairs(points: DataFrame, distance_m: float, id_col: str = "id", lat: st
     return pairs.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
 
 
-def _ring_edges(regions: DataFrame, region: str, wkt: str, group: str | None) -> DataFrame:
+def ring_edges(regions: DataFrame, region: str, wkt: str, group: str | None = None) -> DataFrame:
     """``group, region, ax, ay, bx, by``: all edges in ring order."""
     rings = regions.select(
         (F.col(group) if group else F.lit(0)).alias("group"), F.col(region).alias("region"), F.explode(F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))).alias("ring")
@@ -96,7 +96,7 @@ def wkt_edges(regions: DataFrame, region: str, wkt: str, group: str | None = Non
 
     Vertical edges bound no slab and are left out. Rings may be closed or not. Texts without rings give none.
     """
-    edges = _ring_edges(regions, region, wkt, group).where("ax <> bx")
+    edges = ring_edges(regions, region, wkt, group).where("ax <> bx")
     right = F.col("ax") < F.col("bx")
     pick = lambda a, b: F.when(right, F.col(a)).otherwise(F.col(b))
     return edges.select(
@@ -208,7 +208,7 @@ def attach_region(
     spot = F.col(group) if group else F.lit(0)
     spots = points.select(spot.alias("_sg"), F.col(lat).alias("_slat"), F.col(lon).alias("_slon")).where("_sg is not null and _slat is not null and _slon is not null").distinct()
     held = locate(spots, wkt_edges(regions, region, wkt, regions_group), "_slat", "_slon", "_sg", tile, lower_border=False)
-    ring = _ring_edges(regions, region, wkt, regions_group)
+    ring = ring_edges(regions, region, wkt, regions_group)
     upright = ring.where("ax = bx").select("group", "ax", F.least("ay", "by").alias("low"), F.greatest("ay", "by").alias("high"))
     border = upright.unionByName(ring.select("group", "ax", F.col("ay").alias("low"), F.col("ay").alias("high"))).distinct()
     on_border = (F.col("_sg") == border["group"]) & (F.col("_slon") == border["ax"]) & F.col("_slat").between(border["low"], border["high"])

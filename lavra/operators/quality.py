@@ -3,7 +3,7 @@ profiles (PRJ-13, PRJ-14, STA-01 .. STA-03, AGG-06, AGG-07, AGG-19)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.contracts import require_columns, require_range
@@ -106,6 +106,26 @@ def flag_summary(df: DataFrame, keys: list[str], flags: dict[str, str], percents
     return counts.withColumns({f"pct_{n}": F.round(F.try_divide(F.col(n) * 100.0, F.col("transactions").cast("double")), 3) for n in percents})
 
 
+#: Counts of the yearly quality summary by the flag they count, and those of which shares are given.
+QC_COUNTS = {
+    "market_origin": "flag_amostra_mercado_origem", "census_matched": "flag_census_matched", "geocode_usable": "flag_geocode_utilizavel", "invalid_base_real": "flag_base_real_invalida",
+    "invalid_area": "flag_area_invalida", "invalid_value_m2_real": "flag_valor_m2_real_invalido", "exact_duplicates": "flag_duplicado_qc", "multiunit": "flag_multiunit_qc",
+    "outlier_base_real": "flag_outlier_base_real", "outlier_value_m2_real": "flag_outlier_valor_m2_real", "outlier_area": "flag_outlier_area", "outlier_any": "flag_outlier_estatistico",
+    "use_market": "flag_use_market_analysis", "use_spatial": "flag_use_spatial_analysis", "use_socioeconomic": "flag_use_socioeconomic_analysis", "use_model_preliminary": "flag_use_model_preliminar",
+}
+QC_SHARES = ["market_origin", "census_matched", "geocode_usable", "outlier_any", "use_market", "use_spatial", "use_socioeconomic", "use_model_preliminary"]
+
+
+def qc_year_summary(df: DataFrame, year: str = "source_year") -> DataFrame:
+    """AGG-19 in full: seventeen counts and eight shares per year."""
+    return flag_summary(df, [year], QC_COUNTS, QC_SHARES)
+
+
+def qc_metadata(df: DataFrame) -> DataFrame:
+    """AGG-23: one row of the same counts over the whole table, a flag that it lacks counted as never true."""
+    return df.agg(F.count(F.lit(1)).alias("transactions"), *[F.count_if(flag_or(df, c)).alias(n) for n, c in QC_COUNTS.items()])
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """AGG-06: one row per column: rows, nulls, distinct values; true and false of booleans; range, quartiles and
     mean of numbers. NaN counts as null.
@@ -144,6 +164,12 @@ def column_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """WIN-09: the first row per keys in the given order; null keys are a group."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+
+
 def enrich(df: DataFrame, reference: DataFrame, key: str, reference_key: str, flag: str) -> DataFrame:
     """JN-08: left join to a table of unique keys, null keys equal; ``flag`` tells whether the key was there.
     Columns of the reference that the table already has get the suffix ``_ref``."""

@@ -29,6 +29,17 @@ def queen_edges(points: DataFrame) -> DataFrame:
     return edges.withColumn("w", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("group", "src")))
 
 
+def outline(ring_edges: DataFrame) -> DataFrame:
+    """AGG-25: the border of the union of regions that share whole edges, as ``group, ax, ay, bx, by``: the edges that only
+    one ring has. ``ring_edges`` holds ``group, ax, ay, bx, by``; coordinates are compared to seven places."""
+    at = {c: F.round(c, 7).alias(c) for c in ("ax", "ay", "bx", "by")}
+    e = ring_edges.select("group", *at.values()).where("ax <> bx or ay <> by")
+    turned = (F.col("ax") > F.col("bx")) | ((F.col("ax") == F.col("bx")) & (F.col("ay") > F.col("by")))
+    swap = {"ax": "bx", "ay": "by", "bx": "ax", "by": "ay"}
+    e = e.select("group", *[F.when(turned, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in swap.items()])
+    return e.groupBy("group", "ax", "ay", "bx", "by").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+
+
 def moran_local(values: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """STA-07, exact part (``moran_clusters`` adds significance): ``by, group, region, z, lag_z, local_i, quadrant`` over ``values`` (``by, group,
     region, value``), regions without neighbours left out. Quadrants: 1 high among high, 2 low among high,

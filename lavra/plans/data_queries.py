@@ -96,7 +96,7 @@ def p4_found(spark, sf_dir):
     return near.unionByName(wrong.select(F.lit("sector").alias("kind"), F.col("cod_unico_endereco").alias("id_a"), F.col("region").cast("long").alias("id_b")).distinct())
 
 
-@DATA.query()
+@DATA.query(data_sql.P4_SECTORS)
 def p4_sectors(spark, sf_dir):
     """Every address with the sector that contains it."""
     held = points.locate(_register_points(spark, sf_dir), _sectors(spark, sf_dir), group="cod_municipio")

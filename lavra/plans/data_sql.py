@@ -48,7 +48,7 @@ HELD = f"""{REGISTER}, rings AS (SELECT cd_setor, cd_mun, unnest(regexp_extract_
 pts AS (SELECT cd_setor, cd_mun, k, unnest(string_split(ring, ', ')) AS p, generate_subscripts(string_split(ring, ', '), 1) AS i FROM rings),
 xy AS (SELECT cd_setor, cd_mun, k, i, CAST(split_part(p, ' ', 1) AS DOUBLE) AS x, CAST(split_part(p, ' ', 2) AS DOUBLE) AS y FROM pts),
 edges AS (SELECT * FROM (SELECT cd_setor, cd_mun, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM xy WINDOW w AS (PARTITION BY cd_setor, k ORDER BY i)) WHERE x2 <> x1),
-held AS (SELECT r.id, r.cod_setor, e.cd_setor FROM reg r JOIN edges e ON r.m = e.cd_mun AND (e.x1 <= r.lon) <> (e.x2 <= r.lon) AND r.lat < y1 + (y2 - y1) * (r.lon - x1) / (x2 - x1)
+held AS (SELECT r.id, r.cod_setor, r.lat, r.lon, e.cd_setor FROM reg r JOIN edges e ON r.m = e.cd_mun AND (e.x1 <= r.lon) <> (e.x2 <= r.lon) AND r.lat < y1 + (y2 - y1) * (r.lon - x1) / (x2 - x1)
   GROUP BY r.id, r.cod_setor, r.lat, r.lon, e.cd_setor HAVING count(*) % 2 = 1)"""
 
 P4_FOUND = f"""WITH {HELD}, near AS (SELECT DISTINCT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM reg a JOIN reg b ON a.m = b.m AND a.id < b.id AND b.lat BETWEEN a.lat - 0.0002 AND a.lat + 0.0002
@@ -56,6 +56,8 @@ P4_FOUND = f"""WITH {HELD}, near AS (SELECT DISTINCT least(a.id, b.id) AS id_a,
 SELECT 'near' AS kind, id_a, id_b FROM near
 UNION ALL SELECT DISTINCT 'sector', id, CAST(cd_setor AS BIGINT) FROM held WHERE coalesce(left(regexp_replace(cod_setor, '[^0-9]', '', 'g'), 15), '') <> cd_setor"""
 
+P4_SECTORS = f"WITH {HELD} SELECT DISTINCT id AS cod_unico_endereco, lat, lon, cd_setor FROM held"
+
 #: Names of the test files' headers and what they stand for.
 RENAMED = {
     "percentual_transmitido": "perc_transmitido", "pct_transmitido": "perc_transmitido", "perc_transm": "perc_transmitido", "numero_endereco": "n_endereco", "num_endereco": "n_endereco",

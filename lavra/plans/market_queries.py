@@ -193,6 +193,74 @@ def qc_summary_year(spark, sf_dir):
     return quality.flag_summary(_nested(spark, sf_dir), ["source_year"], flags, list(flags))
 
 
+QC_FULL = f"""WITH {IQR_SQL}, wide AS (SELECT cod_municipio, source_year, flag_multiunit_qc, max(CASE WHEN applied AND metric = 'base_real' THEN exp(q1 - 3 * (q3 - q1)) END) AS bl,
+    max(CASE WHEN applied AND metric = 'base_real' THEN exp(q3 + 3 * (q3 - q1)) END) AS bh, max(CASE WHEN applied AND metric = 'valor_m2_real' THEN exp(q1 - 3 * (q3 - q1)) END) AS vl,
+    max(CASE WHEN applied AND metric = 'valor_m2_real' THEN exp(q3 + 3 * (q3 - q1)) END) AS vh, max(CASE WHEN applied AND metric = 'area' THEN exp(q1 - 3 * (q3 - q1)) END) AS al,
+    max(CASE WHEN applied AND metric = 'area' THEN exp(q3 + 3 * (q3 - q1)) END) AS ah FROM fences GROUP BY ALL),
+f AS (SELECT l.*, coalesce(base_de_calculo_real > 0 AND (base_de_calculo_real < bl OR base_de_calculo_real > bh), false) AS ob, coalesce(valor_m2_base_real > 0 AND (valor_m2_base_real < vl OR valor_m2_base_real > vh), false) AS ov,
+    coalesce(area_referencia_m2 > 0 AND (area_referencia_m2 < al OR area_referencia_m2 > ah), false) AS oa, NOT coalesce(base_de_calculo_real > 0, false) AS ib, NOT coalesce(area_referencia_m2 > 0, false) AS ia, NOT coalesce(valor_m2_base_real > 0, false) AS iv,
+    coalesce(flag_use_market_analysis, false) AS o, coalesce(flag_use_spatial_analysis, false) AS g, sector_final_code IS NOT NULL AS c, coalesce(l.flag_multiunit_qc, false) AS mu,
+    count(*) OVER (PARTITION BY l.cod_municipio, data_pagamento, base_de_calculo_real, area_referencia_m2, sector_final_code) > 1 AS d
+  FROM latest l LEFT JOIN wide w ON l.cod_municipio IS NOT DISTINCT FROM w.cod_municipio AND l.source_year IS NOT DISTINCT FROM w.source_year AND l.flag_multiunit_qc IS NOT DISTINCT FROM w.flag_multiunit_qc),
+u AS (SELECT *, o AND NOT (ib OR ia OR d OR ob OR ov OR oa) AS um FROM f), q AS (SELECT *, um AND g AND c AS us FROM u)"""
+_QC = {
+    "market_origin": "o", "census_matched": "c", "geocode_usable": "g", "invalid_base_real": "ib", "invalid_area": "ia", "invalid_value_m2_real": "iv", "exact_duplicates": "d", "multiunit": "mu", "outlier_base_real": "ob",
+    "outlier_value_m2_real": "ov", "outlier_area": "oa", "outlier_any": "ob OR ov OR oa", "use_market": "um", "use_spatial": "us", "use_socioeconomic": "us", "use_model_preliminary": "us AND NOT mu",
+}
+_QC_COUNTS = "count(*) AS transactions, " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _QC.items())
+
+
+def _audited(spark, sf_dir):
+    """Transactions with every flag of the quality stage."""
+    rows = latest(spark, sf_dir)
+    rows = quality.log_iqr_flags(rows, quality.log_iqr_thresholds(rows, IQR, IQR_GROUPS), IQR, IQR_GROUPS)
+    positive = {"flag_base_real_invalida": "base_de_calculo_real", "flag_area_invalida": "area_referencia_m2", "flag_valor_m2_real_invalido": "valor_m2_base_real"}
+    rows = quality.structural_flags(rows, positive, flags={"flag_amostra_mercado_origem": "flag_use_market_analysis", "flag_geocode_utilizavel": "flag_use_spatial_analysis"})
+    rows = guides.content_duplicates(rows, ["cod_municipio", "data_pagamento", "base_de_calculo_real", "area_referencia_m2", "sector_final_code"]).withColumnRenamed("flag_duplicado_exato", "flag_duplicado_qc")
+    rows = rows.withColumns({"flag_setor_espacial_ausente": F.col("sector_final_code").isNull(), "flag_census_matched": F.col("sector_final_code").isNotNull()})
+    return quality.nested_samples(rows.drop("flag_use_market_analysis", "flag_use_spatial_analysis"), ["flag_base_real_invalida", "flag_area_invalida"])
+
+
+@MARKET.query(f"{QC_FULL} SELECT source_year, {_QC_COUNTS}, " + ", ".join(f"round(100.0 * count(*) FILTER ({_QC[n]}) / count(*), 3) AS pct_{n}" for n in quality.QC_SHARES) + " FROM q GROUP BY ALL")
+def qc_year_summary(spark, sf_dir):
+    """The yearly summary of the quality stage in full."""
+    return quality.qc_year_summary(_audited(spark, sf_dir))
+
+
+@MARKET.query(f"{QC_FULL} SELECT {_QC_COUNTS} FROM q")
+def qc_metadata(spark, sf_dir):
+    return quality.qc_metadata(_audited(spark, sf_dir))
+
+
+@MARKET.query(SECTOR_YEAR + " SELECT 0.0::DOUBLE AS scale_min, greatest(1.0, quantile_cont(CAST(n_transacoes AS DOUBLE), 0.98)) AS scale_max FROM sector_year")
+def volume_scale(spark, sf_dir):
+    return indicators.common_volume_scale(sector_year_indicators(spark, sf_dir))
+
+
+@MARKET.query(SECTOR_YEAR + """, y AS (SELECT DISTINCT ano_analise FROM sector_year)
+SELECT m.cd_mun AS cod_municipio, m.cd_setor AS setor, y.ano_analise, s.n_transacoes, CASE WHEN NOT coalesce(n_transacoes < 5, false) THEN valor_m2_mediano_real END AS valor_m2_mediano_real
+FROM census_sectors m CROSS JOIN y LEFT JOIN sector_year s ON s.cod_municipio || s.sector_final_code = m.cd_setor AND s.cod_municipio = m.cd_mun AND s.ano_analise = y.ano_analise""")
+def sector_map(spark, sf_dir):
+    """Every sector in every year with its count and its price, the price masked below five transactions."""
+    rows = sector_year_indicators(spark, sf_dir)
+    payload = rows.select("cod_municipio", F.concat("cod_municipio", "sector_final_code").alias("setor"), "ano_analise", "n_transacoes", "valor_m2_mediano_real")
+    mesh = table(spark, sf_dir, "census_sectors").select(F.col("cd_mun").alias("cod_municipio"), F.col("cd_setor").alias("setor"))
+    return indicators.masked(indicators.on_mesh(mesh, payload, ["cod_municipio", "setor"], rows.select("ano_analise")), "valor_m2_mediano_real", 5)
+
+
+@MARKET.query(f"WITH {LATEST}, {COVERAGE} SELECT cod_municipio, CAST(coalesce(max(CASE WHEN NOT flag_ano_incompleto THEN ano_analise END), max(ano_analise)) AS INTEGER) AS ano_analise, count(*) FILTER (NOT flag_ano_incompleto) = 0 AS flag_ano_incompleto FROM coverage GROUP BY ALL")
+def latest_complete_year(spark, sf_dir):
+    return indicators.latest_complete_year(indicators.year_coverage(market(spark, sf_dir), AS_OF_YEAR, AREA), AREA)
+
+
+@MARKET.query(f"WITH {LATEST}, {COVERAGE}, y AS (SELECT cod_municipio, ano_analise, count(*) AS n_transacoes FROM latest WHERE flag_use_market_analysis GROUP BY ALL) SELECT cod_municipio, ano_analise, n_transacoes, flag_ano_incompleto FROM y LEFT JOIN coverage USING (cod_municipio, ano_analise)")
+def chart_transactions(spark, sf_dir):
+    """The table behind the chart of transactions by year; the other charts' tables come from the same call."""
+    m = market(spark, sf_dir)
+    yearly, ytd = indicators.city_year(m, AS_OF_YEAR, AREA), indicators.ytd_comparable(m, AS_OF_YEAR, AREA)
+    return indicators.chart_tables(yearly, indicators.city_month(m, AREA), ytd, sector_year_indicators(spark, sf_dir), AREA)["transactions_by_year"]
+
+
 def _profile_sql(name: str, columns: dict[str, str]) -> str:
     parts = []
     for c, kind in columns.items():
@@ -212,11 +280,11 @@ def column_profile(spark, sf_dir):
 
 
 CPI_SQL = """cpi AS (SELECT period, pct, exp(sum(ln(1 + pct / 100)) OVER (ORDER BY period)) AS level FROM (
-  SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS period, ((year(o_orderdate) * 12 + month(o_orderdate)) % 7 - 2) / 10.0 AS pct FROM orders WHERE month(o_orderdate) <> 5))"""
+  SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS period, ((year(o_orderdate) * 12 + month(o_orderdate)) % 7 - 2) / 10.0 AS pct FROM orders))"""
 
 
 def _cpi(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(F.month("o_orderdate") != 5)
+    o = table(spark, sf_dir, "orders")
     pct = ((F.year("o_orderdate") * 12 + F.month("o_orderdate")) % 7 - 2) / F.lit(10.0)
     return deflate.chained_index(o.select(F.date_format("o_orderdate", "yyyy-MM").alias("period"), pct.alias("pct")).distinct())
 
@@ -435,12 +503,12 @@ def geocode_summary(spark, sf_dir):
     return rounded(resolve.method_summary(placed))
 
 
-@MARKET.query("""WITH s AS (SELECT s_suppkey, nullif(s_nationkey % 5, 0) AS k FROM supplier), n AS (SELECT n_nationkey, n_name, nullif(n_nationkey, 0) AS k FROM nation WHERE n_nationkey < 5)
+@MARKET.query("""WITH s AS (SELECT s_suppkey, nullif(s_nationkey, 0) AS k FROM supplier), n AS (SELECT n_name, nullif(n_nationkey, 0) AS k FROM nation)
 SELECT s.s_suppkey, CAST(s.k AS VARCHAR) AS k, n.n_name FROM s LEFT JOIN n ON s.k IS NOT DISTINCT FROM n.k""")
 def null_safe_join(spark, sf_dir):
-    """Null keys meet null keys."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.nullif(F.col("s_nationkey") % 5, F.lit(0)).alias("k"))
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 5").select("n_name", F.nullif("n_nationkey", F.lit(0)).alias("k"))
+    """Null keys meet null keys: nation 0 counts as unknown on both sides."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.nullif("s_nationkey", F.lit(0)).alias("k"))
+    n = table(spark, sf_dir, "nation").select("n_name", F.nullif("n_nationkey", F.lit(0)).alias("k"))
     return quality.null_safe_join(s, n, ["k"]).select("s_suppkey", F.col("k").cast("string").alias("k"), "n_name")
 
 
@@ -485,6 +553,19 @@ def _sector_counts(spark, sf_dir):
     return dense.withColumn("value", F.log1p("c"))
 
 
+RING_EDGES = """r AS (SELECT cd_mun AS grp, unnest(regexp_extract_all(geometry_wkt, '\\(([^()]+)\\)', 1)) AS ring, generate_subscripts(regexp_extract_all(geometry_wkt, '\\(([^()]+)\\)', 1), 1) AS k, cd_setor FROM census_sectors),
+p AS (SELECT grp, cd_setor, k, unnest(string_split(ring, ', ')) AS t, generate_subscripts(string_split(ring, ', '), 1) AS i FROM r),
+v AS (SELECT grp, cd_setor, k, i, round(CAST(split_part(t, ' ', 1) AS DOUBLE), 7) AS x, round(CAST(split_part(t, ' ', 2) AS DOUBLE), 7) AS y FROM p),
+e AS (SELECT grp, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS "by" FROM v WINDOW w AS (PARTITION BY grp, cd_setor, k ORDER BY i)),
+o AS (SELECT grp, CASE WHEN ax > bx OR (ax = bx AND ay > "by") THEN [bx, "by", ax, ay] ELSE [ax, ay, bx, "by"] END AS q FROM e WHERE bx IS NOT NULL AND (ax <> bx OR ay <> "by"))"""
+
+
+@MARKET.query(f'WITH {RING_EDGES} SELECT grp AS "group", q[1] AS ax, q[2] AS ay, q[3] AS bx, q[4] AS "by" FROM o GROUP BY ALL HAVING count(*) = 1')
+def mesh_outline(spark, sf_dir):
+    """The border of all sectors of a municipality together."""
+    return spatialstats.outline(points.ring_edges(table(spark, sf_dir, "census_sectors"), "cd_setor", "geometry_wkt", "cd_mun"))
+
+
 @MARKET.query(f"WITH {RINGS} SELECT grp AS \"group\", src, dst, round(1.0 / count(*) OVER (PARTITION BY grp, src), 6) AS w FROM e")
 def queen_edges(spark, sf_dir):
     return rounded(_mesh(spark, sf_dir))
