@@ -27,7 +27,7 @@ def p3_found(spark, sf_dir):
     return layouts.layout_changes(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "raw_files"), ingested=materialize(_ingested(spark, sf_dir)))
 
 
-@DATA.query()
+@DATA.query(data_sql.P3_INGESTED)
 def p3_ingested(spark, sf_dir):
     return _ingested(spark, sf_dir).drop("_kinds")
 
@@ -37,7 +37,7 @@ def p6_found(spark, sf_dir):
     return bad_rows.parse_failures(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "raw_files"))
 
 
-@DATA.query()
+@DATA.query(data_sql.P6_VALID)
 def p6_valid(spark, sf_dir):
     """The valid records, loaded with the target schema."""
     lines, files = table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "raw_files")

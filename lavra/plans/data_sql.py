@@ -103,3 +103,58 @@ sides AS (SELECT coalesce(l.file_id, o.file_id) AS file_id, coalesce(l.column_na
   FROM later l FULL JOIN old o ON l.file_id = o.file_id AND l.column_name = o.column_name)
 SELECT file_id, column_name, 'added' AS change_kind FROM sides WHERE n0 IS NULL UNION ALL SELECT file_id, column_name, 'removed' FROM sides WHERE n1 IS NULL
 UNION ALL SELECT file_id, column_name, 'renamed' FROM sides WHERE n1 <> n0 UNION ALL SELECT file_id, column_name, 'type_changed' FROM sides WHERE k1 <> k0"""
+
+
+
+#: Target columns by type, in their order.
+_TEXTS = ("finalidade_construcao", "logradouro", "n_endereco", "n_unidade", "complemento_endereco", "bairro", "cep", "n_matricula_reg_imoveis", "n_zona_reg_imoveis", "situacao")
+_DATES = ("data_estimativa", "data_pagamento")
+_DOUBLES = ("base_de_calculo", "perc_transmitido", "area_total_terreno", "area_constr_total", "area_constr_privativa")
+_INTS = ("ano_construcao",)
+
+
+def _strict(v: str) -> str:
+    t = f"regexp_replace({v}, '^R\\$ ?', '')"
+    plain = (
+        f"CASE WHEN regexp_matches({t}, '^[0-9]{{1,3}}(\\.[0-9]{{3}})+,|^[0-9]{{1,3}}(\\.[0-9]{{3}}){{2,}}$') THEN replace(replace({t}, '.', ''), ',', '.') "
+        f"WHEN regexp_matches({t}, '^[0-9]{{1,3}}(,[0-9]{{3}})+\\.|^[0-9]{{1,3}}(,[0-9]{{3}}){{2,}}$') THEN replace({t}, ',', '') ELSE replace({t}, ',', '.') END"
+    )
+    return f"CASE WHEN {_number(v)} THEN try_cast({plain} AS DOUBLE) END"
+
+
+def _lenient(v: str) -> str:
+    t = f"regexp_replace({v}, '[^0-9,.+-]', '', 'g')"
+    both = f"contains({t}, ',') AND contains({t}, '.')"
+    plain = f"CASE WHEN {both} AND instr(reverse({t}), ',') < instr(reverse({t}), '.') THEN replace(replace({t}, '.', ''), ',', '.') WHEN {both} THEN replace({t}, ',', '') ELSE replace({t}, ',', '.') END"
+    return f"CASE WHEN regexp_full_match({plain}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast({plain} AS DOUBLE) END"
+
+
+def _day(v: str) -> str:
+    iso = f"regexp_replace(regexp_replace({v}, '^([0-9]{{1,2}})[-/]([0-9]{{1,2}})[-/]([0-9]{{4}})($|[ T])', '\\3-\\2-\\1\\4'), '^([0-9]{{4}})[-/]([0-9]{{1,2}})[-/]([0-9]{{1,2}})($|[ T])', '\\1-\\2-\\3\\4')"
+    return f"CASE WHEN regexp_matches({iso}, '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}($|[ T])') THEN try_cast({iso} AS TIMESTAMP) END"
+
+
+def _ingested(replayed: bool) -> str:
+    """CTEs up to ``typed``: the records with typed columns and what could not be typed, as ``_rescued``."""
+    number = (lambda v: f"coalesce({_strict(v)}, {_lenient(v)})") if replayed else _strict
+    date = _day if replayed else (lambda v: f"CASE WHEN {_date(v)} THEN {_day(v)} END")
+
+    def whole(v: str) -> str:
+        strict = f"CASE WHEN {_strict(v)} = floor({_strict(v)}) THEN CAST({_strict(v)} AS INTEGER) END"
+        return f"coalesce({strict}, try_cast(trunc({_lenient(v)}) AS INTEGER))" if replayed else strict
+
+    made = {c: f"r_{c}" for c in _TEXTS} | {c: date(f"r_{c}") for c in _DATES} | {c: number(f"r_{c}") for c in _DOUBLES} | {c: whole(f"r_{c}") for c in _INTS}
+    more = {"inscricao_cadastral": "r_inscricao_cadastral", "fracao_ideal": number("r_fracao_ideal")} if replayed else {}
+    names = [*made, *more]
+    sound = "fine AND len(fields) = len(cols)"
+    raw = ", ".join(f"CASE WHEN {sound} AND {_given(f'trim(fields[list_position(cols, {chr(39)}{c}{chr(39)})])')} THEN trim(fields[list_position(cols, '{c}')]) END AS r_{c}" for c in names)
+    typed = ", ".join(f"{v} AS {c}" for c, v in (made | more).items())
+    failed = ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in names if c not in _TEXTS)
+    known = ", ".join(f"'{c}'" for c in names)
+    return f"""{RECORDS}, raw AS (SELECT file_id, line_no, t, cols, fields, {sound} AS sound, {raw} FROM split), cast_ AS (SELECT *, {typed} FROM raw),
+typed AS (SELECT file_id, line_no, {", ".join(names)}, CASE WHEN NOT sound THEN '{{"_record":' || to_json(t) || '}}' ELSE nullif('{{' || array_to_string(list_transform(list_filter(list_zip(cols, list_transform(fields, lambda f: trim(f))),
+  lambda p: lower(p[2]) NOT IN {NULL_TOKENS} AND (NOT list_contains([{known}], p[1]) OR coalesce(list_contains([{failed}], p[1]), false))), lambda p: to_json(p[1]) || ':' || to_json(p[2])), ',') || '}}', '{{}}') END AS _rescued FROM cast_)"""
+
+
+P3_INGESTED = f"WITH {_ingested(True)} SELECT * FROM typed"
+P6_VALID = f"WITH {_ingested(False)}, bad AS ({P6_FOUND}) SELECT typed.* FROM typed ANTI JOIN bad USING (file_id, line_no)"
