@@ -63,7 +63,7 @@ def p2_found(spark, sf_dir):
     return found
 
 
-@DATA.query()
+@DATA.query(data_sql.P2_PROFILE)
 def p2_profile(spark, sf_dir):
     """The profile of every column of both tables in each load, and its change from the load before."""
     log = table(spark, sf_dir, "load_log")
@@ -71,7 +71,8 @@ def p2_profile(spark, sf_dir):
         profile.profile_with_changes(_counts(spark, sf_dir, name), log.where(F.col("table_name") == name), rules)
         for name, rules in (("itbi_units", profile.UNIT_RULES), ("market_indicators_city_year", profile.YEAR_RULES))
     ]
-    return parts[0].unionByName(parts[1])
+    places = {"entropy_bits": 6, "null_rate": 9, "null_rate_change": 9, "shift": 9}
+    return parts[0].unionByName(parts[1]).withColumns({c: F.round(c, k) for c, k in places.items()})
 
 
 def _register_points(spark, sf_dir):

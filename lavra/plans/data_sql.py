@@ -40,6 +40,41 @@ UNION ALL SELECT load_id, column_name, 'distribution' FROM moved WHERE CASE WHEN
 """
 
 
+_UNIT_COLUMNS = {c: c in ("unit_row_id", "source_row", "source_year", "guide_group_id", "base_de_calculo", "perc_transmitido", "area_total_terreno", "area_constr_total", "area_constr_privativa", "ano_construcao") for c in (
+    "unit_row_id", "source_row", "source_year", "guide_group_id", "cod_municipio", "data_estimativa", "data_pagamento", "base_de_calculo", "perc_transmitido", "finalidade_construcao", "logradouro", "n_endereco", "n_unidade",
+    "complemento_endereco", "bairro", "cep", "area_total_terreno", "area_constr_total", "area_constr_privativa", "ano_construcao", "n_matricula_reg_imoveis", "n_zona_reg_imoveis", "situacao", "carga_em")}
+_YEAR_COLUMNS = {c: c not in ("cod_municipio", "flag_ano_incompleto") for c in (
+    "cod_municipio", "ano_analise", "n_transacoes", "n_unidades", "base_mediana_real", "base_p25_real", "base_p75_real", "valor_m2_mediano_real", "area_mediana_m2", "meses_observados", "flag_ano_incompleto")}
+
+
+def _profile(table: str, columns: dict[str, bool], name: str, pattern: str, in_range: str) -> str:
+    """CTEs ``<name>``: the profile of each load and column of one table with its changes against the baseline load."""
+    given = "tv IS NOT NULL OR nv IS NOT NULL"
+    cells = _cells(table, columns).replace("lower(trim(data_estimativa))", "lower(trim(CAST(data_estimativa AS VARCHAR)))")
+    for c in ("data_estimativa", "data_pagamento", "carga_em", "flag_ano_incompleto"):
+        cells = cells.replace(f"lower(trim({c}))", f"lower(trim(CAST({c} AS VARCHAR)))").replace(f"ELSE {c} END", f"ELSE CAST({c} AS VARCHAR) END")
+    return f"""{name}_n AS (SELECT load_id, column_name, tv, nv, count(*) AS n FROM ({cells}) GROUP BY ALL),
+{name}_p AS (SELECT load_id, column_name, CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (tv IS NULL AND nv IS NULL), 0) AS BIGINT) AS n_null, count(*) FILTER ({given}) AS n_distinct, min(nv) AS num_min, max(nv) AS num_max,
+    min(tv) AS text_min, max(tv) AS text_max, log2(sum(n) FILTER ({given})) - sum(n * log2(n)) FILTER ({given}) / sum(n) FILTER ({given}) AS entropy_bits,
+    CAST(coalesce(sum(n) FILTER ({pattern}), 0) AS BIGINT) AS n_pattern, CAST(coalesce(sum(n) FILTER ({in_range}), 0) AS BIGINT) AS n_range FROM {name}_n GROUP BY ALL),
+{name}_w AS (SELECT load_id, column_name, tv, nv, sum(a) AS a, sum(b) AS b FROM (
+    SELECT c.load_id, column_name, tv, nv, n AS a, 0 AS b FROM {name}_n c JOIN load_log l USING (load_id) WHERE table_name = '{table}' AND baseline_load_id IS NOT NULL
+    UNION ALL SELECT l.load_id, column_name, tv, nv, 0, n FROM {name}_n c JOIN load_log l ON l.baseline_load_id = c.load_id AND table_name = '{table}') WHERE {given} GROUP BY ALL),
+{name}_c AS (SELECT *, sum(a) OVER w AS na, sum(b) OVER w AS nb, sum(a) OVER o AS ca, sum(b) OVER o AS cb FROM {name}_w
+  WINDOW w AS (PARTITION BY load_id, column_name), o AS (PARTITION BY load_id, column_name ORDER BY nv, tv ROWS UNBOUNDED PRECEDING)),
+{name}_s AS (SELECT load_id, column_name, CASE WHEN any_value(tv) IS NOT NULL THEN sum(abs(a / na - b / nb)) / 2 ELSE max(abs(ca / na - cb / nb)) END AS shift FROM {name}_c WHERE na > 0 AND nb > 0 GROUP BY ALL),
+{name} AS (SELECT p.*, p.n_null / p.n_rows AS null_rate, l.baseline_load_id, p.n_null / p.n_rows - b.n_null / b.n_rows AS null_rate_change, p.n_distinct - b.n_distinct AS n_distinct_change, shift
+  FROM {name}_p p LEFT JOIN (SELECT * FROM load_log WHERE table_name = '{table}') l USING (load_id) LEFT JOIN {name}_p b ON b.load_id = l.baseline_load_id AND b.column_name = p.column_name
+  LEFT JOIN {name}_s s ON s.load_id = p.load_id AND s.column_name = p.column_name)"""
+
+
+_OFF = """column_name IN ('bairro', 'situacao', 'cep') AND NOT regexp_full_match(tv, CASE column_name WHEN 'bairro' THEN '[A-ZÀ-Ý0-9'' .-]{3,40}' WHEN 'situacao' THEN 'PAGO|CANCELADO|EM ABERTO|PARCELADO|ISENTO' ELSE '[0-9]{8}' END)"""
+_ROUNDED = "* REPLACE (round(entropy_bits, 6) AS entropy_bits, round(null_rate, 9) AS null_rate, round(null_rate_change, 9) AS null_rate_change, round(shift, 9) AS shift)"
+P2_PROFILE = f"""WITH {_profile("itbi_units", _UNIT_COLUMNS, "u", _OFF, "column_name = 'area_constr_privativa' AND (nv < 0 OR nv > 20000)")},
+{_profile("market_indicators_city_year", _YEAR_COLUMNS, "y", "false", "column_name = 'n_transacoes' AND nv < 1")}
+SELECT {_ROUNDED} FROM u UNION ALL SELECT {_ROUNDED} FROM y"""
+
+
 REGISTER = """reg AS (SELECT DISTINCT cod_unico_endereco AS id, cod_municipio AS m, cod_setor, la AS lat, lo AS lon FROM (
   SELECT *, try_cast(replace(trim(latitude), ',', '.') AS DOUBLE) AS la, try_cast(replace(trim(longitude), ',', '.') AS DOUBLE) AS lo FROM address_register)
   WHERE la <> 0 AND lo <> 0 AND isfinite(la) AND isfinite(lo))"""
