@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lavra.session import ship_package
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence: one bit per character of ``a``, one addition per character of ``b``."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for c in b:
+        if met := row & where.get(c, 0):
+            row = (row + met | row - met) & every
+    return len(a) - row.bit_count()
+
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table per character of ``a``."""
-    letters = F.filter(F.split(a, ""), lambda c: c != "")
-
-    def next_row(row: Column, letter: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length(b)),
-            F.array(F.lit(0)),
-            lambda made, j: F.concat(
-                made,
-                F.array(
-                    F.when(F.substr(b, j, F.lit(1)) == letter, F.element_at(row, j) + 1).otherwise(
-                        F.greatest(F.element_at(row, j + 1), F.element_at(made, j))
-                    )
-                ),
-            ),
-        )
-
-    table = F.aggregate(letters, F.array_repeat(F.lit(0), F.length(b) + 1), next_row)
-    return F.when((F.length(a) > 0) & (F.length(b) > 0), F.element_at(table, -1)).otherwise(F.when(a.isNotNull() & b.isNotNull(), 0))
+    """``lcs`` of two columns, in Arrow batches; null where either is null."""
+    ship_package()
+
+    def lengths(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else lcs(x, y) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.int32())
+
+    return F.arrow_udf(lengths, "int")(a, b)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

@@ -87,7 +87,9 @@ def geocode(addresses: DataFrame, index: DataFrame, area: str = "cod_municipio",
         # The lengths bound the score; a candidate that can neither win nor spoil the margin is not scored.
         a, b = F.length("street_key"), F.length("street_key_c")
         pairs = pairs.where(F.least(a, b) * 200.0 / (a + b) >= threshold - margin)
-        return best_with_margin(pairs.withColumn("s", indel_ratio(F.col("street_key"), F.col("street_key_c"))), key, "s", threshold, margin)
+        # Each two names are scored once, however many addresses bring them together.
+        names = pairs.select("street_key", "street_key_c").distinct().withColumn("s", indel_ratio(F.col("street_key"), F.col("street_key_c")))
+        return best_with_margin(pairs.join(names, ["street_key", "street_key_c"]), key, "s", threshold, margin)
 
     exact = step(named.join(index.where("number_key is not null and cep_key is not null"), key), "exact_street_number_cep", F.lit(100.0))
     rest = _without(named, exact, key)
