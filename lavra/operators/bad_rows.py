@@ -14,6 +14,7 @@ from lavra.functions.numbers import is_strict_number
 from lavra.functions.text import UNIT_NULL_TOKENS, strip
 from lavra.operators.layouts import UNITS, TargetSchema, resolved_headers
 from lavra.operators.records import FileLayout, parse_records
+from lavra.session import materialize
 
 #: Checked columns in the order in which their reasons are reported, with the notation they need.
 UNIT_CHECKS = {"base_de_calculo": "number", "data_pagamento": "date", "area_constr_privativa": "number"}
@@ -58,14 +59,16 @@ def parse_failures(
     A record that occurs twice under one ``file_id`` and ``line_no`` gives one row. A null or empty record has
     one empty field. Without a header only the quoting is checked. Empty tables give no rows.
     """
-    long = _long(lines, files, checks, schema, layout)
-    bad = invalid_values(long, checks)
-    order = {"quoting": 0, "field_count": 1} | {f"bad_{c}": i + 2 for i, c in enumerate(checks)}
-    structural = long.where(F.col("column_name") == STRUCTURE).select("file_id", "line_no", F.col("value").alias("reason"))
-    typed = long.where(F.col("column_name") != STRUCTURE).join(bad, ["column_name", "value"]).select("file_id", "line_no", "reason")
-    rank = F.coalesce(*[F.when(F.col("reason") == r, i) for r, i in order.items()])
-    worst = structural.unionByName(typed).groupBy("file_id", "line_no").agg(F.min_by("reason", rank).alias("reason"))
-    return worst
+    # Read by the dictionary, by the join with it and by the structural checks: parsed once, written once.
+    long = materialize(_long(lines, files, checks, schema, layout))
+    bad = invalid_values(long, checks).select("column_name", "value")
+    order = {"quoting": 0, "field_count": 1} | {c: i + 2 for i, c in enumerate(checks)}
+    rank = lambda c: F.coalesce(*[F.when(F.col(c) == r, i) for r, i in order.items()])
+    structural = long.where(F.col("column_name") == STRUCTURE).select("file_id", "line_no", rank("value").alias("_rank"))
+    typed = long.where(F.col("column_name") != STRUCTURE).join(bad, ["column_name", "value"]).select("file_id", "line_no", rank("column_name").alias("_rank"))
+    worst = structural.unionByName(typed).groupBy("file_id", "line_no").agg(F.min("_rank").alias("_rank"))
+    named = F.coalesce(*[F.when(F.col("_rank") == i, F.lit(r if i < 2 else f"bad_{r}")) for r, i in order.items()])
+    return worst.select("file_id", "line_no", named.alias("reason"))
 
 
 def valid_records(lines: DataFrame, failures: DataFrame, layout: FileLayout = FileLayout()) -> DataFrame:

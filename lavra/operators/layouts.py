@@ -126,19 +126,17 @@ def resolve_headers(headers: DataFrame, schema: TargetSchema = UNITS) -> DataFra
     return cells.select("file_id", "pos", "name", F.when(clash, free).otherwise(F.col("_given")).alias("column_name"), (F.col("known") & (F.col("_nth") == 1)).alias("known"))
 
 
-def resolved_headers(lines: DataFrame, files: DataFrame, schema: TargetSchema = UNITS, layout: FileLayout = FileLayout()) -> DataFrame:
-    """``read_headers`` with ``columns``: the resolved name of each header in file order.
+def resolved_headers(lines: DataFrame, files: DataFrame, schema: TargetSchema = UNITS, layout: FileLayout = FileLayout(), names: DataFrame | None = None) -> DataFrame:
+    """``read_headers`` with ``columns``: the resolved name of each header in file order (by ``names`` where given, as
+    ``resolve_headers`` or ``resolve_names`` make it).
 
     Written once, so that its size is known: Spark then sends a small table of headers to the records instead of
     shuffling the records to it, and joins by shuffle when there are very many files.
     """
     headers = read_headers(lines, files, layout)
-    names = (
-        resolve_headers(headers, schema)
-        .groupBy("file_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "column_name"))), lambda s: s["column_name"]).alias("columns"))
-    )
-    return materialize(headers.join(names, "file_id", "left"))
+    names = resolve_headers(headers, schema) if names is None else names
+    columns = names.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "column_name"))), lambda s: s["column_name"]).alias("columns"))
+    return materialize(headers.join(columns, "file_id", "left"))
 
 
 def cell_kind(value: Column) -> Column:
@@ -166,25 +164,25 @@ def cast_cell(value: Column, kind: str) -> Column:
     return strict_number(given).try_cast(kind)
 
 
-def read_cells(lines: DataFrame, files: DataFrame, schema: TargetSchema = UNITS, layout: FileLayout = FileLayout()) -> DataFrame:
+def read_cells(lines: DataFrame, files: DataFrame, schema: TargetSchema = UNITS, layout: FileLayout = FileLayout(), names: DataFrame | None = None) -> DataFrame:
     """``file_id, line_no, raw_text, _cells``: each data record as a map of resolved column to trimmed text,
     null for a record whose quoting or number of fields is wrong or whose file has no header."""
-    records = parse_records(lines, resolved_headers(lines, files, schema, layout), layout)
+    records = parse_records(lines, resolved_headers(lines, files, schema, layout, names), layout)
     sound = ~F.col("record.bad_quoting") & (F.col("record.n_fields") == F.size("columns"))
     cells = F.when(F.coalesce(sound, F.lit(False)), F.map_from_arrays("columns", F.transform("record.fields", strip)))
     return once(records, _cells=cells).select("file_id", "line_no", "raw_text", "_cells")
 
 
-def ingest(lines: DataFrame, files: DataFrame, schema: TargetSchema = UNITS, layout: FileLayout = FileLayout()) -> DataFrame:
+def ingest(lines: DataFrame, files: DataFrame, schema: TargetSchema = UNITS, layout: FileLayout = FileLayout(), names: DataFrame | None = None) -> DataFrame:
     """All data records in one table: ``file_id, line_no``, the target columns, ``_rescued``, ``_kinds``.
 
     ``_rescued`` is a JSON object of the texts of unknown columns and of cells that do not cast (null when
     there are none). A record whose quoting or number of fields is wrong, or whose file has no header, has null
     target columns and the whole text rescued under ``_record``. ``_kinds`` maps column to notation and is
     null for such records. Columns of ``lines`` and ``files`` beyond those named in ``layout`` play no part, so
-    their names may clash with target columns.
+    their names may clash with target columns. ``names`` from ``resolve_names`` puts cells of renamed columns in place.
     """
-    records = read_cells(lines, files, schema, layout)
+    records = read_cells(lines, files, schema, layout, names)
     typed = {c: cast_cell(F.try_element_at("_cells", F.lit(c)), kind) for c, kind in schema.columns.items()}
     given = lambda v: ~F.lower(v).isin(*UNIT_NULL_TOKENS)
     records = once(records, **{f"_{c}": value for c, value in typed.items()})
@@ -204,6 +202,93 @@ def ingest(lines: DataFrame, files: DataFrame, schema: TargetSchema = UNITS, lay
     )
 
 
+def _chain(files: DataFrame, names: DataFrame, group: str, order: str, layout: FileLayout) -> DataFrame:
+    """``file_id, _group, _next, _first``: each file that has a header with the file after it in its group."""
+    listed = files.groupBy(F.col(layout.file_id).alias("file_id")).agg(F.min(group).alias("_group"), F.min(order).alias("_order"))
+    listed = listed.join(names.select("file_id").distinct(), "file_id", "left_semi")
+    w = Window.partitionBy("_group").orderBy("_order", "file_id")
+    return listed.select("file_id", "_group", F.lead("file_id").over(w).alias("_next"), (F.row_number().over(w) == 1).alias("_first"))
+
+
+def renames_by_values(
+    lines: DataFrame, files: DataFrame, names: DataFrame, group: str = "cod_municipio", order: str = "seq_no", schema: TargetSchema = UNITS, layout: FileLayout = FileLayout(),
+    least: int = 20, alike: float = 0.8, shared: float = 0.5,
+) -> DataFrame:
+    """``_group, name, column_name``: columns that go under a new name which says nothing alike, found by their values.
+
+    Asked of each file that lacks columns of the file before it and has others instead. The cells of those columns only are
+    read: how they are written (notation with the magnitude of numbers, or the shape of texts) and what they say. Two
+    columns of ``least`` cells or more are one if, where values repeat, at least ``shared`` of them are the same; else if
+    at least ``alike`` are written alike and a word of the names begins alike or they follow the same column. Each must be the
+    other's best match. The earlier name stands, a target column's name before any other.
+    """
+    chain = _chain(files, names, group, order, layout)
+    left = Window.partitionBy("file_id").orderBy("pos")
+    cols = names.select("file_id", "column_name", "known", F.lag("column_name").over(left).alias("after"))
+    before = cols.join(chain.where("_next is not null").select("file_id", "_next"), "file_id").select(F.col("_next").alias("file_id"), F.col("file_id").alias("_from"), "column_name", "known", "after")
+    gone = before.join(cols.select("file_id", "column_name"), ["file_id", "column_name"], "left_anti").withColumnsRenamed({c: f"_old_{c}" for c in ("column_name", "known", "after")})
+    come = cols.join(chain.where("not _first").select("file_id", "_group"), "file_id").join(before.select("file_id", "column_name"), ["file_id", "column_name"], "left_anti")
+    # Columns that go times columns that come, of one file: bounded by its header.
+    asked = materialize(gone.join(come, "file_id").where("not (_old_known and known)"))
+    wanted = asked.select(F.inline(F.array(F.struct(F.col("_from").alias("file_id"), F.col("_old_column_name").alias("column_name")), F.struct("file_id", "column_name")))).distinct()
+    some = lines.join(wanted.select(F.col("file_id").alias(layout.file_id)).distinct(), layout.file_id, "left_semi")
+    cells = read_cells(some, files, schema, layout, names).where("_cells is not null").select("file_id", F.explode("_cells").alias("column_name", "v"))
+    cells = cells.join(wanted, ["file_id", "column_name"]).withColumn("k", cell_kind(F.col("v"))).where("k > 0")
+    number = strict_number(F.col("v"))
+    shape = F.substring(F.regexp_replace(F.regexp_replace("v", "[0-9]", "9"), r"\p{L}+", "A"), 1, 40)
+    written = F.concat_ws(":", F.col("k").cast("string"), F.when(F.col("k") <= 2, F.floor(F.log2(number + 1)).cast("string")).when(F.col("k") == 4, shape))
+    sides = F.array(F.struct(F.lit("written").alias("side"), written.alias("what")), F.struct(F.lit("said").alias("side"), F.col("v").alias("what")))
+    counts = cells.select("file_id", "column_name", F.inline(sides)).groupBy("file_id", "column_name", "side", "what").agg(F.count(F.lit(1)).alias("n"))
+    column = Window.partitionBy("file_id", "column_name", "side")
+    shares = counts.select("*", (F.col("n") / F.sum("n").over(column)).alias("share"), F.sum("n").over(column).alias("cells"), F.count(F.lit(1)).over(column).alias("values"))
+    shares = materialize(shares.where(F.col("cells") >= least))
+    pair = ["file_id", "_from", "_old_column_name", "column_name"]
+    old = shares.select(F.col("file_id").alias("_from"), F.col("column_name").alias("_old_column_name"), "side", "what", F.col("share").alias("_old_share"), (F.col("values") * 2 <= F.col("cells")).alias("_repeats"))
+    both = asked.select(*pair).join(old, ["_from", "_old_column_name"]).join(shares.select("file_id", "column_name", "side", "what", "share"), ["file_id", "column_name", "side", "what"])
+    same = F.least("share", "_old_share")
+    scores = both.groupBy(*pair).agg(
+        F.sum(F.when(F.col("side") == "written", same)).alias("written"), F.coalesce(F.sum(F.when(F.col("side") == "said", same)), F.lit(0.0)).alias("said"), F.bool_or((F.col("side") == "said") & F.col("_repeats")).alias("_some_repeat"),
+    )
+    repeats = shares.where("side = 'said'").select(F.col("file_id").alias("_from"), F.col("column_name").alias("_old_column_name"), (F.col("values") * 2 <= F.col("cells")).alias("_repeats")).distinct()
+    words = lambda c: F.filter(F.split(c, "_"), lambda w: F.length(w) >= 3)
+    says = F.exists(words("_old_column_name"), lambda x: F.exists(words("column_name"), lambda y: F.substring(x, 1, 3) == F.substring(y, 1, 3)))
+    judged = asked.join(scores, pair).join(repeats, ["_from", "_old_column_name"]).withColumn("_near", says | F.coalesce(F.col("after") == F.col("_old_after"), F.lit(False)))
+    judged = judged.where(F.when(F.col("_repeats"), F.col("said") >= shared).otherwise((F.col("written") >= alike) & F.col("_near")))
+    score = (F.col("written") + F.col("said") + F.col("_near").cast("double")).desc()
+    best = [F.row_number().over(Window.partitionBy("file_id", c).orderBy(score, "_old_column_name", "column_name")) == 1 for c in ("_old_column_name", "column_name")]
+    judged = judged.withColumn("_best", best[0] & best[1]).where("_best")
+    name = F.when(F.col("known"), F.col("_old_column_name")).otherwise(F.col("column_name"))
+    stands = F.when(F.col("known"), F.col("column_name")).otherwise(F.col("_old_column_name"))
+    found = judged.select("_group", name.alias("name"), stands.alias("column_name")).groupBy("_group", "name", "column_name").agg(F.count(F.lit(1)).alias("n"))
+    found = found.groupBy("_group", "name").agg(F.max_by("column_name", F.struct("n", "column_name")).alias("column_name"))
+    # A name may have been renamed again: followed to the first one, the hops doubled each round.
+    while True:
+        on = found.select("_group", F.col("name").alias("column_name"), F.col("column_name").alias("_first"))
+        followed = found.join(on, ["_group", "column_name"], "left").where("_first is null or _first <> name")
+        found = materialize(followed.select("_group", "name", F.coalesce("_first", "column_name").alias("column_name"), F.col("_first").isNotNull().alias("_moved")))
+        if found.where("_moved").isEmpty():
+            return found.drop("_moved")
+        found = found.drop("_moved")
+
+
+def resolve_names(
+    lines: DataFrame, files: DataFrame, group: str = "cod_municipio", order: str = "seq_no", schema: TargetSchema = UNITS, layout: FileLayout = FileLayout()
+) -> DataFrame:
+    """``resolve_headers`` of all files, and then the names that ``renames_by_values`` found: a header of such a name stands
+    for the column, in every file of the group that has no other header for it. Written once."""
+    names = materialize(resolve_headers(read_headers(lines, files, layout), schema))
+    learned = renames_by_values(lines, files, names, group, order, schema, layout)
+    grouped = files.groupBy(F.col(layout.file_id).alias("file_id")).agg(F.min(group).alias("_group"))
+    here = names.join(grouped, "file_id").where("not known").join(learned.withColumnsRenamed({"name": "_n", "column_name": "_stands"}), (F.col("column_name") == F.col("_n")) & grouped["_group"].eqNullSafe(learned["_group"]))
+    here = here.select("file_id", F.col("column_name"), "_stands")
+    here = here.join(names.select("file_id", F.col("column_name").alias("_stands")), ["file_id", "_stands"], "left_anti")
+    # Of several headers for one column the first by name takes it.
+    here = here.groupBy("file_id", "_stands").agg(F.min("column_name").alias("column_name"))
+    both = names.join(here, ["file_id", "column_name"], "left")
+    known = F.col("known") | F.coalesce(F.col("_stands").isin(*schema.columns), F.lit(False))
+    return materialize(both.select("file_id", "pos", "name", F.coalesce("_stands", "column_name").alias("column_name"), known.alias("known")))
+
+
 def promote(table: DataFrame, approved: dict[str, str]) -> DataFrame:
     """Approved rescued fields as typed columns. A value that does not cast stays rescued. A name that the
     table already has (in any case) raises ``ValueError``."""
@@ -248,23 +333,20 @@ def column_types(ingested: DataFrame) -> DataFrame:
 
 def layout_changes(
     lines: DataFrame, files: DataFrame, group: str = "cod_municipio", order: str = "seq_no", schema: TargetSchema = UNITS, layout: FileLayout = FileLayout(),
-    ingested: DataFrame | None = None,
+    ingested: DataFrame | None = None, names: DataFrame | None = None,
 ) -> DataFrame:
     """``file_id, column_name, change_kind`` of each file against the one before it in its group.
 
     Types are those of the ingested rows' ``_kinds``; ``ingested`` is that table where it exists already (it may
-    have been promoted and replayed), else ``lines`` are ingested here. Files without a header are passed over. Files of a null group are compared among themselves; equal order
+    have been promoted and replayed), else ``lines`` are ingested here. ``names`` are those of ``resolve_names``. Files without a header are passed over. Files of a null group are compared among themselves; equal order
     values are ordered by ``file_id``. No files or no lines give no rows.
     """
     require_columns(files, [layout.file_id, group, order], "files")
-    names = resolve_headers(read_headers(lines, files, layout), schema).select("file_id", "column_name", "name")
-    kinds = column_types(ingest(lines, files, schema, layout) if ingested is None else ingested)
+    named = resolve_names(lines, files, group, order, schema, layout) if names is None else names
+    names = named.select("file_id", "column_name", "name")
+    kinds = column_types(ingest(lines, files, schema, layout, named) if ingested is None else ingested)
     described = names.join(kinds, ["file_id", "column_name"], "left")
-    listed = files.groupBy(F.col(layout.file_id).alias("file_id")).agg(F.min(group).alias("_group"), F.min(order).alias("_order"))
-    listed = listed.join(names.select("file_id").distinct(), "file_id", "left_semi")
-    later = F.lead("file_id").over(Window.partitionBy("_group").orderBy("_order", "file_id"))
-    first = F.row_number().over(Window.partitionBy("_group").orderBy("_order", "file_id")) == 1
-    chain = listed.select("file_id", later.alias("_next"), first.alias("_first"))
+    chain = _chain(files, names, group, order, layout).select("file_id", "_next", "_first")
     chained = described.join(chain, "file_id")
     # Each description goes to its own file as "now" and to the file after it as "before": one aggregation
     # instead of a join of the table with itself.

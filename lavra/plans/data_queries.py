@@ -15,21 +15,24 @@ from lavra.session import materialize, state_dir
 DATA = Registry()
 
 
-def _ingested(spark, sf_dir):
+def _ingested(spark, sf_dir, names):
     """All records in one table, with fields approved for promotion moved out of the rescued ones."""
-    rows = layouts.ingest(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "raw_files"))
+    rows = layouts.ingest(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "raw_files"), names=names)
     return layouts.replay(layouts.promote(rows, {"inscricao_cadastral": "string", "fracao_ideal": "double"}))
 
 
 @DATA.query(data_sql.P3_FOUND)
 def p3_found(spark, sf_dir):
     """The ingested table is written whole; the changes come from it."""
-    return layouts.layout_changes(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "raw_files"), ingested=materialize(_ingested(spark, sf_dir)))
+    lines, files = table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "raw_files")
+    names = layouts.resolve_names(lines, files)
+    return layouts.layout_changes(lines, files, ingested=materialize(_ingested(spark, sf_dir, names)), names=names)
 
 
 @DATA.query(data_sql.P3_INGESTED)
 def p3_ingested(spark, sf_dir):
-    return _ingested(spark, sf_dir).drop("_kinds")
+    names = layouts.resolve_names(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "raw_files"))
+    return _ingested(spark, sf_dir, names).drop("_kinds")
 
 
 @DATA.query(data_sql.P6_FOUND)

@@ -170,3 +170,22 @@ def test_a_name_beside_its_own_suffix(spark):
     import json
 
     assert sorted(json.loads(row["_rescued"]).values()) == ["1", "2", "3", "4"]
+
+
+def test_renames_that_say_nothing_alike_are_found_by_values(spark):
+    """A repeating column by its values, one of ids by its notation and a word; what goes and what comes by chance stays."""
+    import random
+
+    rng = random.Random(5)
+    heads = {1: "bairro;padrao;codigo_lote;andares", 2: "bairro;qualidade;cod_terreno;observacao", 3: "bairro;qualidade;cod_terreno;observacao", 4: "bairro;nivel;cod_terreno;observacao"}
+    rows = []
+    for f, head in heads.items():
+        rows.append((f, 1, head))
+        for n in range(60):
+            last = str(rng.randint(1, 30)) if f == 1 else rng.choice(["sem obs", "ver processo 12", "na esquina"])
+            rows.append((f, n + 2, f"B{n % 7};{rng.choice(['ALTO', 'MEDIO', 'BAIXO'])};{rng.randint(10_000, 19_999)};{last}"))
+    lines = spark.createDataFrame(rows, "file_id long, line_no int, raw_text string")
+    files_ = spark.createDataFrame([(f, ";", "m", f) for f in heads], "file_id long, delimiter string, cod_municipio string, seq_no int")
+    got = {(r.file_id, r.column_name, r.change_kind) for r in layouts.layout_changes(lines, files_).collect()}
+    assert got == {(2, "padrao", "renamed"), (2, "codigo_lote", "renamed"), (2, "andares", "removed"), (2, "observacao", "added"), (4, "padrao", "renamed")}
+    assert layouts.resolve_names(lines.limit(0), files_).count() == 0
