@@ -19,6 +19,7 @@ compared with each other.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lavra.contracts import require_columns
 from lavra.functions.text import UNIT_NULL_TOKENS, fold_accents, strip
+from lavra.operators.records import once
 from lavra.session import materialize
 
 
@@ -74,7 +76,8 @@ def _lookup(words: dict[str, str], c: Column) -> Column:
 def _flat(c: Column) -> Column:
     """Folded, upper case, white space squeezed; null tokens are empty."""
     text = F.upper(fold_accents(F.regexp_replace(F.regexp_replace(strip(F.coalesce(c.cast("string"), F.lit(""))), "[ºª°]", ""), r"\s+", " ")))
-    return F.when(F.lower(text).isin(*UNIT_NULL_TOKENS), "").otherwise(text)
+    tokens = "|".join(re.escape(t.upper()) for t in UNIT_NULL_TOKENS if t)
+    return F.regexp_replace(text, rf"\A(?:{tokens})\z", "")
 
 
 def parse_addresses(records: DataFrame, locale: Locale = PORTUGUESE, id_col: str = "address_record_id", area: str = "cod_municipio") -> DataFrame:
@@ -89,32 +92,33 @@ def parse_addresses(records: DataFrame, locale: Locale = PORTUGUESE, id_col: str
     written = [F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in fields]
     marker = r"^(.*?)[\s,./-]*(?:\b(?:N|NO|NR|NUM|NUMERO)\b[.:]?\s*)?(\d[\d.]*)(.*)$"
     t = records.select(
-        F.col(id_col).alias("id"), F.col(area).alias("area"), F.xxhash64(*written).alias("raw"), F.xxhash64(F.lit(1), *written).alias("raw2"),
-        *[_flat(F.col(f)).alias(f"_{f}") for f in ("logradouro", "n_endereco", "complemento_endereco")],
-        _flat(F.col("bairro")).alias("_bairro"), F.regexp_replace(F.coalesce("cep", F.lit("")), "[^0-9]", "").alias("_cep"),
+        F.col(id_col).alias("id"), F.col(area).alias("area"), F.xxhash64(*written).alias("raw"), F.xxhash64(F.lit(1), *written).alias("raw2"), *fields,
     )
+    t = once(t, **{f"_{f}": _flat(F.col(f)) for f in fields[:4]}, _cep=F.regexp_replace(F.coalesce("cep", F.lit("")), "[^0-9]", "")).drop(*fields)
     own = F.regexp_extract("_n_endereco", r"^\D*?(\d+)", 1)
     # One match gives all three parts: before the number, the number, and what follows.
-    t = t.withColumns({"_own": own, "_cut": F.split(F.regexp_replace("_logradouro", marker, "$1\u0001$2\u0001$3"), "\u0001")})
+    t = once(t, _own=own, _cut=F.split(F.regexp_replace("_logradouro", marker, "$1\u0001$2\u0001$3"), "\u0001"))
     inline, (head, digits, tail) = F.size("_cut") == 3, [F.try_element_at("_cut", F.lit(i)) for i in (1, 2, 3)]
     # The street field holds the number only where the number field has none; a number in the street's name stays.
     take = (F.col("_own") == "") & inline
     same = (F.col("_own") != "") & inline & (F.regexp_replace(digits, r"^0+|\..*$", "") == F.regexp_replace("_own", "^0+", ""))
     cut = take | same
-    t = t.withColumns({
-        "_street": F.when(cut, head).otherwise(F.col("_logradouro")),
-        "_digits": F.when(take, F.regexp_extract(digits, r"^(\d+)", 1)).otherwise(F.col("_own")),
-        "_rest": F.concat_ws(
+    t = once(
+        t,
+        _street=F.when(cut, head).otherwise(F.col("_logradouro")),
+        _digits=F.when(take, F.regexp_extract(digits, r"^(\d+)", 1)).otherwise(F.col("_own")),
+        _rest=F.concat_ws(
             " ; ",
             F.when(cut, tail),
             F.regexp_replace(F.regexp_replace("_n_endereco", r"^\D*?\d+(?:\.0+(?!\d))?", ""), r"^\s*[-/,]\s*", " "),
             F.col("_complemento_endereco"),
         ),
-    })
+    )
     # "NAME, TYPE TITLE" is turned round; then points and other marks go.
     turned = F.regexp_replace("_street", r"^([^,]+),\s*([^,]+)$", "$2 $1")
     last = F.split(F.trim(F.regexp_replace(F.regexp_replace(turned, r"'|(?<=[A-Z])-(?=[A-Z])", ""), r"[^A-Z0-9]+", " ")), " ")
-    t = t.withColumn("_words", F.filter(last, lambda w: w != ""))
+    block_at = rf"(?:^|[^A-Z])(?:{locale.block})[\s.]*(?:N[O.]?\s*)?([A-Z]|\d+)(?![A-Z0-9])"
+    t = once(t, _words=F.filter(last, lambda w: w != ""), _block=F.regexp_extract("_rest", block_at, 1), _rest2=F.regexp_replace("_rest", block_at, " ; "))
     first = F.try_element_at("_words", F.lit(1))
     kind_word = _known(locale.types, first)
     # A name of one word that looks like a type is a name.
@@ -127,18 +131,15 @@ def parse_addresses(records: DataFrame, locale: Locale = PORTUGUESE, id_col: str
     t = t.withColumn("_words", F.when(F.col("title").isNotNull(), F.slice("_words", F.lit(2), F.size("_words"))).otherwise(F.col("_words")))
     linked = F.filter("_words", lambda w: ~w.isin(*locale.links))
     t = t.withColumn("name", F.when(F.size(linked) > 0, linked).otherwise(F.col("_words")))
-    block_at = rf"(?:^|[^A-Z])(?:{locale.block})[\s.]*(?:N[O.]?\s*)?([A-Z]|\d+)(?![A-Z0-9])"
-    t = t.withColumns({
-        "block": F.nullif(F.regexp_replace(F.regexp_extract("_rest", block_at, 1), r"^0+(?=\d)", ""), F.lit("")),
-        "_rest": F.regexp_replace("_rest", block_at, " ; "),
-    })
     words = f"{locale.flat}|{locale.room}|{locale.shop}|{locale.any_unit}"
     # A unit word right before the digits counts first: a building's name may hold such a word too.
-    beside = rf"(?:^|[^A-Z])({words})(?![A-Z])[\s.:/]*(?:N[O.]?[\s.]*)?(\d+)"
-    apart = rf"(?:^|[^A-Z])({words})(?![A-Z])[A-Z'\s./:-]*?(\d+)"
-    either = lambda i: F.coalesce(F.nullif(F.regexp_extract("_rest", beside, i), F.lit("")), F.nullif(F.regexp_extract("_rest", apart, i), F.lit("")))
-    kind, named = either(1), either(2)
-    bare = F.nullif(F.regexp_extract("_rest", r"(\d+)", 1), F.lit(""))
+    beside = rf"(?:^|[^A-Z])(?:{words})(?![A-Z])[\s.:/]*(?:N[O.]?[\s.]*)?\d+"
+    apart = rf"(?:^|[^A-Z])(?:{words})(?![A-Z])[A-Z'\s./:-]*?\d+"
+    t = once(t, _beside=F.regexp_extract("_rest2", beside, 0), _bare=F.regexp_extract("_rest2", r"\d+", 0))
+    t = once(t, _hit=F.when(F.col("_beside") != "", F.col("_beside")).when(F.col("_bare") != "", F.regexp_extract("_rest2", apart, 0)).otherwise(F.lit("")))
+    t = once(t, _kind=F.regexp_extract("_hit", rf"^[^A-Z]?({words})(?![A-Z])", 1), _unit=F.regexp_extract("_hit", r"\d+$", 0))
+    kind, named = F.col("_kind"), F.nullif(F.col("_unit"), F.lit(""))
+    bare = F.nullif(F.col("_bare"), F.lit(""))
     district = F.split(F.trim(F.regexp_replace("_bairro", "[^A-Z0-9]+", " ")), " ")
     spelled = F.concat(F.array(_lookup(locale.districts, F.element_at(district, 1))), F.slice(district, F.lit(2), F.size(district)))
     return t.select(
@@ -146,7 +147,7 @@ def parse_addresses(records: DataFrame, locale: Locale = PORTUGUESE, id_col: str
         F.nullif(F.regexp_replace("_digits", r"^0+(?=\d)", ""), F.lit("")).alias("number"),
         F.regexp_replace(F.coalesce(named, bare), r"^0+(?=\d)", "").alias("unit"),
         F.when(kind.rlike(f"^(?:{locale.flat})$"), "flat").when(kind.rlike(f"^(?:{locale.room})$"), "room").when(kind.rlike(f"^(?:{locale.shop})$"), "shop").alias("kind"),
-        "block",
+        F.nullif(F.regexp_replace("_block", r"^0+(?=\d)", ""), F.lit("")).alias("block"),
         F.nullif(F.array_join(spelled, " "), F.lit("")).alias("district"),
         F.when(F.length("_cep").between(7, 8), F.lpad("_cep", 8, "0")).alias("postcode"),
     )
