@@ -237,26 +237,27 @@ def shared_spans(documents: DataFrame, span: int = 200, id_col: str = "doc_id",
     hashed = materialize(chunk_digests(named, span))
     known = hashed.groupBy("o1", "o2", "doc_id").agg(F.max("n").alias("n"))
     classes = known.groupBy("o1", "o2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("_copies"))
-    # Equal texts are worked on once, as the one of least document id. A chunk is its place in the text beside half of the
-    # text's name, for a document id may stand for several texts.
+    # Equal texts are worked on once, as the one of least document id. A document id may stand for several texts, so a place
+    # is the text's number under its id (nearly always 0, so that it packs well) and the position.
+    nth = F.row_number().over(Window.partitionBy("first_id").orderBy("o1", "o2")) - 1
+    classes = materialize(classes.withColumn("nth", nth.cast("bigint")))
     firsts = hashed.join(classes, ["o1", "o2"]).where("doc_id = first_id")
-    half = F.shiftleft(F.col("o1"), 32)
-    chunks = firsts.select(F.col("first_id").alias("owner"), half.alias("_half"), F.posexplode("digests").alias("i", "digest"))
-    chunks = chunks.select("owner", (F.col("_half") + F.col("i")).alias("at"), "digest")
+    chunks = firsts.select(F.col("first_id").alias("owner"), F.shiftleft("nth", 32).alias("_nth"), F.posexplode("digests").alias("i", "digest"))
+    chunks = chunks.select("owner", (F.col("_nth") + F.col("i")).alias("at"), "digest")
     twice = _of_several(chunks.select("owner", "digest"), ["digest"])
-    shared = chunks.join(twice, "digest", "left_semi").groupBy("owner", F.shiftright("at", 32).cast("int").alias("half"))
-    shared = materialize(shared.agg(F.array_sort(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("shared")))
-    texts = docs.select(F.col("doc_id").alias("owner"), F.shiftright(F.shiftleft(F.xxhash64("text"), 32), 32).cast("int").alias("half"), "text")
-    spans = candidate_spans(texts.join(shared, ["owner", "half"]).select("owner", "half", "text", "shared"), span)
-    # A place again: the half of the text's name and the position, so that the texts of one document stay apart.
-    rows = spans.select("owner", "half", F.inline(F.arrays_zip("t", "h1", "h2")))
-    rows = rows.select("owner", (F.shiftleft(F.col("half").cast("bigint"), 32) + F.col("t")).alias("at"), "h1", "h2")
+    shared = chunks.join(twice, "digest", "left_semi").groupBy(F.col("owner").alias("first_id"), F.shiftright("at", 32).alias("nth"))
+    shared = shared.agg(F.array_sort(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("shared"))
+    shared = materialize(shared.join(classes, ["first_id", "nth"]).select(F.col("first_id").alias("owner"), "nth", "o1", "shared"))
+    texts = docs.select(F.col("doc_id").alias("owner"), F.xxhash64("text").alias("o1"), "text")
+    spans = candidate_spans(texts.join(shared, ["owner", "o1"]).select("owner", "nth", "text", "shared"), span)
+    rows = spans.select("owner", F.shiftleft("nth", 32).alias("_nth"), F.inline(F.arrays_zip("t", "h1", "h2")))
+    rows = rows.select("owner", (F.col("_nth") + F.col("t")).alias("at"), "h1", "h2")
     again = _of_several(rows.select("owner", "h1", "h2"), ["h1", "h2"])
-    held = rows.join(again, ["h1", "h2"], "left_semi").select("owner", "at").distinct()
+    held = rows.join(again, ["h1", "h2"], "left_semi").select("owner", "at")
+    # A row that repeats has no gap to the next one and adds nothing.
     gap = F.lead("at").over(Window.partitionBy("owner").orderBy("at")) - F.col("at")
     covered = held.select("owner", "at", F.least(F.coalesce(gap, F.lit(span)), F.lit(span)).alias("c"))
-    covered = covered.groupBy(F.col("owner").alias("first_id"), F.shiftright("at", 32).cast("int").alias("half")).agg(F.sum("c").alias("_covered"))
-    named = known.join(classes, ["o1", "o2"]).withColumn("half", F.shiftright(F.shiftleft("o1", 32), 32).cast("int"))
-    totals = named.join(covered, ["first_id", "half"], "left")
+    covered = covered.groupBy(F.col("owner").alias("first_id"), F.shiftright("at", 32).alias("nth")).agg(F.sum("c").alias("_covered"))
+    totals = known.join(classes, ["o1", "o2"]).join(covered, ["first_id", "nth"], "left")
     amount: Column = F.when(F.col("_copies") > 1, F.col("n")).otherwise(F.col("_covered")).cast("bigint")
     return totals.groupBy("doc_id").agg(F.max(amount).alias("shared_chars")).where("shared_chars is not null")
