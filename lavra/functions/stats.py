@@ -103,14 +103,14 @@ def with_percentiles(aggregated: DataFrame, df: DataFrame, keys: list[str], want
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], order: str | list[str], measures: list[str], with_totals: bool = False, bucket: Column | None = None
+    df: DataFrame, keys: list[str], order: str | list[str], measures: list[str], with_totals: bool = False, bucket: Column | None = None, ties: bool = False
 ) -> DataFrame:
     """Adds ``cum_<m>`` for each measure: its sum over the rows of the group up to this one, in order.
 
     The group is split by ranges of the order: sums per range, offsets by running over the ranges (at most some
     thousands a group), then running sums within a range. ``bucket`` numbers the ranges and must not fall as
     the order grows; by default it is ``order_bucket`` of the one, numeric, order column, which must not be
-    null. Rows of equal order run in no fixed order. With ``with_totals`` also adds ``all_<m>``, the sum over
+    null. Rows of equal order run in no fixed order, or with ``ties`` all get the sum up to the last of them. With ``with_totals`` also adds ``all_<m>``, the sum over
     the group.
     """
     order = [order] if isinstance(order, str) else order
@@ -123,7 +123,8 @@ def running_sums(
         *[F.coalesce(F.sum(f"_in_{m}").over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],
         *[F.sum(f"_in_{m}").over(Window.partitionBy(*keys)).alias(f"all_{m}") for m in measures if with_totals],
     )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    within = within.rangeBetween(Window.unboundedPreceding, Window.currentRow) if ties else within.rowsBetween(Window.unboundedPreceding, 0)
     joined = df.join(offsets, [*keys, "_bucket"])
     return joined.select(
         *[c for c in df.columns if c != "_bucket"],

@@ -72,3 +72,26 @@ def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """AGG-17: ``column, pct_missing``."""
     one = df.agg(*[(F.avg(F.col(c).isNull().cast("double")) * 100).alias(c) for c in columns])
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("pct_missing")) for c in columns])))
+
+
+# Fixed value: the descriptive columns of an area, in their published order.
+AREA_COLUMNS = (
+    "CD_MUN", "NM_MUN", "CD_UF", "NM_UF", "CD_BAIRRO", "NM_BAIRRO", "SITUACAO", "CD_SITUACAO", "AREA_KM2", "CD_DIST", "NM_DIST", "CD_SUBDIST", "NM_SUBDIST",
+)
+
+
+def area_columns(df: DataFrame, key: str) -> list[str]:
+    """PRJ-19: the key and those descriptive columns that the table has, in the published order."""
+    return [c for c in dict.fromkeys([key, *AREA_COLUMNS]) if c in df.columns]
+
+
+def definitions() -> dict[str, str]:
+    """CEN-03: what the derived columns of ``census_profile`` are, for the metadata beside the table."""
+    grouped = {g: f"sum of {', '.join(bands)}; null when a band is suppressed" for g, bands in GROUPED.items()}
+    return grouped | {f"pct_{g}": f"{g} of populacao_total, per cent" for g in GROUPED} | {
+        "idade_media_aprox": "mean of the bands' middle years, weighted by people; the open band counts as 75",
+        "razao_dependencia_0_14_60mais": "people of 0-14 and 60 or more per hundred of 15-59",
+        "densidade_pop_km2": "populacao_total per square kilometre",
+        "cv_renda_responsavel": "standard deviation of income over its mean",
+        "dif_pop_basico_demografia": "people of the basic table less those of demography",
+    }

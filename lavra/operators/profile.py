@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.contracts import require_columns
@@ -164,22 +164,14 @@ def profile_from_counts(counts: DataFrame, rules: dict[str, Rule] | None = None,
     ).withColumn("null_rate", F.col("n_null") / F.col("n_rows"))
 
 
-def _against_baseline(counts: DataFrame, log: DataFrame) -> DataFrame:
-    """``load_id``, value, ``now`` and ``base``: each load's counts beside those of its baseline load, by
-    sending every count to its own load and to the loads that compare with it."""
-    sides = log.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("load_id").alias("source"), F.col("load_id").alias("target"), F.lit(True).alias("own")),
-                F.struct(F.col("baseline_load_id").alias("source"), F.col("load_id").alias("target"), F.lit(False).alias("own")),
-            )
-        )
-    ).where(F.col("source").isNotNull())
-    compared = log.where(F.col("baseline_load_id").isNotNull()).select(F.col("load_id").alias("target")).distinct()
-    sides = sides.join(compared, "target", "left_semi").distinct()
-    sent = counts.withColumnRenamed("load_id", "source").join(sides, "source")
-    amount = lambda own: F.sum(F.when(F.col("own") == own, F.col("n")).otherwise(0))
-    return sent.groupBy(F.col("target").alias("load_id"), *KEY).agg(amount(True).alias("now"), amount(False).alias("base"))
+def _sides(log: DataFrame) -> DataFrame:
+    """``source, target, own``: each load that has a baseline, beside its own counts and beside its baseline's."""
+    compared = log.where(F.col("baseline_load_id").isNotNull()).select("load_id", "baseline_load_id").distinct()
+    sides = F.array(
+        F.struct(F.col("load_id").alias("source"), F.col("load_id").alias("target"), F.lit(True).alias("own")),
+        F.struct(F.col("baseline_load_id").alias("source"), F.col("load_id").alias("target"), F.lit(False).alias("own")),
+    )
+    return compared.select(F.inline(sides))
 
 
 def distribution_change(counts: DataFrame, log: DataFrame) -> DataFrame:
@@ -187,15 +179,23 @@ def distribution_change(counts: DataFrame, log: DataFrame) -> DataFrame:
     non-nulls, for numbers the largest difference of the two cumulative distributions.
 
     No row where the load or its baseline has no non-null value.
+
+    Half the sum of the differences is one less the sum of the lesser shares, to which only values of both loads add: texts
+    of one load alone, as of a key column, go no further than one shuffle by value.
     """
-    pairs = _against_baseline(counts.where(F.col("text_value").isNotNull() | F.col("num_value").isNotNull()), log)
-    keys = ["load_id", "column_name"]
-    texts, numbers = pairs.where(F.col("text_value").isNotNull()), pairs.where(F.col("num_value").isNotNull())
-    totals = texts.groupBy(*keys).agg(F.sum("now").alias("all_now"), F.sum("base").alias("all_base"))
+    keys, sides = ["load_id", "column_name"], _sides(log)
+    texts, numbers = counts.where(F.col("text_value").isNotNull()), counts.where(F.col("num_value").isNotNull())
+    sent = lambda rows: rows.withColumnRenamed("load_id", "source").join(sides, "source").withColumnRenamed("target", "load_id")
+    part = lambda own: F.when(F.col("own") == own, F.col("n")).otherwise(0)
+    totals = sent(texts.groupBy(*keys).agg(F.sum("n").alias("n"))).groupBy(*keys).agg(F.sum(part(True)).alias("all_now"), F.sum(part(False)).alias("all_base"))
     full = (F.col("all_now") > 0) & (F.col("all_base") > 0)
-    off = F.abs(F.col("now") / F.col("all_now") - F.col("base") / F.col("all_base"))
-    by_text = texts.join(totals.where(full), keys).groupBy(*keys).agg((F.sum(off) / 2).alias("shift"))
-    summed = running_sums(numbers, keys, "num_value", ["now", "base"], with_totals=True).where(full)
+    several = texts.withColumn("_loads", F.count(F.lit(1)).over(Window.partitionBy("column_name", "text_value"))).where("_loads > 1")
+    both = sent(several).groupBy(*keys, "text_value").agg(F.sum(part(True)).alias("now"), F.sum(part(False)).alias("base")).where("now > 0 and base > 0")
+    lesser = F.least(F.col("now") / F.col("all_now"), F.col("base") / F.col("all_base"))
+    common = both.join(totals, keys).groupBy(*keys).agg(F.sum(lesser).alias("_common"))
+    by_text = totals.where(full).join(common, keys, "left").select(*keys, (1 - F.coalesce("_common", F.lit(0.0))).alias("shift"))
+    pairs = sent(numbers).select(*keys, "num_value", part(True).alias("now"), part(False).alias("base"))
+    summed = running_sums(pairs, keys, "num_value", ["now", "base"], with_totals=True, ties=True).where(full)
     gap = F.abs(F.col("cum_now") / F.col("all_now") - F.col("cum_base") / F.col("all_base"))
     return by_text.unionByName(summed.groupBy(*keys).agg(F.max(gap).alias("shift")))
 

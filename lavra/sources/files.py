@@ -211,3 +211,47 @@ def label_column(columns: list[str], priority: list[str], keywords: list[str]) -
         if name.upper() in upper:
             return upper[name.upper()]
     return next((c for c in columns if any(k.upper() in c.upper() for k in keywords)), None)
+
+
+def inspect_member(spark: SparkSession, path: str | Path) -> dict:
+    """SRC-09: ``encoding``, ``delimiter`` and ``names`` (header as written to upper snake case) of an extracted CSV."""
+    encoding = detect_encoding(spark, path)
+    text = read_head(spark, path).decode(encoding, "replace")
+    delimiter = detect_delimiter(text, ";", '"')
+    header = next(csv.reader([text.split("\n", 1)[0].rstrip("\r")], delimiter=delimiter))
+    return {"encoding": encoding, "delimiter": delimiter, "names": {h: header_name(h, upper=True) for h in header}}
+
+
+#: Key and file names of the three parts of a census level; patterns in the order in which they are tried.
+CENSUS_LEVELS = {
+    "sector": ("CD_SETOR", {"basic": ("*setores_basico*.zip", "*basico*.zip"), "demography": ("*setores_demografia*.zip", "*demografia*.zip"), "income": ("*setores*renda*.zip",)}),
+    "neighbourhood": ("CD_BAIRRO", {"basic": ("*bairros_basico*.zip", "*basico*.zip"), "demography": ("*bairros_demografia*.zip", "*demografia*.zip"), "income": ("*bairros*renda*.zip",)}),
+}
+
+
+def load_level(
+    spark: SparkSession, folders: dict[str, str | Path], level: str, target: str | Path, columns: dict[str, list[str]], municipality: str | None = None, required: bool = True
+) -> dict[str, DataFrame] | None:
+    """SRC-11: the three tables ``basic``, ``demography``, ``income`` of a census level, read from the newest ZIP of each in
+    its folder, members extracted below ``target`` (a shared folder), rows of one municipality if named.
+
+    ``columns`` names the variables wanted of each part. A missing ZIP raises, or gives None where the level is not
+    ``required``. An unknown level raises ``KeyError``.
+    """
+    key, patterns = CENSUS_LEVELS[level]
+    archives = {part: newest(folders[part], *names) for part, names in patterns.items()}
+    if gone := sorted(part for part, path in archives.items() if path is None):
+        if required:
+            raise ContractError(f"census level {level}: no archive for {', '.join(gone)}")
+        return None
+    tables = {}
+    for part, path in archives.items():
+        below = Path(target) / f"{level}-{part}"
+        below.mkdir(parents=True, exist_ok=True)
+        tables[part] = read_projected_csv(spark, extract_member(path, below), [key, *columns[part]], [key], key if municipality else None, municipality, key)
+    return tables
+
+
+def read_required_csv(spark: SparkSession, path: str | Path, required: list[str]) -> DataFrame:
+    """SRC-18: a CSV with inferred types that must have the ``required`` columns."""
+    return require_columns(spark.read.csv(str(path), header=True, inferSchema=True), required, Path(path).name)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import html
 import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def save_table(df: DataFrame, parquet: str | None = None, csv: str | None = None, partition_by: list[str] | None = None) -> None:
@@ -40,3 +42,27 @@ def save_report(sections: list[str], path: str | Path, title: str = "Report") ->
     """SNK-08: a self-contained HTML page of the sections."""
     page = f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{''.join(sections)}</body></html>"
     Path(path).write_text(page, encoding="utf-8")
+
+
+def save_quality_outputs(audited: DataFrame, summary: DataFrame, thresholds: DataFrame, counts: DataFrame, folder: str, sample_flag: str = "flag_use_market_analysis") -> dict[str, str]:
+    """SNK-04: the five outputs of the quality stage below ``folder``: all audited rows, the sample for analysis (both
+    parquet), yearly summary and thresholds (CSV), and the counts as JSON lines. Gives their places."""
+    places = {part: f"{folder}/{part}" for part in ("audited", "sample", "summary", "thresholds", "metadata")}
+    save_table(audited, parquet=places["audited"])
+    # Read back, so that the stage is not computed twice.
+    written = audited.sparkSession.read.parquet(places["audited"])
+    save_table(written.where(F.coalesce(F.col(sample_flag), F.lit(False))), parquet=places["sample"])
+    save_table(summary, csv=places["summary"])
+    save_table(thresholds, csv=places["thresholds"])
+    counts.coalesce(1).write.mode("overwrite").json(places["metadata"])
+    return places
+
+
+def save_manifest(files: list[dict], errors: list[dict], groups: list[str], path: str | Path, project: str, at: str) -> None:
+    """SNK-07: what a collection of files holds; ``at`` is the time it was made, given by the caller."""
+    save_metadata({"generated_at": at, "project": project, "groups": list(groups), "files": files, "errors": errors}, path)
+
+
+def image_data_uri(content: bytes, kind: str = "image/png") -> str:
+    """STR-13: an image as a data address for a page that stands alone."""
+    return f"data:{kind};base64,{base64.b64encode(content).decode('ascii')}"

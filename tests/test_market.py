@@ -272,3 +272,56 @@ def test_percentiles_by_counts(spark):
     assert len(wide) == 6 and all(r.h == 2 * r.m for r in wide if r.m is not None) and [r.m for r in wide if r.g == "e"] == [None]
     steps = spark.createDataFrame([(float(v),) for v in [*(-(10.0 ** np.arange(-9, 9))[::-1]), 0, *(10.0 ** np.arange(-9, 9))]], "v double").select(stats.order_bucket(F.col("v")).alias("b"))
     assert (b := [r.b for r in steps.collect()]) == sorted(b) and len(set(b)) == len(b)
+
+
+def test_units_from_text_to_transactions(spark):
+    """The literal rows of a unit file: orphan, guides, paid, cancelled, dates that fail, addresses, single-unit price."""
+    from lavra.operators import units
+
+    given = ["source_row", "base_de_calculo", "area_constr_privativa", "data_pagamento", "situacao", "logradouro", "n_endereco", "complemento_endereco"]
+    rows = [
+        (2, "", "40", "01/02/2024", "PAGO", "RUA A", "10.0", "AP 1"), (3, "R$ 1.234.567,89", "100,5", "2024/05/31 14:20:00", "PAGO", " Rua  B ", "7", None), (4, "", "12.5", "31/05/2024", "Cancelado", "RUA B", "7", "nan"),
+        (5, "250,000.00", "0", "", "PAGO", None, None, None), (6, "1000", "80", "32/06/2024", "PAGO", "RUA C", "1", ""),
+    ]
+    df = spark.createDataFrame([(*r, "itbi_2024.csv", 2024) for r in rows], ", ".join(f"{c} {'int' if c == 'source_row' else 'string'}" for c in given) + ", source_file string, source_year int")
+    rest = [c for c in (*units.TEXTS, *units.NUMBERS, *units.DATES, "cep") if c not in given]
+    df = df.withColumns({c: F.lit(None).cast("string") for c in rest}).withColumn("clash", F.lit(1))
+    clean = units.clean_units(df, 2026)
+    made = {r.source_row: r for r in units.with_guides(clean, ["source_file"], ["source_row"]).collect()}
+    assert [made[i].guide_seq for i in range(2, 7)] == [-1, 1, 1, 2, 3] and made[3].base_de_calculo == 1234567.89 and made[4].guide_rows == 2
+    assert made[2].n_endereco == "10" and made[2].endereco_full == "RUA A, 10 - AP 1" and made[3].endereco_match_key == "RUA B|7|" and made[5].endereco_full == ""
+    assert made[6].flag_data_pagamento_parse_error and not made[5].flag_data_pagamento_parse_error and made[6].data_pagamento_raw == "32/06/2024"
+    assert made[6].valor_m2_base_unitario == 12.5 and made[3].valor_m2_base_unitario is None and made[5].base_de_calculo_unitaria == 250000.0
+    tx = {r.guide_seq: r for r in units.unit_transactions(units.with_guides(clean, ["source_file"], ["source_row"]), ["source_file", "guide_seq"]).collect()}
+    assert tx[1].area_referencia_m2 == 113.0 and tx[1].flag_cancelado and not tx[1].flag_amostra_mercado and tx[1].situacao == "PAGO | Cancelado" and tx[1].complemento_endereco is None
+    assert tx[-1].flag_group_orphan and tx[2].area_referencia_metodo == "indeterminada_multiunit" and tx[3].flag_pago is False
+    assert units.clean_units(df.limit(0), 2026).count() == 0
+
+
+def test_scales_masks_years_and_labels(spark):
+    rows = spark.createDataFrame([("a", 2020, 3, 5.0), ("b", 2020, None, 6.0), ("c", 2021, 900, None)], "r string, ano_analise int, n_transacoes long, v double")
+    assert tuple(indicators.common_volume_scale(rows).first()) == (0.0, 3 + 0.98 * 897) and tuple(indicators.common_volume_scale(rows.limit(0)).first()) == (0.0, 1.0)
+    assert {r.r: r.v for r in indicators.masked(rows, "v", 5).collect()} == {"a": None, "b": 6.0, "c": None}
+    years = spark.createDataFrame([("m", 2020, False), ("m", 2021, True), ("n", 2019, True), ("n", 2020, None)], "g string, ano_analise int, flag_ano_incompleto boolean")
+    assert {tuple(r) for r in indicators.latest_complete_year(years, ["g"]).collect()} == {("m", 2020, False), ("n", 2020, False)}
+    assert indicators.latest_complete_year(years.limit(0)).count() == 0
+    got = rows.select(indicators.labelled(F.col("n_transacoes") > 5, indicators.LABELS, "?")).collect()
+    assert [r[0] for r in got] == ["nao", "?", "sim"]
+    assert [r.ano_analise for r in indicators.in_order(rows, ["ano_analise"], ["v"]).collect()] == [2020, 2020, 2021]
+    assert {r.r for r in quality.keep_first(rows, ["ano_analise"], ["v"]).collect()} == {"a", "c"}
+    square = lambda x: [(x, 0.0, x + 1.0, 0.0), (x + 1.0, 0.0, x + 1.0, 1.0), (x + 1.0, 1.0, x, 1.0), (x, 1.0, x, 0.0)]
+    edges = spark.createDataFrame([("m", *e) for x in (0.0, 1.0) for e in square(x)], "group string, ax double, ay double, bx double, by double")
+    assert spatialstats.outline(edges).count() == 6
+
+
+def test_lcs_against_the_table():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcé😀") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        assert similarity.lcs(a, b) == row[-1]

@@ -109,3 +109,25 @@ def test_intermediate_tables(spark, monkeypatch):
 
     with pytest.raises(ContractError):
         session.shared_dir(Cluster())
+
+
+def test_census_levels_and_quality_outputs(spark, tmp_path):
+    for part, text in {"basico": "CD_SETOR;V0001\n310000001;5\n990000001;6\n", "demografia": "CD_SETOR;V01006\n310000001;5\n", "renda_responsavel": "CD_SETOR;V06001\n310000001;2\n"}.items():
+        with zipfile.ZipFile(tmp_path / f"setores_{part}.csv.zip", "w") as z:
+            z.writestr(f"{part}.csv", text)
+    folders = dict.fromkeys(("basic", "demography", "income"), tmp_path)
+    columns = {"basic": ["V0001"], "demography": ["V01006"], "income": ["V06001"]}
+    tables = files.load_level(spark, folders, "sector", tmp_path / "out", columns, "31")
+    assert [tuple(r) for r in tables["basic"].collect()] == [("310000001", "5")] and tables["income"].first().V06001 == "2"
+    assert files.load_level(spark, dict.fromkeys(folders, tmp_path / "none"), "neighbourhood", tmp_path, columns, required=False) is None
+    with pytest.raises(ContractError):
+        files.load_level(spark, dict.fromkeys(folders, tmp_path / "none"), "neighbourhood", tmp_path, columns)
+    assert files.inspect_member(spark, tmp_path / "out" / "sector-basic" / "basico.csv")["delimiter"] == ";"
+    rows = spark.createDataFrame([(1, True), (2, None), (3, False)], "id int, flag_use_market_analysis boolean")
+    places = sinks.save_quality_outputs(rows, rows.groupBy().count(), rows.limit(1), rows.groupBy().count(), str(tmp_path / "q"))
+    assert spark.read.parquet(places["sample"]).count() == 1 and spark.read.parquet(places["audited"]).count() == 3
+    assert files.read_required_csv(spark, places["summary"], ["count"]).first()["count"] == 3
+    with pytest.raises(ContractError):
+        files.read_required_csv(spark, places["summary"], ["nope"])
+    sinks.save_manifest([{"name": "a"}], [], ["g"], tmp_path / "m.json", "p", "2024-01-01")
+    assert json.loads((tmp_path / "m.json").read_text())["files"] == [{"name": "a"}] and sinks.image_data_uri(b"x") == "data:image/png;base64,eA=="
