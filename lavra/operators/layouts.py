@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lavra.contracts import require_columns
 from lavra.functions.dates import STRICT_DATE, parse_date
 from lavra.functions.numbers import STRICT_NUMBER, strict_number
-from lavra.functions.text import UNIT_NULL_TOKENS, header_key, strip
+from lavra.functions.text import UNIT_NULL_TOKENS, header_key, let, strip
 from lavra.operators.records import FileLayout, once, parse_records, read_headers
 from lavra.session import materialize
 
@@ -140,9 +140,9 @@ def resolved_headers(lines: DataFrame, files: DataFrame, schema: TargetSchema =
 
 
 def cell_kind(value: Column) -> Column:
-    """Index into KINDS of one trimmed cell's notation; null tokens count as null."""
+    """Index into KINDS of one trimmed cell's notation; null tokens are null by then."""
     return (
-        F.when(value.isNull() | F.lower(value).isin(*UNIT_NULL_TOKENS), 0)
+        F.when(value.isNull(), 0)
         .when(value.rlike(r"\A[0-9]+\z"), 1)
         .when(value.rlike(STRICT_NUMBER), 2)
         .when(value.rlike(STRICT_DATE), 3)
@@ -153,7 +153,10 @@ def cell_kind(value: Column) -> Column:
 
 def cast_cell(value: Column, kind: str) -> Column:
     """A trimmed cell in its target type; null where it does not cast. Null tokens are null in every type."""
-    given = F.when(~F.lower(value).isin(*UNIT_NULL_TOKENS), value)
+    return _cast_given(F.when(~F.lower(value).isin(*UNIT_NULL_TOKENS), value), kind)
+
+
+def _cast_given(given: Column, kind: str) -> Column:
     if kind == "string":
         return given
     if kind in ("timestamp_ntz", "timestamp"):
@@ -165,11 +168,11 @@ def cast_cell(value: Column, kind: str) -> Column:
 
 
 def read_cells(lines: DataFrame, files: DataFrame, schema: TargetSchema = UNITS, layout: FileLayout = FileLayout(), names: DataFrame | None = None) -> DataFrame:
-    """``file_id, line_no, raw_text, _cells``: each data record as a map of resolved column to trimmed text,
+    """``file_id, line_no, raw_text, _cells``: each data record as a map of resolved column to trimmed text (null for null tokens),
     null for a record whose quoting or number of fields is wrong or whose file has no header."""
     records = parse_records(lines, resolved_headers(lines, files, schema, layout, names), layout)
     sound = ~F.col("record.bad_quoting") & (F.col("record.n_fields") == F.size("columns"))
-    cells = F.when(F.coalesce(sound, F.lit(False)), F.map_from_arrays("columns", F.transform("record.fields", strip)))
+    cells = F.when(F.coalesce(sound, F.lit(False)), F.map_from_arrays("columns", F.transform("record.fields", lambda f: let(strip(f), lambda t: F.when(~F.lower(t).isin(*UNIT_NULL_TOKENS), t)))))
     return once(records, _cells=cells).select("file_id", "line_no", "raw_text", "_cells")
 
 
@@ -183,21 +186,20 @@ def ingest(lines: DataFrame, files: DataFrame, schema: TargetSchema = UNITS, lay
     their names may clash with target columns. ``names`` from ``resolve_names`` puts cells of renamed columns in place.
     """
     records = read_cells(lines, files, schema, layout, names)
-    typed = {c: cast_cell(F.try_element_at("_cells", F.lit(c)), kind) for c, kind in schema.columns.items()}
-    given = lambda v: ~F.lower(v).isin(*UNIT_NULL_TOKENS)
-    records = once(records, **{f"_{c}": value for c, value in typed.items()})
-    typed = {c: F.col(f"_{c}") for c in typed}
-    uncast = {c: typed[c].isNull() for c, kind in schema.columns.items() if kind != "string"}
-    failed = F.filter(F.array(*[F.when(bad, F.lit(c)) for c, bad in uncast.items()]), lambda c: c.isNotNull())
-    rescued = F.map_filter(
-        "_cells", lambda k, v: v.isNotNull() & given(v) & (~k.isin(*schema.columns) | F.array_contains(F.col("_failed"), k))
-    )
-    records = records.withColumn("_failed", failed)
+    # Bound step by step, so that each cell is looked up, cast and described once.
+    records = once(records, **{f"_t_{c}": F.try_element_at("_cells", F.lit(c)) for c in schema.columns})
+    records = once(records, **{f"_{c}": _cast_given(F.col(f"_t_{c}"), kind) for c, kind in schema.columns.items() if kind != "string"})
+    typed = {c: F.col(f"_t_{c}" if kind == "string" else f"_{c}") for c, kind in schema.columns.items()}
+    uncast = F.array_compact(F.array(*[F.when(F.col(f"_t_{c}").isNotNull() & F.col(f"_{c}").isNull(), F.lit(c)) for c, kind in schema.columns.items() if kind != "string"]))
+    records = once(records, _failed=uncast, _others=F.array_except(F.map_keys("_cells"), F.array(*[F.lit(c) for c in schema.columns])))
+    some = (F.size("_failed") > 0) | (F.size("_others") > 0)
+    kept = F.map_filter("_cells", lambda k, v: v.isNotNull() & (F.array_contains("_others", k) | F.array_contains("_failed", k)))
+    records = once(records, _kept=F.when(some, kept))
     return records.select(
         "file_id", "line_no",
         *[value.alias(c) for c, value in typed.items()],
         F.when(F.col("_cells").isNull(), F.to_json(F.create_map(F.lit("_record"), F.coalesce("raw_text", F.lit("")))))
-        .when(F.size(rescued) > 0, F.to_json(rescued)).alias("_rescued"),
+        .when(F.size("_kept") > 0, F.to_json("_kept")).alias("_rescued"),
         F.transform_values("_cells", lambda k, v: cell_kind(v)).alias("_kinds"),
     )
 
@@ -312,13 +314,16 @@ def replay(table: DataFrame, readers: dict[str, str] | None = None, reader=None)
 
 
 def _move(table: DataFrame, moves: dict[str, tuple[str, str]], cast=cast_cell) -> DataFrame:
-    rescued = F.from_json("_rescued", "map<string,string>")
-    table = table.withColumn("_map", rescued)
-    values = {c: cast(F.try_element_at("_map", F.lit(name)), kind) for c, (name, kind) in moves.items()}
-    kept = F.map_filter("_map", lambda k, v: ~F.coalesce(*[F.when((k == F.lit(n)) & values[c].isNotNull(), True) for c, (n, _) in moves.items()], F.lit(False)))
-    old = [c for c in table.columns if c not in ("_map", "_rescued", *moves)]
-    new = [(F.coalesce(table[c], v) if c in table.columns else v).alias(c) for c, v in values.items()]
-    return table.select(*old, *new, F.when(F.size(kept) > 0, F.to_json(kept)).alias("_rescued"))
+    """Values of rescued fields into columns; each is cast once, and only in rows that have something rescued."""
+    made = once(table, _map=F.from_json("_rescued", "map<string,string>"))
+    held = lambda name: F.try_element_at("_map", F.lit(name))
+    made = once(made, **{f"_v_{c}": F.when(held(name).isNotNull(), cast(held(name), kind)) for c, (name, kind) in moves.items()})
+    made = once(made, _moved=F.array_compact(F.array(*[F.when(F.col(f"_v_{c}").isNotNull(), F.lit(name)) for c, (name, _) in moves.items()])))
+    kept = F.map_filter("_map", lambda k, v: ~F.array_contains("_moved", k))
+    rescued = F.when(F.size("_moved") == 0, F.col("_rescued")).when(F.size(kept) > 0, F.to_json(kept))
+    old = [c for c in table.columns if c not in ("_rescued", *moves)]
+    new = [F.coalesce(F.col(c), F.col(f"_v_{c}")).alias(c) if c in table.columns else F.col(f"_v_{c}").alias(c) for c in moves]
+    return made.select(*old, *new, rescued.alias("_rescued"))
 
 
 def column_types(ingested: DataFrame) -> DataFrame:
