@@ -17,6 +17,8 @@ from lavra.functions.text import strip
 from lavra.session import materialize
 
 EARTH_RADIUS_M = 6_371_000.0
+#: Sides of its tiles that a region may be wide. Fewer mean more levels, on each of which every point is looked up.
+SIDES = 8
 
 
 def coordinate(c: Column) -> Column:
@@ -112,8 +114,8 @@ def slab_index(edges: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
     """The decomposition of all regions, tile by tile.
 
     A region lies in tiles of its own size: level 0 has sides of ``tile`` degrees, each further level twice as long ones, and
-    a region goes to the first level on which it is at most two sides wide and high. So it touches nine tiles at most
-    and its edges are copied nine times at most, be it a block or a whole state.
+    a region goes to the first level on which it is at most ``SIDES`` sides wide and high. So it touches nine rows and nine
+    columns of tiles at most, be it a block or a whole state, and an edge goes to those rows of the columns it crosses.
 
     ``bounds``: ``group, level, tx, ty, xs`` with the sorted slab borders of a tile; ``slabs``: ``group, level, tx, ty, slab,
     spans`` with, for slab ``slab`` (from ``xs[slab-1]`` on), the stretches that lie inside a region, ordered
@@ -124,7 +126,7 @@ def slab_index(edges: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
     edges = materialize(edges)
     boxes = edges.groupBy("group", "region").agg(F.min("x1").alias("x0"), F.max("x2").alias("x9"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y9"))
     side = F.greatest(F.col("x9") - F.col("x0"), F.col("y9") - F.col("y0"))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(tile)) / (2 * tile)))).cast("int")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(tile)) / (SIDES * tile)))).cast("int")
     boxes = boxes.withColumn("level", level).withColumn("size", F.pow(F.lit(2.0), F.col("level")) * tile)
     index = lambda v: F.floor(F.col(v) / F.col("size"))
     rows = boxes.select("group", "region", "level", "size", F.explode(F.sequence(index("y0"), index("y9"))).alias("ty"))
