@@ -95,9 +95,10 @@ def moran_permutations(values: DataFrame, edges: DataFrame, by: list[str], permu
                 if not scale:
                     continue
                 stat = lambda v: float((v[ends[:, 0]] * v[ends[:, 1]] * weight).sum() / scale)  # noqa: B023, E731
+                observed = stat(value)
                 for k in range(r.first, min(r.first + per_task, permutations)):
                     rng = np.random.default_rng([seed, k, zlib.crc32(r.unit.encode())])
-                    rows.append((*[getattr(r, c) for c in by], r.group, stat(value), stat(rng.permutation(value))))
+                    rows.append((*[getattr(r, c) for c in by], r.group, observed, stat(rng.permutation(value))))
             yield pd.DataFrame(rows, columns=[*by, "group", "observed", "simulated"])
 
     kinds = dict(z.dtypes)
